@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, mixing, packing, quality, simhash
+from . import linededup, mixing, packing, quality, simhash, suffixdedup, topk, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,10 +14,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": simhash.query,
         "op2_packing": packing.query,
         "op4_line_dedup": linededup.query,
+        "op5_topk": topk.query,
+        "op7_url_filter": urlfilter.query,
         "op8_mixing": mixing.query,
+        "op9_suffix_dedup": suffixdedup.query,
         "op10_quality": quality.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": linededup.ORACLE_SQL}
+    return {"op4_line_dedup": linededup.ORACLE_SQL, "op5_topk": topk.ORACLE_SQL}
