@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, mixing, packing, quality, simhash, suffixdedup, topk, urlfilter
+from . import licenses, linededup, mixing, packing, pii, quality, simhash, suffixdedup, topk, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.query,
         "op2_packing": packing.query,
+        "op3_licenses": licenses.query,
         "op4_line_dedup": linededup.query,
         "op5_topk": topk.query,
+        "op6_pii": pii.query,
         "op7_url_filter": urlfilter.query,
         "op8_mixing": mixing.query,
         "op9_suffix_dedup": suffixdedup.query,
