@@ -115,7 +115,11 @@ def remove_repeats(docs: DataFrame, window: int = 200, dense: int = 4096, id_col
     and so lose all windows. An empty table gives no rows. Texts are told apart by doc_id and a hash, so doc_id may be
     null or repeated.
     """
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), F.hash(text_col).alias("th"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("body"))
+    # A text is known by doc_id and a hash, whose lowest bit says that doc_id is null.
+    unknown = F.col(id_col).isNull()
+    th = F.hash(text_col).bitwiseAND(F.lit(-2)).bitwiseOR(F.when(unknown, 1).otherwise(0))
+    body = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), th.alias("th"), body.alias("body"))
     runs = _runs(base, window)
     keys = runs.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("c"), F.min("whole").alias("lo"), F.max("whole").alias("hi"), F.max("own").alias("own")).where("c > 1 or own")
     keys = keys.select(unpartitioned("k"), ((F.col("lo") != F.col("hi")) | F.col("own")).alias("several"))
@@ -141,10 +145,12 @@ def remove_repeats(docs: DataFrame, window: int = 200, dense: int = 4096, id_col
     whole = found.where("several").select("id", "th", "at", "n", unpartitioned("key"), "whole").join(many, (F.col("key") == F.col("k")) & (F.col("whole") == F.col("w")))
     whole = whole.select("id", "th", "at", "n").union(found.where("not several").select("id", "th", "at", "n"))
     whole = whole.select("id", "th", F.col("at").alias("start"), (F.col("at") + F.col("n") - 1 + window).alias("stop"))
-    marks = checkpointed(partial.union(whole)).groupBy(F.col("id").alias("i"), F.col("th").alias("t")).agg(F.collect_list(F.struct("start", "stop")).alias("marks"))
+    marks = partial.union(whole).groupBy(F.col("id").alias("i"), F.col("th").alias("t")).agg(F.collect_list(F.struct("start", "stop")).alias("marks"))
 
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), F.hash(text_col).alias("th"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("body"))
-    joined = named.join(marks.hint("shuffle_hash"), (F.col("id") == F.col("i")) & (F.col("th") == F.col("t")), "left").select("doc_id", "body", "marks")
+    # The same exchange of the texts serves here as above.
+    joined = bodies.join(marks.hint("shuffle_hash"), (F.col("id") == F.col("i")) & (F.col("th") == F.col("t")), "left")
+    known = F.when(F.col("th").bitwiseAND(F.lit(1)) == 0, F.col("id")).alias("doc_id")
+    joined = joined.select(known, "body", "marks")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
