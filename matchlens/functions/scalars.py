@@ -110,7 +110,7 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def clipped(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

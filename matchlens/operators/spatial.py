@@ -26,7 +26,7 @@ def with_phase(df: DataFrame, n: int = 3, keys: Sequence[str] = GAME, t: str = "
     game = Window.partitionBy(*keys)
     low, high = F.min(t).over(game), F.max(t).over(game)
     share = F.try_divide((F.col(t) - low) * n, high - low)
-    return df.withColumn("phase", F.coalesce(F.least(F.floor(share), F.lit(n - 1)), F.lit(0)).cast("int"))
+    return df.withColumn("phase", F.when(share.isNull(), 0).otherwise(F.least(F.floor(share), F.lit(n - 1))).cast("int"))
 
 
 def with_time_window(df: DataFrame, skip: float = 0.0, t: str = "UpdatedAt", windows: Sequence[tuple[int, int]] = WINDOWS) -> DataFrame:
