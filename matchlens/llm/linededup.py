@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import checkpointed, fresh, table, unpartitioned
 from .cuckoo import CuckooFilter
@@ -151,7 +152,7 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, **options) -> D
     joined = docs.join(drops, docs["doc_id"].cast("long").eqNullSafe(F.col(drop_id)), "left").drop(drop_id)
     at, min_chars = docs.columns.index("text"), index.min_chars
     names = [*docs.columns, lines, gone]
-    schema = docs.schema.add(lines, "long").add(gone, "long")
+    schema = T.StructType([*docs.schema.fields, T.StructField(lines, T.LongType()), T.StructField(gone, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

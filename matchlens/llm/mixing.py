@@ -91,13 +91,14 @@ def _schedule(plan: DataFrame, block_words: int) -> DataFrame:
     shares = plan.where("target > 0").select(
         "source", "source_size", "target", F.floor("target").alias("most"),
         ((F.sum("target").over(order) - F.col("target")) / F.lit(max(total, 1.0))).alias("lo"), (F.sum("target").over(order) / F.lit(max(total, 1.0))).alias("hi"),
-        (F.row_number().over(order) == F.count("*").over(Window.partitionBy())).alias("last"),
+        (F.row_number().over(order) == F.count("*").over(Window.partitionBy())).alias("last"), F.row_number().over(order).alias("turn"),
     )
-    # A point can lag behind its share by a few slots for each source: some slots more than the words fill. What is over is cut below.
+    # Some slots more than the words fill. What is over is cut below; a source that still lacks slots gets them after the last.
     sources = plan.count()
     slots = int(total * 1.02 / block_words) + 16 * sources + 16 if total else 0
     point = F.col("slot") * F.lit(GOLDEN) - F.floor(F.col("slot") * F.lit(GOLDEN))
     points = spark.range(slots).select(F.col("id").alias("slot")).select("slot", point.alias("u"))
+    every = shares.select(F.col("source").alias("s"), "source_size", "most", "turn")
     shares = shares.select("*", F.explode(F.sequence(F.floor(F.col("lo") * BINS), F.floor(F.least("hi", F.lit(1.0)) * BINS))).alias("bin"))
     here = (F.floor(F.col("u") * BINS) == F.col("bin")) & (F.col("u") >= F.col("lo")) & ((F.col("u") < F.col("hi")) | F.col("last"))
     hit = points.join(F.broadcast(shares) if sources <= MAX_BROADCAST_SOURCES else shares, here)
@@ -107,8 +108,15 @@ def _schedule(plan: DataFrame, block_words: int) -> DataFrame:
     sums = sums.select(F.col("source").alias("s"), F.col("chunk").alias("c"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     ranked = hit.select("*", F.row_number().over(Window.partitionBy("source", "chunk").orderBy("slot")).alias("k"))
     ranked = ranked.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c")))
-    first = (F.col("base") + F.col("k") - 1) * block_words
-    return ranked.select("slot", "source", "source_size", first.alias("first"), F.least(first + block_words, "most").alias("end")).where("first < end")
+    ranked = ranked.select("slot", "source", "source_size", "most", (F.col("base") + F.col("k") - 1).alias("rank"))
+    got = hit.groupBy("source").agg(F.count("*").alias("got"))
+    late = every.join(got, F.col("source").eqNullSafe(F.col("s")), "left").select("s", "source_size", "most", "turn", F.coalesce("got", F.lit(0)).alias("got"))
+    late = late.where(F.col("got") * block_words < F.col("most"))
+    late = late.select("*", F.explode(F.sequence(F.col("got"), F.ceil(F.col("most") / block_words) - 1)).alias("rank"))
+    late = late.select((F.lit(slots) + (F.col("rank") - F.col("got")) * sources + F.col("turn")).alias("slot"), F.col("s").alias("source"), "source_size", "most", "rank")
+    first = F.col("rank") * block_words
+    both = ranked.unionByName(late)
+    return both.select("slot", "source", "source_size", first.alias("first"), F.least(first + block_words, "most").alias("end")).where("first < end")
 
 
 def taken(docs: DataFrame, block_words: int = 2048, **options) -> DataFrame:
