@@ -84,6 +84,10 @@ def full_patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return np.stack([i, j, capacity - i - j], axis=1)
 
 
+#: Patterns that the plan keeps at most: what is sent to all tasks is bounded by three places each and the residual's.
+MOST_PATTERNS = 4096
+
+
 def fit_repeats(patterns: np.ndarray, counts: np.ndarray, rounds: int = 600) -> np.ndarray:
     """Non-negative least squares: how often to repeat each pattern so that their documents come near the counts."""
     if not len(patterns):
@@ -152,6 +156,9 @@ def packing_plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...
     plan: Counter = Counter()
     patterns = full_patterns(np.flatnonzero(left), capacity)
     repeats = fit_repeats(patterns, left.astype(float))
+    if len(patterns) > MOST_PATTERNS:  # fit once more, with those that matter most
+        patterns = patterns[np.sort(np.argsort(-repeats, kind="stable")[:MOST_PATTERNS])]
+        repeats = fit_repeats(patterns, left.astype(float))
     for k in np.argsort(-repeats, kind="stable"):
         if repeats[k] < 0.5:
             break
