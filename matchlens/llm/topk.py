@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, hashed_sample, table
 
 #: Rows that pivots are chosen from, and that give each query its first k-th score.
 SAMPLE = 2048
@@ -50,15 +50,14 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray,
 
     Scores below a query's floor needn't be found.
     """
-    lower = np.zeros((len(queries), len(block)))
-    for p in range(far.shape[1]):
-        np.maximum(lower, np.abs(q_far[:, p, None] - far[None, :, p]), out=lower)
-    square = (queries * queries).sum(axis=1)[:, None] + (block * block).sum(axis=1)
-    slack = 1.0 + 1e-9 * square  # for the rounding of distances
-    upper = (square - lower * lower) / 2 + slack
+    sizes, towards = (block * block).sum(axis=1), np.ascontiguousarray(far.T)
+    gap = np.empty_like(towards)
     out, evaluated = [], 0
     for i, query in enumerate(queries):
-        bound = upper[i]
+        np.abs(np.subtract(towards, q_far[i][:, None], out=gap), out=gap)
+        square = query @ query + sizes
+        # The slack is for the rounding of distances.
+        bound = (square - gap.max(axis=0) ** 2) / 2 + 1.0 + 1e-9 * square
         order = np.flatnonzero((bound >= floors[i]) & (ids != query_ids[i]))
         order = order[np.argsort(-bound[order], kind="stable")]
         best: list[tuple[float, int]] = []
@@ -96,7 +95,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, n_pivots: int = 32, s
     rows = checkpointed(rows.mapInArrow(packed, "vec_id long, v binary"))
     n, width = rows.agg(F.count("*"), F.max(F.length("v") / 8)).first()
     width = int(width or 0)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    sample = hashed_sample(rows, "vec_id", SAMPLE).collect()
     sample_ids = np.array([r["vec_id"] for r in sample], dtype=np.int64)
     matrix = _matrix([r["v"] for r in sample], width)
     shared = spark.sparkContext.broadcast((sample_ids, matrix, choose_pivots(matrix, n_pivots) if n else matrix))
