@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import hashed_sample, table
 
 #: Most paragraphs without a license that the classifier is trained on.
 MAX_OTHERS = 4_000
@@ -182,7 +182,7 @@ def train(others: list[str], seed: int = 3, rounds: int = 300, sparsity: float =
 
 def _others(docs: DataFrame, at_most: int) -> list[str]:
     """Lines of the documents that a hash of doc_id puts first: a bounded sample."""
-    some = docs.where("text is not null").select("doc_id", F.col("text").alias("t")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(at_most // 8)
+    some = hashed_sample(docs.where("text is not null").select("doc_id", F.col("text").alias("t")), "doc_id", at_most // 8)
     lines = some.select(F.explode(F.slice(F.split("t", "\n"), 1, 8)).alias("line")).where("line <> ''").collect()
     return sorted(r["line"] for r in lines)
 
