@@ -7,13 +7,14 @@ built-in Spark expressions; Python sees only a bounded sample of labelled statis
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, fresh, table, words
+from .common import BLANK, fresh, hashed_sample, table, words
 
 #: Most labelled rows that a decision list is learned from.
 MAX_LABELLED = 20_000
@@ -25,8 +26,12 @@ def _stage(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", *[c.alias(k) for k, c in columns.items()])
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the five base statistics (longs) and the ratios of FEATURES for each row of docs.
+#: The counts that each feature is made of, beyond the base statistics.
+NEEDS = {"dup_lines": ["n_lines"], "upper": ["n_upper", "n_lower"], "digits": ["n_digits"], "marks": ["n_marks"], "bars": ["n_bars"], "longest": ["longest"], "line_words": ["n_lines"], "distinct": ["n_distinct"]}
+
+
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", features: Sequence[str] = tuple(FEATURES)) -> DataFrame:
+    """doc_id, the five base statistics (longs) and the named ones of FEATURES for each row of docs.
 
     Null and empty texts have no words: counts are 0 and ratios 0. Repeated rows give a row each.
     n_repeat_words counts the positions of words that lie in a window of three found twice or more in the text.
@@ -48,38 +53,41 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     size, length = lambda c: F.size(c).cast("long"), lambda c: F.length(c).cast("long")
     of = lambda chars: length(F.col("t")) - length(F.translate("t", chars, ""))
     upper, lower = (bytes(range(a, a + 26)).decode() for a in (65, 97))
-    df = df.select(
-        "doc_id",
-        size("w").alias("n_words"),
-        length(F.regexp_replace("t", BLANK, "")).alias("word_chars"),
-        of("#*$%&|<>").alias("n_symbols"),
-        (size("lines") - size(F.array_distinct("lines"))).alias("n_dup_lines"),
-        F.when(F.col("c").isNull(), F.lit(0).cast("long")).otherwise(size("c")).alias("n_repeat_words"),
-        size("lines").alias("n_lines"),
-        size(F.array_distinct("w")).alias("n_distinct"),
-        F.coalesce(F.aggregate("w", F.lit(0), lambda a, x: F.greatest(a, F.length(x))), F.lit(0)).alias("longest"),
-        of(upper).alias("n_upper"),
-        of(lower).alias("n_lower"),
-        of("0123456789").alias("n_digits"),
-        of("!?").alias("n_marks"),
-        of("|").alias("n_bars"),
-    )
+    counts = {
+        "n_words": size("w"),
+        "word_chars": length(F.regexp_replace("t", BLANK, "")),
+        "n_symbols": of("#*$%&|<>"),
+        "n_dup_lines": size("lines") - size(F.array_distinct("lines")),
+        "n_repeat_words": F.when(F.col("c").isNull(), F.lit(0).cast("long")).otherwise(size("c")),
+        "n_lines": size("lines"),
+        "n_distinct": size(F.array_distinct("w")),
+        "longest": F.coalesce(F.aggregate("w", F.lit(0), lambda a, x: F.greatest(a, F.length(x))), F.lit(0)),
+        "n_upper": of(upper),
+        "n_lower": of(lower),
+        "n_digits": of("0123456789"),
+        "n_marks": of("!?"),
+        "n_bars": of("|"),
+    }
+    needed = {*BASE, *[c for f in features for c in NEEDS.get(f, [])]}
+    df = df.select("doc_id", *[c.alias(k) for k, c in counts.items() if k in needed])
+    # A row is passed on as the one element of an array. Filters on what follows stay above that; pushed below, each
+    # would repeat the nested expressions above many times over.
+    df = df.select(F.explode_outer(F.array(F.struct("*"))).alias("row")).select("row.*")
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
-    return df.select(
-        "doc_id",
-        *BASE,
-        share("word_chars", "n_words").alias("mean_word"),
-        share("n_symbols", "word_chars").alias("symbols"),
-        share("n_dup_lines", "n_lines").alias("dup_lines"),
-        share("n_repeat_words", "n_words").alias("repeats"),
-        F.coalesce(F.try_divide(F.col("n_upper").cast("double"), F.col("n_upper") + F.col("n_lower")), F.lit(0.0)).alias("upper"),
-        share("n_digits", "word_chars").alias("digits"),
-        share("n_marks", "n_words").alias("marks"),
-        share("n_bars", "n_words").alias("bars"),
-        F.col("longest").cast("double").alias("longest"),
-        share("n_words", "n_lines").alias("line_words"),
-        share("n_distinct", "n_words").alias("distinct"),
-    )
+    ratios = {
+        "mean_word": lambda: share("word_chars", "n_words"),
+        "symbols": lambda: share("n_symbols", "word_chars"),
+        "dup_lines": lambda: share("n_dup_lines", "n_lines"),
+        "repeats": lambda: share("n_repeat_words", "n_words"),
+        "upper": lambda: F.coalesce(F.try_divide(F.col("n_upper").cast("double"), F.col("n_upper") + F.col("n_lower")), F.lit(0.0)),
+        "digits": lambda: share("n_digits", "word_chars"),
+        "marks": lambda: share("n_marks", "n_words"),
+        "bars": lambda: share("n_bars", "n_words"),
+        "longest": lambda: F.col("longest").cast("double"),
+        "line_words": lambda: share("n_words", "n_lines"),
+        "distinct": lambda: share("n_distinct", "n_words"),
+    }
+    return df.select("doc_id", *BASE, *[ratio().alias(k) for k, ratio in ratios.items() if k in features])
 
 
 def base_failed() -> Column:
@@ -121,6 +129,9 @@ class DecisionList:
             out = F.when(rule.column(), False) if out is None else out.when(rule.column(), False)
         return F.lit(True) if out is None else out.otherwise(True)
 
+    def features(self) -> list[str]:
+        return sorted({name for rule in self.rules for name, _, _ in rule.terms})
+
     def good(self, x: dict[str, np.ndarray]) -> np.ndarray:
         out = np.ones(len(next(iter(x.values()))), dtype=bool)
         for rule in self.rules:
@@ -197,8 +208,7 @@ def learned(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED
     Rows with a null label or doc_id aren't used; without labelled rows the list is empty and all rows are good.
     """
     chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    ids = chosen.select(F.col("doc_id").alias("chosen_id"), "quality")
+    ids = hashed_sample(chosen, "doc_id", max_labelled).select(F.col("doc_id").alias("chosen_id"), "quality")
     some = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("chosen_id"))
     stats = statistics(some.select("doc_id", "text")).join(F.broadcast(ids), F.col("doc_id") == F.col("chosen_id"))
     rows = stats.select("doc_id", "quality", *FEATURES).orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(max_labelled).collect()
@@ -208,7 +218,7 @@ def learned(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED
 
 def judged(docs: DataFrame, rules: DecisionList, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the base statistics, base_failed and kept of every row of docs."""
-    stats = statistics(docs, id_col, text_col).select("*", base_failed().alias("base_failed"))
+    stats = statistics(docs, id_col, text_col, rules.features()).select("*", base_failed().alias("base_failed"))
     return stats.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & rules.column()).alias("kept"))
 
 
@@ -216,7 +226,7 @@ def keep_good(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> D
     """docs without the rows that the base rules or the list reject; columns as before."""
     (whole,) = fresh(docs, "whole_row")
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias(whole))
-    stats = statistics(packed.select(F.col(whole), F.col(whole)[text_col].alias("judged_text")), whole, "judged_text")
+    stats = statistics(packed.select(F.col(whole), F.col(whole)[text_col].alias("judged_text")), whole, "judged_text", rules.features())
     # An array of the row or nothing, exploded: a filter would be pushed below, and repeat the statistics' expressions.
     return stats.select(F.explode(F.when(~base_failed() & rules.column(), F.array("doc_id"))).alias("kept")).select("kept.*")
 
