@@ -56,3 +56,11 @@ def test_keys_differ_and_plan_is_native(spark, docs, nothing):
     assert pii.pseudonymise(df, "one").first().text != pii.pseudonymise(df, "two").first().text
     assert not re.search("Python|Pandas|Arrow", pii.pseudonymise(docs)._jdf.queryExecution().executedPlan().toString())
     assert pii.pseudonymise(nothing).count() == 0 and pii.pseudonymise(docs).count() == docs.count()
+
+
+def test_very_long_words_and_dots(spark):
+    word, dots = "ab9" * 200_000, "x@" + "a." * 100_000
+    df = spark.createDataFrame([(1, word), (2, dots), (3, f"{word} me@mail5.example.com")], "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    assert out[1].text == word and out[1].n_private == 0 and out[2].n_private <= 1
+    assert out[3].n_private == 1 and out[3].text.startswith(word + " user") and out[3].text.endswith("@example.invalid")
