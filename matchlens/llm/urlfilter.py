@@ -19,7 +19,7 @@ from .common import checkpointed, table, unpartitioned
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The host of an absolute link in a page.
-LINK = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s>]+)"""
+LINK = r"""(?i)href\s*+=\s*+["']?\s*+(?:[a-z][a-z0-9+.\-]*+:)?//([^/?#"'\s>]++)"""
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
