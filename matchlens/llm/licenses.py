@@ -181,9 +181,10 @@ def train(others: list[str], seed: int = 3, rounds: int = 300, sparsity: float =
 
 
 def _others(docs: DataFrame, at_most: int) -> list[str]:
-    """Lines of the documents that a hash of doc_id puts first: a bounded sample."""
+    """Of the documents that a hash of doc_id puts first, up to eight lines each, put first by a hash too: a bounded sample."""
     some = hashed_sample(docs.where("text is not null").select("doc_id", F.col("text").alias("t")), "doc_id", at_most // 8)
-    lines = some.select(F.explode(F.slice(F.split("t", "\n"), 1, 8)).alias("line")).where("line <> ''").collect()
+    each = F.array_sort(F.transform(F.array_distinct(F.split("t", "\n")), lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("line"))))
+    lines = some.select(F.explode(F.slice(each, 1, 8)).alias("s")).select("s.line").where("line <> ''").collect()
     return sorted(r["line"] for r in lines)
 
 
