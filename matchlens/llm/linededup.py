@@ -27,6 +27,8 @@ from .cuckoo import CuckooFilter
 STRIP = " \t\n\x0b\x0c\r"
 #: Filters of at most so many bytes are sent to all tasks; beyond, references go to the exact join directly.
 MAX_FILTER_BYTES = 64 << 20
+#: Filters have at least so many shards, and so many keys a shard on average, so that no task builds a large one.
+LEAST_SHARDS, SHARD_KEYS = 64, 65_536
 
 
 def line_key(line: str, min_chars: int) -> bytes | None:
@@ -59,6 +61,10 @@ def _filters(keys: DataFrame, shards: int) -> DataFrame:
     return keys.select(_shard(shards), "h1").groupBy("shard").applyInPandas(build, "shard int, filter binary")
 
 
+def _shards_for(keys: int) -> int:
+    return max(LEAST_SHARDS, -(-keys // SHARD_KEYS))
+
+
 def _shard(shards: int) -> Column:
     return F.pmod("h2", F.lit(shards)).cast("int").alias("shard")
 
@@ -71,13 +77,16 @@ class LineIndex:
     min_docs: int
     min_chars: int
     shards: int
+    sized_for: int
 
     @classmethod
-    def build(cls, docs: DataFrame, min_docs: int = 5, min_chars: int = 40, shards: int = 64) -> LineIndex:
-        """Indexes doc_id and text of docs. Rows with the same doc_id count as one document, a null doc_id as another."""
+    def build(cls, docs: DataFrame, min_docs: int = 5, min_chars: int = 40, shards: int | None = None) -> LineIndex:
+        """Indexes doc_id and text of docs; shards are as many as the keys need if not given. Rows with the same doc_id count as one document, a null doc_id as another."""
         refs = checkpointed(_references(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_chars))
         counts = checkpointed(cls._counted(refs, min_docs))
-        return cls(refs, counts, checkpointed(_filters(counts, shards)), min_docs, min_chars, shards)
+        n = counts.count()
+        shards = shards or _shards_for(n)
+        return cls(refs, counts, checkpointed(_filters(counts, shards)), min_docs, min_chars, shards, n)
 
     @staticmethod
     def _counted(refs: DataFrame, min_docs: int) -> DataFrame:
@@ -93,9 +102,13 @@ class LineIndex:
         return self._changed(self.refs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti"))
 
     def _changed(self, refs: DataFrame) -> LineIndex:
-        """Only the filters of shards with keys that came or went are opened; deletions and insertions go to them."""
+        """Filters take the keys that came and went. Once the keys outgrow the filters' room, these are built anew."""
         refs = checkpointed(refs)
         counts = checkpointed(self._counted(refs, self.min_docs))
+        n = counts.count()
+        if n > max(1.5 * self.sized_for, LEAST_SHARDS):
+            shards = _shards_for(n)
+            return replace(self, refs=refs, counts=counts, filters=checkpointed(_filters(counts, shards)), shards=shards, sized_for=n)
         key = ["h1", "h2"]
         came = counts.join(self.counts, key, "left_anti").select(_shard(self.shards), "h1", F.lit(True).alias("came"))
         went = self.counts.join(counts, key, "left_anti").select(_shard(self.shards), "h1", F.lit(False).alias("came"))
@@ -113,7 +126,7 @@ class LineIndex:
     def candidates(self, refs: DataFrame) -> DataFrame:
         """The references that the filters don't rule out."""
         spark = refs.sparkSession
-        size = self.filters.agg(F.sum(F.length("filter"))).first()[0] or 0
+        size = self.filters.agg(F.sum(F.length("filter").cast("long"))).first()[0] or 0
         if size > MAX_FILTER_BYTES:
             return refs
         shards, blobs = self.shards, spark.sparkContext.broadcast({r["shard"]: r["filter"] for r in self.filters.collect()})

@@ -4,6 +4,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 import numpy as np
+from matchlens.llm import linededup
 from matchlens.llm.cuckoo import CuckooFilter
 from matchlens.llm.linededup import LineIndex, dedup_lines
 
@@ -44,6 +45,15 @@ def test_insert_and_delete_are_reversible(spark, docs, rows):
     assert digest(dedup_lines(docs.where("doc_id <> 18"), again)) == slow([r for r in rows if r[0] != 18])
 
 
+def test_filters_grow_with_the_keys(docs, rows, monkeypatch):
+    monkeypatch.setattr(linededup, "LEAST_SHARDS", 1)
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 1)
+    index = LineIndex.build(docs.where("doc_id < 11"), min_docs=1)
+    grown = index.insert(docs.where("doc_id >= 11"))
+    assert grown.shards == grown.sized_for == grown.counts.count() > 1.5 * index.sized_for
+    assert digest(dedup_lines(docs, grown)) == slow(rows, min_docs=1)
+
+
 def test_clashing_columns_nulls_and_empty(docs, nothing):
     wide = docs.withColumn("n_lines", F.lit("x")).withColumn("drop_id", F.lit(1)).withColumn("n_dropped", F.lit(None).cast("int"))
     out = dedup_lines(wide)
