@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: White space between words, as a regular expression of the JVM and of Python alike.
 BLANK = r"[\x20\x09-\x0D]+"
+#: A word. Possessive: each character is tried once, however long the word.
+WORD = r"[^\x20\x09-\x0D]++"
 
 
 def shared_folder(spark: SparkSession) -> str:

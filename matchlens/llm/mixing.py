@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK, checkpointed, fresh, table, unpartitioned
+from .common import BLANK, WORD, checkpointed, fresh, table, unpartitioned
 
 GOLDEN = 0.6180339887498949
 #: Slots ranked together, and documents placed together, at most about so many.
@@ -25,9 +25,7 @@ MAX_BROADCAST_SOURCES = 10_000
 
 def sizes(docs: DataFrame, text_col: str = "text") -> Column:
     """The number of words in the text; of null 0."""
-    text = F.coalesce(docs[text_col], F.lit(""))
-    trimmed = F.regexp_replace(text, rf"^{BLANK}|{BLANK}$", "")
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.regexp_count(trimmed, F.lit(BLANK)) + 1).cast("long")
+    return F.regexp_count(F.coalesce(docs[text_col], F.lit("")), F.lit(WORD)).cast("long")
 
 
 def targets(by_source: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0) -> DataFrame:

@@ -70,3 +70,9 @@ def test_schedule_is_spread(spark):
 
 def test_empty(nothing):
     assert mixing.taken(nothing).count() == 0 and mixing.mixed(nothing).count() == 0
+
+
+def test_sizes_of_odd_texts(spark):
+    texts = [None, "", " \t", "a", " a  b\n", "a" + " " * 300_000 + "b", "é\u3000x\x1cy z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r[0] for r in df.orderBy("doc_id").select(mixing.sizes(df)).collect()] == [0, 0, 0, 1, 2, 2, 2]
