@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlens.llm import linededup, mixing, packing, quality, simhash
+from matchlens.llm import jaccard, linededup, mixing, packing, quality, simhash
 from matchlens.llm.common import shared_folder, table
 
 #: Quality rules are learned, and near-duplicates found by hash tables: no SQL expresses them.
@@ -33,7 +33,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(docs)
+    return simhash.first_of_each(docs, jaccard.near_duplicates(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

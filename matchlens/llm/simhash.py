@@ -104,8 +104,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, dense: i
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs with the least doc_id of each component only, once; rows without a doc_id stay."""
-    id_col = options.get("id_col", "doc_id")
-    found = near_duplicates(docs, **options)
+    return first_of_each(docs, near_duplicates(docs, **options), options.get("id_col", "doc_id"))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs with the rows whose doc_id is a component_id of found only, each doc_id once; rows without a doc_id stay."""
     kept = checkpointed(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
     key = docs[id_col].cast("long")
     (name,) = fresh(docs, "kept_id")
