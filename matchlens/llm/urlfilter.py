@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,9 +39,12 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return rule, verdict
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, rounds: int | None = 10, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """(host, trust, distrust) after some rounds, from edges (src, dst, w) and seeds (host, trusted, distrusted).
 
+    Without a number of rounds, they end when they reach no new host and change all scores together by at most the
+    tolerance, of a seed mass of 1 in each kind.
+
     Only hosts with any of the two appear. The seeds' weights count equally and sum to 1 in each kind.
     """
     total = seeds.agg(F.sum("trusted"), F.sum("distrusted")).first()
@@ -52,27 +56,40 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = 10, damping: float
     shared = checkpointed(shared.select("src", "dst", (F.col("w") / F.col("sent")).alias("down"), (F.col("w") / F.col("got")).alias("up")))
     scores = seeds.select("host", F.col("trusted").alias("trust"), F.col("distrusted").alias("distrust"))
     zero = F.lit(0.0)
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
+        before = scores
         trust = scores.where("trust > 0").select(unpartitioned_string("host"), "trust")
         distrust = scores.where("distrust > 0").select(unpartitioned_string("host"), "distrust")
         down = shared.join(trust, F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (F.col("trust") * F.col("down") * damping).alias("trust"), zero.alias("distrust"))
         up = shared.join(distrust, F.col("dst") == F.col("host")).select(F.col("src").alias("host"), zero.alias("trust"), (F.col("distrust") * F.col("up") * damping).alias("distrust"))
         again = seeds.select("host", (F.col("trusted") * (1 - damping)).alias("trust"), (F.col("distrusted") * (1 - damping)).alias("distrust"))
         scores = checkpointed(reduce(DataFrame.union, [down, up, again]).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
+        if rounds is None and _settled(before, scores, tolerance):
+            break
     return scores
 
 
+def _settled(before: DataFrame, now: DataFrame, tolerance: float) -> bool:
+    kinds = [F.col(c) for c in ("trust", "distrust")]
+    old, new = (df.select("host", *[(k * sign).alias(c) for k, c in zip(kinds, ("t", "d"))], *[F.lit(int(sign > 0)).alias("late")], *[(k > 0).cast("int").alias(f"has_{c}") for k, c in zip(kinds, ("t", "d"))]) for df, sign in ((before, -1.0), (now, 1.0)))
+    signed = lambda c: F.sum(F.when(F.col("late") == 1, F.col(c)).otherwise(-F.col(c)))
+    each = old.union(new).groupBy("host").agg(F.abs(F.sum("t")).alias("t"), F.abs(F.sum("d")).alias("d"), signed("has_t").alias("has_t"), signed("has_d").alias("has_d"))
+    found = each.agg(F.sum("t"), F.sum("d"), F.max(F.greatest("has_t", "has_d"))).first()
+    return found[2] is None or (found[0] <= tolerance and found[1] <= tolerance and found[2] <= 0)
+
+
 def unpartitioned_string(name: str) -> Column:
     """As common.unpartitioned, of a string."""
     return F.concat(F.col(name), F.lit("")).alias(name)
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, rounds: int = 10, damping: float = 0.85, ratio: float = 1.0, least: float = 1e-9) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, rounds: int | None = 10, damping: float = 0.85, ratio: float = 1.0) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of every row of pages (page_id, url, html).
 
     Null urls, and urls without "://", have an empty host and path, fit no rule and are allowed. A null html has no
-    links; a host's links to itself don't count. Repeated rows are judged each and count as further links. Scores are
-    rounded to 12 places before they are compared; a host that no seed reaches is allowed. An empty table gives no rows.
+    links; a host's links to itself don't count. Repeated rows are judged each and count as further links. Distrust
+    blocks if it exceeds ratio * trust by more than a billionth of that, however small both are; a host that no seed
+    reaches is allowed. Without a number of rounds, scores are spread until they settle. An empty table gives no rows.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
@@ -83,12 +100,12 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, round
     is_ = lambda x: F.max(F.when(F.col("says") == x, 1.0).otherwise(0.0))
     seeds = ruled.where("says is not null").groupBy("host").agg(is_("allow").alias("trusted"), is_("block").alias("distrusted"))
     scores = spread(checkpointed(edges), checkpointed(seeds), rounds, damping)
-    scores = scores.select(unpartitioned_string("host").alias("scored"), F.round("trust", 12).alias("trust"), F.round("distrust", 12).alias("distrust"))
+    scores = scores.select(unpartitioned_string("host").alias("scored"), "trust", "distrust")
     joined = ruled.join(scores, F.col("host") == F.col("scored"), "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    spread_says = F.when((distrust > least) & (distrust > ratio * trust), "block").otherwise("allow")
+    spread_says = F.when(distrust > ratio * trust * (1 + 1e-9), "block").otherwise("allow")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("says", spread_says).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+    return judge(table(spark, sf_dir, "pages"), rounds=None).select("page_id", "host", "path", "rule", "verdict")

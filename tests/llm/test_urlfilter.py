@@ -68,3 +68,19 @@ def test_propagation(spark):
 
 def test_empty(spark):
     assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_verdicts_of_many_copies_and_far_hosts(spark):
+    link = lambda h, n=1: f'<a href="//{h}/">' * n
+
+    def verdicts(copies):
+        pages = []
+        for c in range(copies):
+            pages += [(f"b{c}.net", ""), (f"heavy{c}.test", link(f"b{c}.net", 2000)), (f"light{c}.test", link(f"b{c}.net")), (f"heavier{c}.test", link(f"light{c}.test", 2000)), (f"lighter{c}.test", link(f"light{c}.test"))]
+            pages += [(f"far{c}x{i}.test", link(f"far{c}x{i - 1}.test" if i else f"b{c}.net")) for i in range(14)] + [(f"lone{c}.test", "")]
+        df = spark.createDataFrame([(i, f"http://{h}/", x) for i, (h, x) in enumerate(pages)], "page_id long, url string, html string")
+        return [r.verdict for r in urlfilter.judge(df, rounds=None).orderBy("page_id").collect()]
+
+    one = verdicts(1)
+    assert one == ["block"] * 19 + ["allow"]
+    assert verdicts(40) == one * 40
