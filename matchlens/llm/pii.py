@@ -19,9 +19,19 @@ DAYS, DAYS_A = 146_097, 189
 # The name is tried from its first character only, and labels and their number are bounded: a very long word takes
 # time in proportion to its length, and no deep stack.
 EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,30}\.[A-Za-z]{2,63}"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
 SECRET = r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])"
-PHONE = r"\+[0-9]{1,3}[ .\-]\(?[0-9]{2,4}\)?[ .\-][0-9]{3,4}[ .\-][0-9]{3,4}(?![0-9])"
+#: American numbers with their code; groups of one to eight digits, 8 to 15 digits in all; three groups of any code;
+#: E.164 without separators; American numbers without their code, or with 1 before.
+PHONE = (
+    r"(?:\+1[ .\-]\(?[0-9]{3}\)?[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9])"
+    r"|\+(?=(?:[ .\-]?[()]?[ .\-]?[0-9]){8,15}+(?![ .\-]?[0-9]))[1-9][0-9]{0,2}(?:[ .\-]?\([0-9]{1,5}\)[ .\-]?[0-9]{1,8}|[ .\-][0-9]{1,8})(?:[ .\-][0-9]{1,8}){1,6}(?![0-9])"
+    r"|\+[0-9]{1,3}[ .\-]\(?[0-9]{2,4}\)?[ .\-][0-9]{3,4}[ .\-][0-9]{3,4}(?![0-9])"
+    r"|\+[1-9][0-9]{7,14}(?![0-9])"
+    r"|(?<![0-9+\-.])(?:1[ \-])?(?:\([2-9][0-9]{2}\)[ \-]?|[2-9][0-9]{2}-)[0-9]{3}[ .\-][0-9]{4}(?![0-9\-]))"
+)
+#: The part of a phone number that stays: its country code, by the ITU's list where nothing sets it off.
+KEPT = r"^(?:\+[0-9]{1,3}(?=[ .\-(])|\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})|1[ \-])"
 ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 SOCIAL = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 DATE = r"(?<![0-9\-/.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9\-/])"
@@ -124,14 +134,27 @@ def _date(m: Column, key: Column) -> Column:
 
 
 def _iban(m: Column, key: Column) -> Column:
-    """The account's digits are permuted in blocks of at most 18, its letters stay, the check digits follow."""
+    """The longest run of groups of m that is valid, with what follows it as it was; m if none is."""
+    parts = F.split(m, " ")
+    runs = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), " "))
+    valid = F.filter(runs, lambda x: (F.length(x) >= 14) & (_mod97(_plain(F.concat(F.substring(x, 5, 100), F.substring(x, 1, 4)))) == 1))
+    new = F.transform(F.slice(F.reverse(valid), 1, 1), lambda x: F.concat(_valid_iban(x, key), F.substr(m, F.length(x) + 1)))
+    return F.coalesce(F.get(new, 0), m)
+
+
+def _plain(text: Column) -> Column:
+    return F.regexp_replace(text, " ", "")
+
+
+def _valid_iban(m: Column, key: Column) -> Column:
+    """The account's digits are permuted in blocks of at most 18, its letters and blanks stay, the check digits follow."""
     country, account = F.substring(m, 1, 2), F.substring(m, 5, 100)
     digits = _digits(account)
     head, tail = F.substring(digits, 1, 18), F.substring(digits, 19, 18)
     safe = lambda x, kind: F.when(F.length(x) > 0, permuted_digits(x, F.concat(key, country), kind)).otherwise("")
     new = refilled(account, F.concat(safe(head, "iban1"), safe(tail, "iban2")))
-    check = F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    return F.when(_mod97(F.concat(account, country, F.substring(m, 3, 2))) == 1, F.concat(country, check, new)).otherwise(m)
+    check = F.lpad((98 - _mod97(_plain(F.concat(new, country, F.lit("00"))))).cast("string"), 2, "0")
+    return F.concat(country, check, new)
 
 
 def _hex_like(m: Column, key: Column, kind: str) -> Column:
@@ -145,7 +168,7 @@ def _email(m: Column, key: Column) -> Column:
 
 def pseudonym(m: Column, key: Column) -> Column:
     """The pseudonym of a found value; the value itself if it isn't valid. A phone number keeps its country code."""
-    country = F.regexp_extract(m, r"^\+[0-9]+", 0)
+    country = F.regexp_extract(m, KEPT, 0)
     rest = F.substr(m, F.length(country) + 1)
     phone = F.concat(country, refilled(rest, permuted_digits(_digits(rest), key, "phone")))
     is_ = lambda p: m.rlike(f"^(?:{p})$")
@@ -167,7 +190,9 @@ def pseudonymise(docs: DataFrame, key: str = "set a key of your own", text_col:
 
     Null texts stay null, empty ones empty, with 0 values. Values that fail validation stay as they are. Addresses of
     the mail kind become addresses of one made-up domain; 32 to 64 hex digits become as many others. n_private gets
-    underscores if docs has such a column.
+    underscores if docs has such a column. Left as they are: phone numbers without a + unless American with a bracketed
+    or dashed area code, those with two separators between groups, extensions, and IBANs in lower case or grouped
+    otherwise than by four.
     """
     count, found, new = fresh(docs, "n_private", "found_values", "new_values")
     text = F.col(text_col)

@@ -64,3 +64,23 @@ def test_very_long_words_and_dots(spark):
     out = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
     assert out[1].text == word and out[1].n_private == 0 and out[2].n_private <= 1
     assert out[3].n_private == 1 and out[3].text.startswith(word + " user") and out[3].text.endswith("@example.invalid")
+
+
+def test_other_forms_of_phones_and_accounts(spark):
+    phones = ["(743) 555-3824", "743-555-3824", "+17435553824", "+33 1 42 68 53 00", "+49 30 12345678", "+44 20 7946 0958", "1-743-555-3824", "+44 (0)20 7946 0958"]
+    accounts = ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]
+    tails = [".", " USD", " AND 12"]
+    rows = [(k, f"see {v}{t}") for k, (v, t) in enumerate([(v, ".") for v in phones] + [(v, t) for v in accounts for t in tails])]
+    clean = ["DE89 3704 0044 0532 0130 01", "in 1984-555-3824", "+1 2 3", "1743-555-38245", "a+12345"]
+    rows += [(100 + k, c) for k, c in enumerate(clean)]
+    out = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (i, text) in enumerate(rows):
+        if i >= 100:
+            assert out[i].text == text and out[i].n_private == 0, out[i]
+            continue
+        assert out[i].text != text and out[i].n_private == 1, (text, out[i])
+        assert re.sub("[0-9]", "0", out[i].text) == re.sub("[0-9]", "0", text), (text, out[i])
+        if k >= len(phones):
+            v, t = [(v, t) for v in accounts for t in tails][k - len(phones)]
+            assert out[i].text.endswith(t) and iban(out[i].text[4 : len(out[i].text) - len(t)].replace(" ", ""))
+    assert out[2].text.startswith("see +1") and out[1].text[-13:-1].replace("-", "") == out[2].text[-11:-1]
