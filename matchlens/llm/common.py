@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space between words, as a regular expression of the JVM and of Python alike.
@@ -16,14 +18,18 @@ WORD = r"[^\x20\x09-\x0D]++"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir, or that a caller has set for checkpoints.
 
-    Only where neither is so, as in tests on one machine, a temporary folder takes its place.
+    Only where neither is so on one machine (a local master), as in tests, a temporary folder takes its place; on a
+    cluster that is an error, since executors don't share local folders.
     """
     context = spark.sparkContext
+    is_set = context._jsc.sc().getCheckpointDir().isDefined()
     if (named := context.getConf().get("spark.checkpoint.dir")) is None:
-        if context._jsc.sc().getCheckpointDir().isDefined():
+        if is_set:
             return context._jsc.sc().getCheckpointDir().get()
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="checkpoint")
-    if not context._jsc.sc().getCheckpointDir().isDefined():
+    if not is_set:
         context.setCheckpointDir(named)
     return named
 
@@ -72,3 +78,20 @@ def hashed_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     if total > 4 * most:
         df = df.where(place < int((1 << 40) * 2 * most / total))
     return df.orderBy(place, key).limit(most)
+
+
+def running_sums(df: DataFrame, order: Sequence[Column], **values: Column) -> DataFrame:
+    """df with the sum of each value over all rows before a row, in the order, which must tell all rows apart.
+
+    Rows are dealt to ranges of the order; only a row for each range meets in one task, and no more ranges are made
+    than there are partitions. An empty df gives an empty result.
+    """
+    part, key, first = fresh(df, "range_part", "range_key", "range_first")
+    dealt = checkpointed(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    totals = dealt.groupBy(part).agg(*[F.sum(v).alias(k) for k, v in values.items()])
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(F.col(part).alias(key), F.struct(*[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k) for k in values]).alias(first))
+    inside = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = dealt.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"{key}_{k}") for k, v in values.items()])
+    joined = summed.join(F.broadcast(totals), F.col(part) == F.col(key))
+    return joined.select(*df.columns, *[(F.col(f"{key}_{k}") + F.col(first)[k]).alias(k) for k in values])
