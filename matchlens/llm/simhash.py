@@ -4,13 +4,15 @@ The fingerprint's bits are dealt to the non-zero vectors of r + 1 bits. Each suc
 keeps the bits dealt to vectors that have an odd scalar product with v. Any r bits that differ leave some v orthogonal
 to all of their vectors; in that table both fingerprints have the same key. So no pair within radius r is missed.
 
-A bucket with more than `dense` fingerprints isn't paired off: for radius 2 its fingerprints are dealt to their
-neighbours at distance 1, of which every pair within 2 has one in common, and a neighbour has 65 at most.
+A bucket's fingerprints agree in its mask's bits and differ in the rest only. So a bucket of more than `most` is dealt
+again by covering masks of the bits that are left, and so on: with radius 2 there are 28 bits left after the first
+dealing, 12 after the second, and 6 at most after the third, where no bucket can hold more than 64 fingerprints.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -57,44 +59,58 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def covering_masks(radius: int = 2) -> list[int]:
-    """One mask for each non-zero vector of radius + 1 bits, as signed longs."""
+def covering_masks(radius: int = 2, places: Sequence[int] = range(BITS)) -> list[list[int]]:
+    """For each non-zero vector of radius + 1 bits, those of the places (of bits) that its table's key keeps."""
     vectors = range(1, 1 << (radius + 1))
-    masks = [sum(1 << i for i in range(BITS) if bin(v & vectors[i % len(vectors)]).count("1") % 2) for v in vectors]
-    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
+    return [[p for i, p in enumerate(places) if bin(v & vectors[i % len(vectors)]).count("1") % 2] for v in vectors]
 
 
-def near_links(distinct: DataFrame, radius: int = 2, dense: int = 32) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints (column fp) within the radius; radius is 0, 1 or 2."""
+def _signed(places: Sequence[int]) -> int:
+    mask = sum(1 << p for p in places)
+    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
+
+
+def near_links(distinct: DataFrame, radius: int = 2, most: int = 32) -> DataFrame:
+    """All pairs (a, b), a below b, of distinct fingerprints (column fp) that differ in at most radius bits.
+
+    A pair is given once for each bucket that it is found in. Buckets of more than `most` are dealt again, as above,
+    as long as more than six bits are left; `most` changes the work, never the pairs.
+    """
     if not 0 <= radius <= 2:
         raise ValueError("a radius from 0 to 2 is supported")
-    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(covering_masks(radius))])
-    rows = distinct.select("fp", F.inline(keys))
-    sizes = rows.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    rows = checkpointed(rows.join(sizes.select("t", unpartitioned("k"), "n"), ["t", "k"]))
     near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= radius
-    group = rows.where(F.col("n") <= dense).groupBy("t", "k").agg(F.collect_list("fp").alias("g"))
-    each = group.select("g", F.explode("g").alias("a")).select("a", F.explode(F.filter("g", lambda x: (x > F.col("a")) & near(x, F.col("a")))).alias("b"))
-    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << BITS) if i == BITS - 1 else 1 << i)) for i in range(BITS)])
-    around = rows.where(F.col("n") > dense).select("fp").distinct().select("fp", F.explode(flips).alias("mid"))
-    stars = around.groupBy("mid").agg(F.collect_list("fp").alias("g")).where(F.size("g") > 1)
-    if radius < 2:  # a star may hold pairs at distance 2: link only those near enough
-        dealt = stars.select("g", F.explode("g").alias("a")).select("a", F.explode(F.filter("g", lambda x: (x > F.col("a")) & near(x, F.col("a")))).alias("b"))
-    else:
-        dealt = stars.select(F.array_min("g").alias("a"), F.explode("g").alias("b")).where("a <> b")
-    return each.union(dealt)
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, dense: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    rows, out = distinct.select("fp", F.lit(0).alias("path")), []
+    left = [list(range(BITS))]  # the places that are in no key, for each path of tables
+    while True:
+        kept = [covering_masks(radius, places) for places in left]
+        n = len(kept[0])
+        left = [[p for p in places if p not in one] for places, tables in zip(left, kept) for one in tables]
+        # A key holds the bits of all tables on its path.
+        masks = F.array(*[F.lit(_signed([p for p in range(BITS) if p not in places])) for places in left])
+        key = lambda i: F.struct((F.col("path") * n + i).alias("t"), F.col("fp").bitwiseAND(F.get(masks, F.col("path") * n + i)).alias("k"))  # noqa: B023, E731
+        dealt = rows.select("fp", F.inline(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), key)))
+        sizes = dealt.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
+        dealt = checkpointed(dealt.join(sizes.select("t", unpartitioned("k"), "n"), ["t", "k"]).select("fp", "t", "k", "n"))
+        last = max(map(len, left)) <= 6
+        group = (dealt if last else dealt.where(F.col("n") <= most)).groupBy("t", "k").agg(F.collect_list("fp").alias("g"))
+        each = group.select("g", F.explode("g").alias("a"))
+        out.append(each.select("a", F.explode(F.filter("g", lambda x: (x > F.col("a")) & near(x, F.col("a")))).alias("b")))
+        rows = dealt.where(F.col("n") > most).select("fp", F.col("t").alias("path"))
+        if last or rows.isEmpty():
+            return reduce(DataFrame.union, out)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, most: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs.
 
     Rows whose fingerprints differ in at most `radius` bits are linked; component_id is the least doc_id of a row's
-    component. Null and empty texts have fingerprint 0 and are linked like any other. Each repeated row gives its own
-    result row. A null doc_id never is a component_id unless a component has no other. An empty table gives no rows.
+    component. Null and empty texts have fingerprint 0 and are linked like any other; very long texts are read whole.
+    Each repeated row gives its own result row. A null doc_id never is a component_id unless a component has no other.
+    An empty table gives no rows. Other columns of docs, whatever their names, play no part.
     """
     marked = checkpointed(fingerprints(docs, shingle, id_col, text_col))
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = connected_components(near_links(classes.select("fp"), radius, dense), "a", "b")
+    found = connected_components(near_links(classes.select("fp"), radius, most), "a", "b")
     roots = classes.join(found.select(unpartitioned("node"), "root"), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     roots = checkpointed(roots)
     tops = roots.groupBy("root").agg(F.min("least").alias("component_id"))
