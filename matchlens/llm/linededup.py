@@ -1,9 +1,13 @@
 """Line dedup on sharded cuckoo filters, backed by exact reference-count tables.
 
 `LineIndex` holds three tables. `refs` has a row for each document and key, so that a deletion can be undone to the
-last reference; `counts` has the documents and the largest doc_id of each key in min_docs documents or more; `filters`
-has a cuckoo filter for each shard of those keys. The filters only say which references can't be of a repeated line;
-what passes is joined with the exact counts. Insertions and deletions of documents keep all three up to date.
+last reference; `counts` has the documents and the largest doc_id of each key; `filters` has a cuckoo filter for each
+shard of the keys in min_docs documents or more. The filters only say which references can't be of a repeated line;
+what passes is joined with the exact counts. Insertions and deletions change the rows of the keys that they touch, and
+the filters of the shards whose repeated keys they change.
+
+References meet the filter of their shard in tasks that read both in order of shard, one filter at a time, however many
+there are; a shard is dealt to several tasks, so that a frequent line isn't all in one.
 
 Keys are 128-bit hashes (XXH3) of stripped, lower-cased lines.
 """
@@ -25,10 +29,11 @@ from .common import checkpointed, fresh, table, unpartitioned
 from .cuckoo import CuckooFilter
 
 STRIP = " \t\n\x0b\x0c\r"
-#: Filters of at most so many bytes are sent to all tasks; beyond, references go to the exact join directly.
-MAX_FILTER_BYTES = 64 << 20
 #: Filters have at least so many shards, and so many keys a shard on average, so that no task builds a large one.
 LEAST_SHARDS, SHARD_KEYS = 64, 65_536
+#: The references of a shard are dealt to at least so many parts, and more if a part would have more than SALT_ROWS on
+#: average. Each part gets a copy of the shard's filter.
+LEAST_SALTS, SALT_ROWS = 8, 250_000
 
 
 def line_key(line: str, min_chars: int) -> bytes | None:
@@ -61,6 +66,11 @@ def _filters(keys: DataFrame, shards: int) -> DataFrame:
     return keys.select(_shard(shards), "h1").groupBy("shard").applyInPandas(build, "shard int, filter binary")
 
 
+def _counted(refs: DataFrame) -> DataFrame:
+    """(h1, h2, n_docs, largest) of all keys."""
+    return refs.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("largest"))
+
+
 def _shards_for(keys: int) -> int:
     return max(LEAST_SHARDS, -(-keys // SHARD_KEYS))
 
@@ -83,35 +93,54 @@ class LineIndex:
     def build(cls, docs: DataFrame, min_docs: int = 5, min_chars: int = 40, shards: int | None = None) -> LineIndex:
         """Indexes doc_id and text of docs; shards are as many as the keys need if not given. Rows with the same doc_id count as one document, a null doc_id as another."""
         refs = checkpointed(_references(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_chars))
-        counts = checkpointed(cls._counted(refs, min_docs))
-        n = counts.count()
+        counts = checkpointed(_counted(refs))
+        repeated = counts.where(F.col("n_docs") >= min_docs)
+        n = repeated.count()
         shards = shards or _shards_for(n)
-        return cls(refs, counts, checkpointed(_filters(counts, shards)), min_docs, min_chars, shards, n)
-
-    @staticmethod
-    def _counted(refs: DataFrame, min_docs: int) -> DataFrame:
-        return refs.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("largest")).where(F.col("n_docs") >= min_docs)
+        return cls(refs, counts, checkpointed(_filters(repeated, shards)), min_docs, min_chars, shards, n)
 
     def insert(self, docs: DataFrame) -> LineIndex:
+        """Takes in documents; references that are there already count once."""
         new = _references(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), self.min_chars)
-        return self._changed(self.refs.union(new).distinct())
+        old = self.refs.select(F.col("doc_id").alias("d"), unpartitioned("h1"), F.col("h2").alias("o2"))
+        new = checkpointed(new.join(old.withColumnRenamed("h1", "o1"), (F.col("h1") == F.col("o1")) & (F.col("h2") == F.col("o2")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_anti"))
+        was = self._of(new)
+        now = was.select("h1", "h2", "n_docs", "largest").union(_counted(new).select("h1", "h2", "n_docs", "largest"))
+        now = now.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("largest").alias("largest"))
+        return self._changed(self.refs.union(new), was, now)
 
     def delete(self, ids: DataFrame) -> LineIndex:
         """Takes out the documents of the first column of ids; results are as if they had never been inserted."""
-        gone = ids.select(ids[ids.columns[0]].cast("long").alias("gone_id")).distinct()
-        return self._changed(self.refs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti"))
-
-    def _changed(self, refs: DataFrame) -> LineIndex:
-        """Filters take the keys that came and went. Once the keys outgrow the filters' room, these are built anew."""
-        refs = checkpointed(refs)
-        counts = checkpointed(self._counted(refs, self.min_docs))
-        n = counts.count()
+        gone = checkpointed(ids.select(ids[ids.columns[0]].cast("long").alias("gone_id")).distinct())
+        lost = checkpointed(self.refs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_semi"))
+        rest = checkpointed(self.refs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti"))
+        touched = lost.select(F.col("h1").alias("k1"), F.col("h2").alias("k2")).distinct()
+        left = rest.join(touched, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left_semi")
+        return self._changed(rest, self._of(lost), _counted(left))
+
+    def _of(self, refs: DataFrame) -> DataFrame:
+        """The counts of the keys of some references."""
+        touched = refs.select(F.col("h1").alias("k1"), F.col("h2").alias("k2")).distinct()
+        return self.counts.join(touched, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left_semi")
+
+    def _changed(self, refs: DataFrame, was: DataFrame, now: DataFrame) -> LineIndex:
+        """was and now: the counts of the keys that are touched, before and after.
+
+        Filters take the keys that came and went. Once the keys outgrow the filters' room, these are built anew.
+        """
+        was, now = checkpointed(was), checkpointed(now)
+        keys = was.select("h1", "h2").union(now.select("h1", "h2")).distinct()
+        stay = self.counts.join(keys.select(F.col("h1").alias("k1"), F.col("h2").alias("k2")), (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left_anti")
+        counts = checkpointed(stay.unionByName(now))
+        often = F.col("n_docs") >= self.min_docs
+        n = counts.where(often).count()
         if n > max(1.5 * self.sized_for, LEAST_SHARDS):
             shards = _shards_for(n)
-            return replace(self, refs=refs, counts=counts, filters=checkpointed(_filters(counts, shards)), shards=shards, sized_for=n)
+            return replace(self, refs=refs, counts=counts, filters=checkpointed(_filters(counts.where(often), shards)), shards=shards, sized_for=n)
         key = ["h1", "h2"]
-        came = counts.join(self.counts, key, "left_anti").select(_shard(self.shards), "h1", F.lit(True).alias("came"))
-        went = self.counts.join(counts, key, "left_anti").select(_shard(self.shards), "h1", F.lit(False).alias("came"))
+        came = now.where(often).join(was.where(often), key, "left_anti").select(_shard(self.shards), "h1", F.lit(True).alias("came"))
+        went = was.where(often).join(now.where(often), key, "left_anti").select(_shard(self.shards), "h1", F.lit(False).alias("came"))
+        changes = checkpointed(came.union(went))
 
         def update(shard: tuple, old: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
             new, old_keys = np.sort(rows["h1"][rows["came"]].to_numpy()), np.sort(rows["h1"][~rows["came"]].to_numpy())
@@ -120,34 +149,48 @@ class LineIndex:
             out.insert(new)
             return pd.DataFrame({"shard": [shard[0]], "filter": [out.to_bytes()]})
 
-        filters = self.filters.groupBy("shard").cogroup(came.union(went).groupBy("shard")).applyInPandas(update, "shard int, filter binary")
-        return replace(self, refs=refs, counts=counts, filters=checkpointed(filters))
+        touched = changes.select(F.col("shard").alias("s")).distinct()
+        changed = self.filters.join(touched, F.col("shard") == F.col("s"), "left_semi")
+        same = self.filters.join(touched, F.col("shard") == F.col("s"), "left_anti")
+        new = changed.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(update, "shard int, filter binary")
+        return replace(self, refs=refs, counts=counts, filters=checkpointed(same.union(new)))
 
     def candidates(self, refs: DataFrame) -> DataFrame:
         """The references that the filters don't rule out."""
-        spark = refs.sparkSession
-        size = self.filters.agg(F.sum(F.length("filter").cast("long"))).first()[0] or 0
-        if size > MAX_FILTER_BYTES:
-            return refs
-        shards, blobs = self.shards, spark.sparkContext.broadcast({r["shard"]: r["filter"] for r in self.filters.collect()})
+        rows = refs.select(_shard(self.shards), "doc_id", "h1", "h2")
+        parts = F.greatest(F.lit(LEAST_SALTS), F.ceil(F.count("*") / SALT_ROWS)).cast("int").alias("parts")
+        parts = checkpointed(rows.groupBy(F.col("shard").alias("s")).agg(parts))  # a row for each SHARD_KEYS keys
+        rows = rows.join(parts, F.col("shard") == F.col("s"))
+        salt = F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.col("parts")).cast("int").alias("salt")
+        rows = rows.select("shard", salt, F.lit(None).cast("binary").alias("filter"), "doc_id", "h1", "h2")
+        salts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")
+        filters = self.filters.join(parts, F.col("shard") == F.col("s")).select("shard", salts, "filter", *[F.lit(None).cast("long").alias(c) for c in ("doc_id", "h1", "h2")])
+        met = filters.union(rows).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("filter").isNull())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filters = {k: CuckooFilter.from_bytes(v) for k, v in blobs.value.items()}
+            """A filter comes before the references of its shard and salt; a shard without one has no repeated key."""
+            place, held = None, None
             for batch in batches:
-                h1, h2 = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-                shard, keep = h2 % shards, np.zeros(len(h1), dtype=bool)
-                for k in np.unique(shard):
-                    if k in filters:
-                        of = shard == k
-                        keep[of] = filters[k].contains(h1[of])
-                yield batch.filter(pa.array(keep))
-
-        return refs.select("doc_id", "h1", "h2").mapInArrow(run, "doc_id long, h1 long, h2 long")
+                shard, salt = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                edges = np.flatnonzero((shard[1:] != shard[:-1]) | (salt[1:] != salt[:-1])) + 1
+                for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(shard)]):
+                    if b == a:
+                        continue
+                    if place != (place := (shard[a], salt[a])):
+                        blob = batch.column(2)[a].as_py()
+                        held = CuckooFilter.from_bytes(blob) if blob is not None else None
+                        a += blob is not None
+                    if held is not None and b > a:
+                        part = batch.slice(a, b - a)
+                        yield part.select(["doc_id", "h1", "h2"]).filter(pa.array(held.contains(part.column(4).to_numpy())))
+
+        return met.mapInArrow(run, "doc_id long, h1 long, h2 long")
 
     def dropped(self, refs: DataFrame) -> DataFrame:
         """(doc_id, h1, h2) of the keys whose lines the document loses."""
         found = self.candidates(refs).select("doc_id", unpartitioned("h1"), "h2")
-        exact = self.counts.select(unpartitioned("h1"), F.col("h2").alias("c2"), "largest").withColumnRenamed("h1", "c1")
+        exact = self.counts.where(F.col("n_docs") >= self.min_docs)
+        exact = exact.select(unpartitioned("h1"), F.col("h2").alias("c2"), "largest").withColumnRenamed("h1", "c1")
         joined = found.join(exact, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")))
         return joined.where("doc_id is null or doc_id <> largest").select("doc_id", "h1", "h2")
 

@@ -41,6 +41,8 @@ def test_insert_and_delete_are_reversible(spark, docs, rows):
     assert digest(dedup_lines(docs, index)) == slow(rows)
     back = index.delete(rest.select("doc_id"))
     assert digest(dedup_lines(first, back)) == slow([r for r in rows if r[0] < 14])
+    twice = index.insert(rest)
+    assert digest(dedup_lines(docs, twice)) == slow(rows) and twice.refs.count() == index.refs.count()
     again = index.delete(spark.createDataFrame([(18,)], "doc_id long"))
     assert digest(dedup_lines(docs.where("doc_id <> 18"), again)) == slow([r for r in rows if r[0] != 18])
 
@@ -50,10 +52,19 @@ def test_filters_grow_with_the_keys(docs, rows, monkeypatch):
     monkeypatch.setattr(linededup, "SHARD_KEYS", 1)
     index = LineIndex.build(docs.where("doc_id < 11"), min_docs=1)
     grown = index.insert(docs.where("doc_id >= 11"))
-    assert grown.shards == grown.sized_for == grown.counts.count() > 1.5 * index.sized_for
+    assert grown.shards == grown.sized_for == grown.counts.count() == grown.refs.select("h1", "h2").distinct().count() > 1.5 * index.sized_for
     assert digest(dedup_lines(docs, grown)) == slow(rows, min_docs=1)
 
 
+def test_filters_rule_out_and_shards_are_dealt(docs, rows, monkeypatch):
+    monkeypatch.setattr(linededup, "SALT_ROWS", 1)
+    index = LineIndex.build(docs)
+    left = index.candidates(index.refs)
+    repeated = index.counts.where("n_docs >= 5")
+    assert left.count() < index.refs.count() / 2 and left.join(repeated, ["h1", "h2"]).count() == index.refs.join(repeated, ["h1", "h2"]).count() == 9
+    assert digest(dedup_lines(docs, index)) == slow(rows)
+
+
 def test_clashing_columns_nulls_and_empty(docs, nothing):
     wide = docs.withColumn("n_lines", F.lit("x")).withColumn("drop_id", F.lit(1)).withColumn("n_dropped", F.lit(None).cast("int"))
     out = dedup_lines(wide)
