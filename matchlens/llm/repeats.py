@@ -15,13 +15,14 @@ GRAM, MAX_RUN = 16, 256
 _RANDOM = np.random.default_rng(20_240_229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes from each position on, by doubling."""
+def _gram_hashes(data: np.ndarray, level: int = 0) -> np.ndarray:
+    """A 64-bit hash of the GRAM bytes from each position on, by doubling; another order of grams for each level."""
     h, size, odd = _RANDOM[data], 1, 0x9E3779B97F4A7C15
     while size < GRAM:
         h = h[:-size] * np.uint64(odd) + h[size:]
         odd = (odd * odd + 2) % (1 << 64)
         size *= 2
+    h += np.array(level, dtype=np.uint64) * np.array(0x94D049BB133111EB, dtype=np.uint64)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
@@ -51,19 +52,22 @@ def _more_than_once(h: np.ndarray, key: np.ndarray, width: int, begin: np.ndarra
     return times > 1
 
 
-def runs(texts: list[bytes], window: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Arrays (text number, first window, windows, key, hash of the run's text, whether it may repeat in itself), for some texts at a time."""
+def runs(texts: list[bytes], window: int, level: int = 0, longest: int = MAX_RUN) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays (text number, first window, windows, key, hash of the run's text, whether it may repeat in itself), for some texts at a time.
+
+    The grams' hashes are others at each level. No run has more than `longest` windows.
+    """
     at = 0
     while at < len(texts):
         upto, size = at, 0
         while upto < len(texts) and (size < (1 << 20) or upto == at):
             size += len(texts[upto])
             upto += 1
-        yield _runs(texts[at:upto], at, window)
+        yield _runs(texts[at:upto], at, window, level, longest)
         at = upto
 
 
-def _runs(texts: list[bytes], first: int, window: int) -> tuple[np.ndarray, ...]:
+def _runs(texts: list[bytes], first: int, window: int, level: int, longest: int) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, dtype=np.int64)
     numbers = [i for i, t in enumerate(texts) if len(t) >= window]
     if not numbers:
@@ -71,7 +75,7 @@ def _runs(texts: list[bytes], first: int, window: int) -> tuple[np.ndarray, ...]
     joined = b"".join(texts[i] for i in numbers)
     ends = np.cumsum([len(texts[i]) for i in numbers])
     starts = np.concatenate([[0], ends[:-1]])
-    grams, width = _gram_hashes(np.frombuffer(joined, np.uint8)), window - GRAM + 1
+    grams, width = _gram_hashes(np.frombuffer(joined, np.uint8), level), window - GRAM + 1
     key = _least(grams, width)
     new = np.empty(len(key), dtype=bool)
     new[0] = True
@@ -83,12 +87,12 @@ def _runs(texts: list[bytes], first: int, window: int) -> tuple[np.ndarray, ...]
     stop = np.minimum(stop, ends[text] - window + 1)
     ok = stop > begin
     begin, stop, text = begin[ok], stop[ok], text[ok]
-    pieces = (stop - begin + MAX_RUN - 1) // MAX_RUN
+    pieces = (stop - begin + longest - 1) // longest
     if (pieces > 1).any():
         within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         text, last = np.repeat(text, pieces), np.repeat(stop, pieces)
-        begin = np.repeat(begin, pieces) + within * MAX_RUN
-        stop = np.minimum(begin + MAX_RUN, last)
+        begin = np.repeat(begin, pieces) + within * longest
+        stop = np.minimum(begin + longest, last)
     view, digest = memoryview(joined), xxhash.xxh3_64_intdigest
     whole = np.fromiter((digest(view[a:b]) for a, b in zip(begin.tolist(), (stop + window - 1).tolist())), dtype=np.uint64, count=len(begin))
     return first + np.array(numbers)[text], begin - starts[text], stop - begin, key[begin], whole, _more_than_once(grams, key, width, begin, stop)

@@ -1,20 +1,20 @@
 """Suffix-array dedup: bytes that lie in a window found anywhere else are removed, over all texts.
 
 Texts are written as runs of windows with one key (see repeats.py): a window can only repeat one with the same key. A
-run whose key is met once, at one place of its text, holds no repeat. Of a key all of whose runs have the same text,
-every window repeats. What
-remains, the different run texts of a key, goes to tasks sorted by key, and is searched by suffix arrays (suffixes.py)
-of some keys at a time. Keys with more than `dense` different run texts would be too much for one array; their windows
-are written singly by hash and counted by Spark instead.
+run whose key is met once, at one place of its text, holds no repeat. Of runs with the same text every window repeats.
+What remains, the different run texts of a key, goes to tasks sorted by key, and is searched by suffix arrays and their
+common prefixes (suffixes.py), some keys at a time. The run texts of a key that has more than `most` are first cut into
+runs by a second key, from another order of grams, and so on: equal windows agree in that key too. After LEVELS keys a
+run is one window, so that no key can have many texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +23,8 @@ from .common import checkpointed, table, unpartitioned
 
 #: Run texts searched together by one suffix array, if a key has no more.
 TOGETHER = 256
+#: Keys that a crowded key's runs are cut by, before they are cut into single windows.
+LEVELS = 3
 
 
 def _runs(base: DataFrame, window: int) -> DataFrame:
@@ -33,7 +35,7 @@ def _runs(base: DataFrame, window: int) -> DataFrame:
                 arrays = [ids[number], th[number], at.astype(np.int32), n.astype(np.int32), key.view(np.int64), whole.view(np.int64), own]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["id", "th", "at", "n", "key", "whole", "own"])
 
-    return base.mapInArrow(run, "id long, th int, at int, n int, key long, whole long, own boolean")
+    return base.mapInArrow(run, "id long, th long, at int, n int, key long, whole long, own boolean")
 
 
 def _cut(joined: DataFrame, window: int) -> DataFrame:
@@ -50,11 +52,11 @@ def _cut(joined: DataFrame, window: int) -> DataFrame:
             yield pack(rows)
 
     def pack(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         columns = list(zip(*rows)) or [()] * len(kinds)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "whole", "copies", "id", "th", "at", "n", "body"])
 
-    return joined.select("id", "th", "body", "runs").mapInArrow(run, "key long, whole long, copies long, id long, th int, at int, n int, body binary")
+    return joined.select("id", "th", "body", "runs").mapInArrow(run, "key long, whole long, copies long, id long, th long, at int, n int, body binary")
 
 
 def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -83,43 +85,59 @@ def _searched(texts: DataFrame, window: int) -> DataFrame:
                 for a, b in _spans(found):
                     for column, value in zip(out, (doc_id, th, at + a, at + b - 1 + window)):
                         column.append(value)
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["id", "th", "start", "stop"])
 
-    return texts.select("key", "copies", "id", "th", "at", "body").mapInArrow(run, "id long, th int, start int, stop int")
+    return texts.select("key", "copies", "id", "th", "at", "body").mapInArrow(run, "id long, th long, start int, stop int")
 
 
-def _counted(texts: DataFrame, window: int) -> DataFrame:
-    """As _searched, for keys with very many run texts: windows are counted by a 128-bit hash."""
+def _cut_again(texts: DataFrame, window: int, level: int) -> DataFrame:
+    """The runs of run texts by the key of another level, with their texts and the copies of the run they come from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for copies, doc_id, th, at, n, body in zip(*[c.to_pylist() for c in batch.columns]):
-                view = memoryview(body)
-                halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[i : i + window]) for i in range(n)), dtype="<i8").reshape(-1, 2)
-                same = lambda x, kind: pa.array(np.full(n, x), kind)
-                arrays = [pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), same(copies, pa.int64()), same(doc_id, pa.int64()), same(th, pa.int32()), pa.array(np.arange(at, at + n, dtype=np.int32))]
-                yield pa.RecordBatch.from_arrays(arrays, ["h1", "h2", "copies", "id", "th", "start"])
-
-    each = texts.select("copies", "id", "th", "at", "n", "body").mapInArrow(run, "h1 long, h2 long, copies long, id long, th int, start int")
-    twice = each.groupBy(F.col("h1").alias("k1"), F.col("h2").alias("k2")).agg(F.sum("copies").alias("c")).where("c > 1")
-    twice = twice.select(unpartitioned("k1"), "k2")
-    hit = each.where("copies = 1").join(twice, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
-    return hit.select("id", "th", "start", (F.col("start") + window).alias("stop"))
+            keys, copies, ids, ths, starts = (batch.column(i).to_numpy() for i in range(5))
+            bodies = batch.column(5).to_pylist()
+            for number, at, n, key, whole, own in repeats.runs(bodies, window, level, 1 if level > LEVELS else repeats.MAX_RUN):
+                # A single window's key is the hash of all its text.
+                both = (keys[number].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (whole if level > LEVELS else key)
+                parts = [bodies[i][a : a + c + window - 1] for i, a, c in zip(number.tolist(), at.tolist(), n.tolist())]
+                arrays = [both.view(np.int64), whole.view(np.int64), copies[number], ids[number], ths[number], (starts[number] + at).astype(np.int32), n.astype(np.int32), own]
+                yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in arrays], pa.array(parts, pa.binary())], ["key", "whole", "copies", "id", "th", "at", "n", "own", "body"])
+
+    return texts.select("key", "copies", "id", "th", "at", "body").mapInArrow(run, "key long, whole long, copies long, id long, th long, at int, n int, own boolean, body binary")
+
+
+def _repeats_of(texts: DataFrame, crowded: DataFrame, window: int, most: int, level: int = 1) -> list[DataFrame]:
+    """(id, th, start, stop) of the repeats in different run texts of a key. crowded: keys (k) with more than `most`."""
+    if crowded.isEmpty():
+        return [_searched(texts.repartition("key").sortWithinPartitions("key"), window)]
+    few = texts.join(crowded, F.col("key") == F.col("k"), "left_anti")
+    again = checkpointed(_cut_again(texts.join(crowded, F.col("key") == F.col("k"), "left_semi"), window, level))
+    firsts = [F.sum("copies").alias("copies"), F.max("own").alias("own"), F.min(F.struct("id", "th", "at", "n")).alias("first"), F.min_by("body", F.struct("id", "th", "at")).alias("body")]
+    groups = checkpointed(again.groupBy("key", "whole").agg(*firsts).select("key", "whole", "copies", "own", "first.*", "body"))
+    many = groups.where("copies > 1").select(unpartitioned("key"), F.col("whole").alias("w")).withColumnRenamed("key", "k")
+    equal = again.where("copies = 1").select("id", "th", "at", "n", unpartitioned("key"), "whole").join(many, (F.col("key") == F.col("k")) & (F.col("whole") == F.col("w")))
+    equal = equal.select("id", "th", F.col("at").alias("start"), (F.col("at") + F.col("n") - 1 + window).alias("stop"))
+    keys = checkpointed(groups.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("c"), F.max("own").alias("own")).where("c > 1 or own"))
+    left = groups.drop("own").join(keys.select(unpartitioned("k")), F.col("key") == F.col("k"), "left_semi")
+    rest = _repeats_of(left, keys.where(F.col("c") > most).select(unpartitioned("k")), window, most, level + 1)
+    return [_searched(few.repartition("key").sortWithinPartitions("key"), window), equal, *rest]
 
 
-def remove_repeats(docs: DataFrame, window: int = 200, dense: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 200, most: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, spans (start and stop of the removed runs of bytes) and kept (bytes) of every row of docs.
 
-    Null and empty texts have no bytes; texts shorter than the window lose none. Repeated rows are texts of their own,
-    and so lose all windows. An empty table gives no rows. Texts are told apart by doc_id and a hash, so doc_id may be
-    null or repeated.
+    Null and empty texts have no bytes; texts shorter than the window lose none; very long texts are searched whole.
+    Repeated rows are texts of their own, and so lose all windows. An empty table gives no rows. Texts are told apart by
+    doc_id and a hash, so doc_id may be null or repeated. Other columns of docs, whatever their names, play no part.
+    `most` changes the work, never the result.
     """
-    # A text is known by doc_id and a hash, whose lowest bit says that doc_id is null.
-    unknown = F.col(id_col).isNull()
-    th = F.hash(text_col).bitwiseAND(F.lit(-2)).bitwiseOR(F.when(unknown, 1).otherwise(0))
-    body = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), th.alias("th"), body.alias("body"))
+    # A text is known by doc_id and a hash, whose lowest bit says that doc_id is null: another hash stands for it then.
+    unknown, text = F.col(id_col).isNull(), F.coalesce(F.col(text_col), F.lit(""))
+    th = F.xxhash64(text).bitwiseAND(F.lit(-2)).bitwiseOR(F.when(unknown, 1).otherwise(0))
+    known = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit(1), text))
+    base = docs.select(known.alias("id"), th.alias("th"), F.encode(text, "UTF-8").alias("body"))
     runs = _runs(base, window)
     keys = runs.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("c"), F.min("whole").alias("lo"), F.max("whole").alias("hi"), F.max("own").alias("own")).where("c > 1 or own")
     keys = keys.select(unpartitioned("k"), ((F.col("lo") != F.col("hi")) | F.col("own")).alias("several"))
@@ -129,17 +147,13 @@ def remove_repeats(docs: DataFrame, window: int = 200, dense: int = 4096, id_col
     first = F.min(F.struct("id", "th", "at", "n")).alias("first")
     groups = found.where("several").groupBy("key", "whole").agg(F.count("*").alias("copies"), first)
     groups = checkpointed(groups.select("key", "whole", "copies", "first.*"))
-    crowded = groups.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("c")).where(F.col("c") > dense).select(unpartitioned("k"), F.lit(True).alias("crowded"))
-    marked = groups.join(crowded, F.col("key") == F.col("k"), "left").select("key", "whole", "copies", "id", "th", "at", "n", F.coalesce("crowded", F.lit(False)).alias("crowded"))
-    wanted = marked.groupBy("id", "th", "crowded").agg(F.collect_list(F.struct("key", "whole", "copies", "at", "n")).alias("runs"))
+    crowded = groups.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("c")).where(F.col("c") > most).select(unpartitioned("k"))
+    wanted = groups.groupBy("id", "th").agg(F.collect_list(F.struct("key", "whole", "copies", "at", "n")).alias("runs"))
     wanted = wanted.withColumnsRenamed({"id": "i", "th": "t"})
 
     bodies = base.repartition("id", "th")
-    cut = lambda crowded: _cut(bodies.join(wanted.where(F.col("crowded") == crowded).hint("shuffle_hash"), (F.col("id") == F.col("i")) & (F.col("th") == F.col("t"))), window)
-    partial = _searched(cut(False).repartition("key").sortWithinPartitions("key"), window)
-    any_crowded = not crowded.isEmpty()
-    if any_crowded:
-        partial = partial.union(_counted(cut(True), window))
+    texts = _cut(bodies.join(wanted.hint("shuffle_hash"), (F.col("id") == F.col("i")) & (F.col("th") == F.col("t"))), window)
+    partial = reduce(DataFrame.union, _repeats_of(texts, crowded, window, most))
 
     many = groups.where("copies > 1").select(unpartitioned("key"), F.col("whole").alias("w")).withColumnRenamed("key", "k")
     whole = found.where("several").select("id", "th", "at", "n", unpartitioned("key"), "whole").join(many, (F.col("key") == F.col("k")) & (F.col("whole") == F.col("w")))

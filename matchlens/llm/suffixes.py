@@ -64,6 +64,25 @@ def _slices(joined: bytes, marks: np.ndarray, places: list[int], depth: int) ->
     return {g: joined[g : min(g + depth, e)] for g, e in zip(places, ends)}
 
 
+def common_prefixes(joined: bytes, array: np.ndarray, most: int) -> np.ndarray:
+    """How many bytes each suffix has in common with the one before it in the array, up to `most`; 0 for the first."""
+    out = np.zeros(len(array), dtype=np.int64)
+    words = np.ndarray(len(joined), "<u8", joined + bytes(8), strides=(1,))  # the eight bytes from each place on
+    a, b, open_ = array[:-1], array[1:], np.arange(1, len(array))
+    for at in range(0, most, 8):
+        ends = len(joined) - 1
+        x, y = words[np.minimum(a + at, ends)], words[np.minimum(b + at, ends)]
+        same = x == y
+        differ = x[~same] ^ y[~same]
+        lowest = differ & (~differ + np.uint64(1))
+        out[open_[~same]] = at + np.log2(lowest.astype(float)).astype(np.int64) // 8
+        a, b, open_ = a[same], b[same], open_[same]
+        if not len(open_):
+            break
+    out[open_] = most
+    return np.minimum(out, most)
+
+
 def repeated(parts: list[bytes], window: int) -> list[np.ndarray]:
     """For each part, which of its windows occur once more, in it or in another part."""
     counts = [max(0, len(p) - window + 1) for p in parts]
@@ -73,14 +92,8 @@ def repeated(parts: list[bytes], window: int) -> list[np.ndarray]:
     for base, n in zip(bases.tolist(), counts):
         is_window[base : base + n] = True
     array = np.array(order, dtype=np.int64)
-    array = array[is_window[array]].tolist()
-    found: list[int] = []
-    before, last = b"", -1
-    for g in array:
-        here = joined[g : g + window]
-        if here == before:  # a common prefix of at least the window
-            found.append(g)
-            found.append(last)
-        before, last = here, g
-    flags[found] = True
+    array = array[is_window[array]]  # each has a whole window before its part's end mark
+    twice = np.flatnonzero(common_prefixes(joined, array, window) >= window)
+    flags[array[twice]] = True
+    flags[array[twice - 1]] = True
     return [flags[base : base + n] for base, n in zip(bases.tolist(), counts)]

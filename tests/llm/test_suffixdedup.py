@@ -43,14 +43,35 @@ def slow(rows, w):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("dense", [2, 4096])
-def test_against_brute_force(spark, docs, rows, dense):
+@pytest.mark.parametrize("most", [1, 1024])
+def test_against_brute_force(spark, docs, rows, most):
     more = [(None, rows[0][1], "x"), (None, "no repeat at all " + "q" * 10, "x"), (60, "xyz" * 500, "y"), (61, "tail " + rows[9][1][-230:], "y"), (61, "other text with that id", "y")]
     wide = docs.unionByName(spark.createDataFrame(more, docs.schema)).withColumn("id", F.lit(1)).withColumn("th", F.lit("x")).withColumn("body", F.lit(2))
-    out = suffixdedup.remove_repeats(wide, 200, dense).collect()
+    out = suffixdedup.remove_repeats(wide, 200, most).collect()
     got = [(r.doc_id, r.n_bytes, sum(s.stop - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in out]
     assert sorted(got, key=repr) == slow([*rows, *more], 200)
 
 
+@pytest.mark.parametrize("levels", [0, 3])
+def test_frequent_passage_in_many_contexts(spark, monkeypatch, levels):
+    """A key with many different run texts is cut by other keys; windows partly in the passage repeat in some rows only."""
+    monkeypatch.setattr(suffixdedup, "LEVELS", levels)
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, tails = noise(230), [noise(40) for _ in range(4)]
+    rows = [(i, noise(rng.randrange(50, 300)) + passage[: rng.choice([150, 205, 230])] + tails[i % 4][: rng.randrange(41)] + noise(60), "s") for i in range(60)]
+    out = suffixdedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, source string"), 200, 5).collect()
+    got = [(r.doc_id, r.n_bytes, sum(s.stop - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in out]
+    assert sorted(got, key=repr) == slow(rows, 200)
+
+
+def test_common_prefixes():
+    rng = random.Random(5)
+    data = bytes(rng.choice(b"ab\0") for _ in range(400))
+    array = np.array(sorted(range(300), key=lambda g: data[g:]))
+    slow_lcp = [0] + [next(k for k in range(31) if k == 30 or data[a + k] != data[b + k]) for a, b in zip(array[:-1], array[1:])]
+    assert suffixes.common_prefixes(data, array, 30).tolist() == slow_lcp
+
+
 def test_empty(nothing):
     assert suffixdedup.remove_repeats(nothing).count() == 0
