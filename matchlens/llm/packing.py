@@ -84,10 +84,6 @@ def full_patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return np.stack([i, j, capacity - i - j], axis=1)
 
 
-#: Patterns that the plan keeps at most: what is sent to all tasks is bounded by three places each and the residual's.
-MOST_PATTERNS = 4096
-
-
 def fit_repeats(patterns: np.ndarray, counts: np.ndarray, rounds: int = 600) -> np.ndarray:
     """Non-negative least squares: how often to repeat each pattern so that their documents come near the counts."""
     if not len(patterns):
@@ -156,9 +152,6 @@ def packing_plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...
     plan: Counter = Counter()
     patterns = full_patterns(np.flatnonzero(left), capacity)
     repeats = fit_repeats(patterns, left.astype(float))
-    if len(patterns) > MOST_PATTERNS:  # fit once more, with those that matter most
-        patterns = patterns[np.sort(np.argsort(-repeats, kind="stable")[:MOST_PATTERNS])]
-        repeats = fit_repeats(patterns, left.astype(float))
     for k in np.argsort(-repeats, kind="stable"):
         if repeats[k] < 0.5:
             break
@@ -176,7 +169,9 @@ def packing_plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...
 def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizers: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of the rows of docs.
 
-    Null and empty texts are pieces of one id. Repeated rows are packed each. An empty table gives no rows.
+    Null and empty texts are pieces of one id; very long ones give as many pieces as they need. Repeated rows are packed
+    each; pieces of one length are ranked by doc_id, piece and ids, and equal ones are interchangeable. doc_id may be
+    null. Columns of docs other than doc_id and text, whatever their names, play no part. An empty table gives no rows.
     """
     spark = docs.sparkSession
     pieces = checkpointed(token_pieces(docs, capacity, end_id, tokenizers))
@@ -195,7 +190,9 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizers: str
     ranked = dealt.select("*", F.row_number().over(inside).alias("k")).join(sums, ["length", "part"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("k") - 1).alias("rank"))
 
-    # The plan has a few thousand patterns, bounded by the capacity: a place is (length, first rank, end rank, sequence of the first, offset).
+    # A place is (length, first rank, end rank, sequence of the first, offset). Places are bounded by the capacity alone:
+    # three for each of some capacity^2 / 12 patterns (87,381 of 1024), and those of the residual, whose fillings are
+    # at most two for each length.
     used, places, sequence = Counter(), [], 0
     for filling, repeats in packing_plan(counts, capacity):
         offset = 0
