@@ -1,6 +1,7 @@
 import re
 from collections import defaultdict
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from matchlens.llm import mixing
@@ -68,6 +69,27 @@ def test_schedule_is_spread(spark):
     assert min(counts) >= 22 and max(counts) <= 28
 
 
+def test_mix_follows_the_schedule(spark, tmp_path):
+    """In the order that rows are written, every stretch has the sources in about their shares."""
+    rows = [(i, f"w{i} " * 20, "ab"[i % 4 == 0]) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = {r.source: r.target for r in mixing.mix(docs, 20)[1].collect()}
+    mixing.mixed(docs, block_words=20).write.parquet(str(tmp_path / "mix"))
+    parts = sorted((tmp_path / "mix").glob("*.parquet"))
+    order = [s for p in parts for s in pq.read_table(p)["source"].to_pylist()]
+    share = plan["b"] / sum(plan.values())
+    for at in range(0, len(order) - 200, 200):
+        assert abs(sum(s == "b" for s in order[at : at + 200]) - 200 * share) <= 12
+
+
+def test_many_sources(spark):
+    """Targets and schedule of more sources than a range has, against the plain rule."""
+    sizes = {f"s{i:03}": (i * 37) % 91 + 1 for i in range(300)} | {None: 5000, "": 0}
+    by = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    want = slow_targets(sizes)
+    assert all(abs(r.target - want[r.source]) < 1e-6 for r in mixing.targets(by).collect())
+
+
 def test_empty(nothing):
     assert mixing.taken(nothing).count() == 0 and mixing.mixed(nothing).count() == 0
 
