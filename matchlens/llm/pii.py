@@ -7,12 +7,17 @@ value leaves its format and no two collide. Equal values get equal pseudonyms wh
 
 from __future__ import annotations
 
+import calendar
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, table
 
 ROUNDS = 8
+#: The setting that the query takes its key from.
+KEY_SETTING = "spark.matchlens.pii.key"
 #: The days of 400 years from 1700-01-01 on: 189 * 773.
 DAYS, DAYS_A = 146_097, 189
 
@@ -130,7 +135,30 @@ def _date(m: Column, key: Column) -> Column:
         day = F.datediff(F.try_to_timestamp(m, F.lit(form)).cast("date"), F.lit("1700-01-01").cast("date")).cast("long")
         new = permuted(day, F.lit(DAYS_A).cast("long"), F.lit(DAYS // DAYS_A).cast("long"), key, "date")
         out = F.when(m.rlike(pattern), F.when(day.between(0, DAYS - 1), F.date_format(F.date_add(F.lit("1700-01-01").cast("date"), new.cast("int")), form)).otherwise(m)).otherwise(out)
-    return out
+    late = m.rlike(r"^\d\d/") & F.try_to_timestamp(m, F.lit("dd/MM/yyyy")).isNotNull() & (F.substring(m, 1, 2) > "12") & F.substring(m, 7, 4).between("1700", "2099")
+    return F.when(late, _late_day(m, key)).otherwise(out)
+
+
+def _late_day(m: Column, key: Column) -> Column:
+    """A date dd/MM/yyyy whose day is after the 12th, so that it can't be read as MM/dd/yyyy, becomes another such.
+
+    Days to the 28th are permuted over all months of 400 years, later ones over those months that have them.
+    """
+    day, month, year = (F.substring(m, at, n).cast("long") for at, n in ((1, 2), (4, 2), (7, 4)))
+    since = year - 1700
+    long = lambda x: F.lit(x).cast("long")
+    of = lambda value, a, b, kind: F.transform(F.array(permuted(value, long(a), long(b), key, kind)), lambda v: v)
+    over = lambda v, n: F.call_function("div", v, long(n))
+    text = lambda d, mo, y: F.concat(F.lpad(d.cast("string"), 2, "0"), F.lit("/"), F.lpad(mo.cast("string"), 2, "0"), F.lit("/"), (y + 1700).cast("string"))
+    made = lambda values, f: F.get(F.transform(values, f), 0)
+    in_month = lambda i: F.when(i == 0, 1).otherwise(i + 2)
+    months31 = F.array(*[F.lit(x) for x in (1, 3, 5, 7, 8, 10, 12)])
+    leap = F.array(*[F.lit(y) for y in range(400) if calendar.isleap(1700 + y)])
+    early = made(of((since * 12 + month - 1) * 16 + day - 13, 240, 320, "day"), lambda v: text(F.pmod(v, long(16)) + 13, F.pmod(over(v, 16), long(12)) + 1, over(v, 192)))
+    thirty = made(of((since * 11 + F.when(month == 1, 0).otherwise(month - 2)) * 2 + day - 29, 88, 100, "day30"), lambda v: text(F.pmod(v, long(2)) + 29, in_month(F.pmod(over(v, 2), long(11))), over(v, 22)))
+    last = made(of(since * 7 + F.array_position(months31, month.cast("int")) - 1, 28, 100, "day31"), lambda v: text(F.lit(31), F.element_at(months31, (F.pmod(v, long(7)) + 1).cast("int")), over(v, 7)))
+    leaps = made(of(F.array_position(leap, since.cast("int")) - 1, 1, 97, "leap"), lambda v: text(F.lit(29), F.lit(2), F.element_at(leap, (v + 1).cast("int"))))
+    return F.when(day <= 28, early).when(day == 31, last).when(month == 2, leaps).otherwise(thirty)
 
 
 def _iban(m: Column, key: Column) -> Column:
@@ -185,9 +213,12 @@ def pseudonym(m: Column, key: Column) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = "set a key of your own", text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs, all columns, with pseudonyms in the text, and n_private, the number of values replaced, at the end.
 
+    Who has the key can undo the permutations: it is the caller's to keep. Very long texts are read whole; repeated
+    rows, and equal values anywhere, get equal pseudonyms; an empty table gives no rows.
+
     Null texts stay null, empty ones empty, with 0 values. Values that fail validation stay as they are. Addresses of
     the mail kind become addresses of one made-up domain; 32 to 64 hex digits become as many others. n_private gets
     underscores if docs has such a column. Left as they are: phone numbers without a + unless American with a bracketed
@@ -204,5 +235,13 @@ def pseudonymise(docs: DataFrame, key: str = "set a key of your own", text_col:
     return rows.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.greatest(F.coalesce(F.size(changed), F.lit(0)), F.lit(0)).cast("long").alias(count))
 
 
+def session_key(spark: SparkSession) -> str:
+    """The key that the session's KEY_SETTING names; where it names none, one drawn for this session and kept there."""
+    if (key := spark.conf.get(KEY_SETTING, None)) is None:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_private", "text")
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark)).select("doc_id", "n_private", "text")
