@@ -1,6 +1,7 @@
 """URL filters: rules first, and for what they don't fit, trust and distrust spread over the graph of hosts.
 
-Hosts with a page that a rule allows are trusted, those with one that a rule blocks are distrusted. Trust follows links
+Hosts with a page that a rule allows are trusted, those with one that a rule blocks are distrusted; a host with pages of
+both kinds is a seed of either in the shares of its ruled pages. Trust follows links
 (personalised PageRank); distrust goes against them, to the hosts that link to blocked ones. A host is blocked if its
 distrust exceeds a multiple of its trust.
 """
@@ -45,7 +46,7 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int | None = 10, damping:
     Without a number of rounds, they end when they reach no new host and change all scores together by at most the
     tolerance, of a seed mass of 1 in each kind.
 
-    Only hosts with any of the two appear. The seeds' weights count equally and sum to 1 in each kind.
+    Only hosts with any of the two appear. The seeds' weights are scaled to sum to 1 in each kind.
     """
     total = seeds.agg(F.sum("trusted"), F.sum("distrusted")).first()
     share = lambda name, n: (F.col(name) / F.lit(float(n or 1))).alias(name)
@@ -90,6 +91,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, round
     links; a host's links to itself don't count. Repeated rows are judged each and count as further links. Distrust
     blocks if it exceeds ratio * trust by more than a billionth of that, however small both are; a host that no seed
     reaches is allowed. Without a number of rounds, scores are spread until they settle. An empty table gives no rows.
+    Very long pages are read whole; other columns of pages, whatever their names, play no part.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
@@ -97,7 +99,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, round
     ruled = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("says"))
     links = rows.where("host <> ''").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("dst"))
     edges = links.select("src", F.translate("dst", UPPER, LOWER).alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
-    is_ = lambda x: F.max(F.when(F.col("says") == x, 1.0).otherwise(0.0))
+    is_ = lambda x: F.avg(F.when(F.col("says") == x, 1.0).otherwise(0.0))
     seeds = ruled.where("says is not null").groupBy("host").agg(is_("allow").alias("trusted"), is_("block").alias("distrusted"))
     scores = spread(checkpointed(edges), checkpointed(seeds), rounds, damping)
     scores = scores.select(unpartitioned_string("host").alias("scored"), "trust", "distrust")

@@ -1,5 +1,7 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from matchlens.llm import urlfilter
@@ -33,8 +35,8 @@ def slow_scores(edges, trusted, distrusted, rounds=10, d=0.85):
     for (a, b), w in edges.items():
         out[a] += w
         into[b] += w
-    t = {h: 1 / len(trusted) for h in trusted}
-    b = {h: 1 / len(distrusted) for h in distrusted}
+    part = lambda x: {h: w / sum(x.values()) for h, w in x.items()} if isinstance(x, dict) else {h: 1 / len(x) for h in x}
+    t, b = part(trusted), part(distrusted)
     t0, b0 = t, b
     for _ in range(rounds):
         nt, nb = defaultdict(float, {h: (1 - d) * v for h, v in t0.items()}), defaultdict(float, {h: (1 - d) * v for h, v in b0.items()})
@@ -84,3 +86,31 @@ def test_verdicts_of_many_copies_and_far_hosts(spark):
     one = verdicts(1)
     assert one == ["block"] * 19 + ["allow"]
     assert verdicts(40) == one * 40
+
+
+def test_seeds_of_both_kinds(spark):
+    """A host with allowed and blocked pages is a seed of both, by their shares; which is more decides on its other pages."""
+    rules = (("block", "test", "/bad/"), ("allow", "test", "/good/"))
+    paths = {"mixed.test": ["good", "good", "bad", "x"], "worse.test": ["good", "bad", "bad", "x"], "fine.test": ["good", "x"]}
+    pages = [(f"http://{h}/{p}/", "") for h, ps in paths.items() for p in ps]
+    df = spark.createDataFrame([(i, u, x) for i, (u, x) in enumerate(pages)], "page_id long, url string, html string")
+    got = urlfilter.judge(df, rules, rounds=None).where("rule is null").collect()
+    assert {r.host: r.verdict for r in got} == {"mixed.test": "allow", "worse.test": "block", "fine.test": "allow"}
+    t, b = slow_scores({}, {"mixed.test": 2 / 3, "worse.test": 1 / 3, "fine.test": 1.0}, {"mixed.test": 1 / 3, "worse.test": 2 / 3}, rounds=200)
+    assert all(abs(r.trust - t[r.host] * 1.0) < 1e-5 and abs(r.distrust - b.get(r.host, 0)) < 1e-5 for r in got)
+
+
+def test_large_graph(spark):
+    """A generated graph of 100,000 edges, with a host that a third of the links lead to, against the plain rule."""
+    rng = np.random.default_rng(9)
+    n = 20_000
+    src, dst = rng.integers(0, n, 100_000), np.where(rng.random(100_000) < 1 / 3, 7, rng.integers(0, n, 100_000))
+    trusted, distrusted = {f"h{i}": 1.0 for i in range(0, 400, 2)}, {f"h{i}": 1.0 for i in range(1, 400, 2)}
+    edges = Counter((f"h{a}", f"h{b}") for a, b in zip(src.tolist(), dst.tolist()) if a != b)
+    links = spark.createDataFrame(pd.DataFrame([(a, b, float(w)) for (a, b), w in edges.items()], columns=["src", "dst", "w"]))
+    seeds = spark.createDataFrame(pd.DataFrame([(f"h{i}", trusted.get(f"h{i}", 0.0), distrusted.get(f"h{i}", 0.0)) for i in range(400)], columns=["host", "trusted", "distrusted"]))
+    got = {r.host: r for r in urlfilter.spread(links, seeds, rounds=6).collect()}
+    t, b = slow_scores(edges, trusted, distrusted, rounds=6)
+    hosts = {h for h, v in [*t.items(), *b.items()] if v > 0}
+    assert set(got) == hosts and len(hosts) > n / 2
+    assert all(abs(got[h].trust - t.get(h, 0)) < 1e-12 and abs(got[h].distrust - b.get(h, 0)) < 1e-12 for h in hosts)
