@@ -34,6 +34,12 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, in whatever store it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

@@ -41,9 +41,14 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
         hashes = [digest(joined, seed)]
     else:
         hashes = [digest(joined[i:j], seed) for i, j in zip(starts[: len(found) - k].tolist(), ends[k:].tolist())]
-    counts, step = np.zeros(BITS, dtype=np.int64), 1 << 16
+    return fingerprint_of(np.array(hashes, dtype=np.uint64))
+
+
+def fingerprint_of(hashes: np.ndarray, step: int = 1 << 16) -> int:
+    """The bits that are set in over half of the hashes; 0 if there are none."""
+    counts = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), step):
-        part = np.array(hashes[at : at + step], dtype="<u8")
+        part = hashes[at : at + step].astype("<u8")
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 

@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from matchlens.llm import jaccard
 
 
 def shingles(text):
@@ -37,6 +39,14 @@ def rows():
     return list(enumerate(out))
 
 
+def test_crowded_buckets_give_the_same_components(spark, rows):
+    """Buckets of any size count as crowded; what two pivots leave apart is found by rare shingles."""
+    rows = rows[:40]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("size", F.lit(1)).withColumn("root", F.lit("x"))
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs, dense=1).collect()}
+    assert got == slow_components(rows)
+
+
 def test_stage_keeps_one_row_of_each_component(spark, rows):
     assert len(set(slow_components(rows).values())) < len(rows) - 40
     docs = spark.createDataFrame([*rows, rows[20], (None, rows[20][1])], "doc_id long, text string")
