@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -46,6 +47,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Rounds:
+    """Writes each round's rows to the shared folder and reads them again; of earlier rounds only the last is kept.
+
+    Unlike a checkpoint, a table that is read has its own size: estimates of joins of joins don't grow from round to round.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}", []
+
+    def written(self, df: DataFrame) -> DataFrame:
+        self.paths.append(f"{self.folder}/{len(self.paths)}")
+        df.write.parquet(self.paths[-1])
+        if len(self.paths) > 2:
+            deleted(self.spark, self.paths[-3])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

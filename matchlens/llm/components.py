@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, unpartitioned
+from .common import Rounds, unpartitioned
 
 
 def _onto_least(edges: DataFrame, key: str, least: DataFrame, out: list) -> DataFrame:
@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     Only a count and a checksum of a round's links reach the driver. Raises if max_rounds don't suffice.
     """
     edges = edges.where(f"{a} <> {b}").select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
-    edges, before = checkpointed(edges), None
+    rounds, before = Rounds(edges.sparkSession), None
+    edges = rounds.written(edges)
     for _ in range(max_rounds):
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(hi, lo))")).first()
         if now == before:
@@ -43,5 +44,5 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         before = now
         if not now[0]:
             return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-        edges = checkpointed(_small_star(_large_star(edges)))
+        edges = rounds.written(_small_star(_large_star(edges)))
     raise RuntimeError(f"components still change after {max_rounds} rounds")

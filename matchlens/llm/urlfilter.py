@@ -15,7 +15,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, unpartitioned
+from .common import Rounds, checkpointed, table, unpartitioned
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -56,7 +56,7 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int | None = 10, damping:
     shared = shared.select("src", unpartitioned_string("dst"), "w", "sent").join(of("dst", "got").select(unpartitioned_string("dst_k"), "got"), F.col("dst") == F.col("dst_k"))
     shared = checkpointed(shared.select("src", "dst", (F.col("w") / F.col("sent")).alias("down"), (F.col("w") / F.col("got")).alias("up")))
     scores = seeds.select("host", F.col("trusted").alias("trust"), F.col("distrusted").alias("distrust"))
-    zero = F.lit(0.0)
+    zero, written = F.lit(0.0), Rounds(edges.sparkSession)
     for _ in count() if rounds is None else range(rounds):
         before = scores
         trust = scores.where("trust > 0").select(unpartitioned_string("host"), "trust")
@@ -64,7 +64,7 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int | None = 10, damping:
         down = shared.join(trust, F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (F.col("trust") * F.col("down") * damping).alias("trust"), zero.alias("distrust"))
         up = shared.join(distrust, F.col("dst") == F.col("host")).select(F.col("src").alias("host"), zero.alias("trust"), (F.col("distrust") * F.col("up") * damping).alias("distrust"))
         again = seeds.select("host", (F.col("trusted") * (1 - damping)).alias("trust"), (F.col("distrusted") * (1 - damping)).alias("distrust"))
-        scores = checkpointed(reduce(DataFrame.union, [down, up, again]).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
+        scores = written.written(reduce(DataFrame.union, [down, up, again]).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
         if rounds is None and _settled(before, scores, tolerance):
             break
     return scores
