@@ -52,10 +52,24 @@ def _more_than_once(h: np.ndarray, key: np.ndarray, width: int, begin: np.ndarra
     return times > 1
 
 
+def _first_gram_again(h: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """For each run, whether two of its windows begin with the same gram."""
+    n = stop - begin
+    run = np.repeat(np.arange(len(begin)), n)
+    value = h[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)]
+    order = np.lexsort((value, run))
+    twice = (run[order][1:] == run[order][:-1]) & (value[order][1:] == value[order][:-1])
+    out = np.zeros(len(begin), dtype=bool)
+    out[run[order][1:][twice]] = True
+    return out
+
+
 def runs(texts: list[bytes], window: int, level: int = 0, longest: int = MAX_RUN) -> Iterator[tuple[np.ndarray, ...]]:
     """Arrays (text number, first window, windows, key, hash of the run's text, whether it may repeat in itself), for some texts at a time.
 
-    The grams' hashes are others at each level. No run has more than `longest` windows.
+    From level 1 on, a window's key is the least gram hashes of its first and of its last part, together: a half of the
+    window at level 1, a quarter at level 2, and so on. So windows that lie partly in a frequent passage soon have keys
+    of their own. The grams' hashes are others at each level. No run has more than `longest` windows.
     """
     at = 0
     while at < len(texts):
@@ -77,6 +91,9 @@ def _runs(texts: list[bytes], first: int, window: int, level: int, longest: int)
     starts = np.concatenate([[0], ends[:-1]])
     grams, width = _gram_hashes(np.frombuffer(joined, np.uint8), level), window - GRAM + 1
     key = _least(grams, width)
+    if level and (part := window >> level) >= GRAM:
+        ends_least = _least(grams, part - GRAM + 1)
+        key = ends_least[: len(key)] * np.uint64(0x9E3779B97F4A7C15) ^ ends_least[window - part :][: len(key)]
     new = np.empty(len(key), dtype=bool)
     new[0] = True
     np.not_equal(key[1:], key[:-1], out=new[1:])
@@ -95,4 +112,4 @@ def _runs(texts: list[bytes], first: int, window: int, level: int, longest: int)
         stop = np.minimum(begin + longest, last)
     view, digest = memoryview(joined), xxhash.xxh3_64_intdigest
     whole = np.fromiter((digest(view[a:b]) for a, b in zip(begin.tolist(), (stop + window - 1).tolist())), dtype=np.uint64, count=len(begin))
-    return first + np.array(numbers)[text], begin - starts[text], stop - begin, key[begin], whole, _more_than_once(grams, key, width, begin, stop)
+    return first + np.array(numbers)[text], begin - starts[text], stop - begin, key[begin], whole, _first_gram_again(grams, begin, stop) if level else _more_than_once(grams, key, width, begin, stop)

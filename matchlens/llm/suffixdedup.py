@@ -4,8 +4,8 @@ Texts are written as runs of windows with one key (see repeats.py): a window can
 run whose key is met once, at one place of its text, holds no repeat. Of runs with the same text every window repeats.
 What remains, the different run texts of a key, goes to tasks sorted by key, and is searched by suffix arrays and their
 common prefixes (suffixes.py), some keys at a time. The run texts of a key that has more than `most` are first cut into
-runs by a second key, from another order of grams, and so on: equal windows agree in that key too. After LEVELS keys a
-run is one window, so that no key can have many texts.
+runs by a second key, from the first and last parts of windows, and so on: equal windows agree in that key too. After
+LEVELS keys a run is one window, so that no key can have many texts.
 """
 
 from __future__ import annotations
