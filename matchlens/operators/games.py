@@ -53,12 +53,12 @@ def collision_columns(hits: Column) -> list[Column]:
     ]
 
 
-def game_metrics(events: DataFrame, keys: Sequence[str] = KEYS, dimensions: Sequence[str] = ()) -> DataFrame:
+def game_metrics(events: DataFrame, keys: Sequence[str] = KEYS, dimensions: Sequence[str] = (), actions: Sequence[str] = tuple(ACTIONS)) -> DataFrame:
     """One row a game: winner, duration, durations and counts of actions, collisions; dimensions are constant in a game."""
     keys = [k for k in keys if k in events.columns]
     rows = with_actual_duration(events.repartition(*keys), keys)
     acts, hits = F.coalesce(F.col("Category") == "Action", F.lit(False)), F.coalesce(F.col("Category") == "Collision", F.lit(False))
     return rows.groupBy(*keys).agg(
-        F.max("GameWinner").alias("Winner"), F.max("UpdatedAt").alias("MatchDur"), *action_columns(acts), *collision_columns(hits),
+        F.max("GameWinner").alias("Winner"), F.max("UpdatedAt").alias("MatchDur"), *action_columns(acts, actions), *collision_columns(hits),
         *[F.max(c).alias(c) for c in dimensions],
     )

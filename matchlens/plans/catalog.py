@@ -15,6 +15,7 @@ from ..functions import scalars as S
 from ..functions import stats
 from ..operators import games, spatial, summary, timebins
 from ..sources import logs
+from . import arena
 from . import bindings as B
 from . import reports as R
 
@@ -83,9 +84,13 @@ def competitor_mean_std(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(out, *[c for c in out.columns if c != "Bot"])
 
 
-@entry()
+def _label(column: str, name: str) -> str:
+    return f"round({column}_mean, 2)::varchar || ' (' || round({column}_std, 2)::varchar || ')' as \"{name}\""
+
+
+@entry(f"""with {_COMPETITOR}, ranked as (select *, floor(rank() over (order by WinRate_mean desc) + (count(*) over (partition by WinRate_mean) - 1) / 2)::int as Rank from cs)
+  select Rank, Bot, {_label('WinRate', 'Win-rate')}, {_label('Duration', 'Action Duration')}, {_label('Actions', 'Actions')}, {_label('Collisions', 'Collisions')} from ranked""")
 def mean_std_label(spark: SparkSession, sf: str) -> DataFrame:
-    """Labels hold numbers as text, which engines print differently: tested on a golden case instead."""
     return summary.competitor_summary(B.matchups(spark, sf))
 
 
@@ -100,9 +105,7 @@ KINDS = ("click", "view", "purchase", "signup", "error")
 
 
 def _game_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    events = games.with_actual_duration(B.telemetry(spark, sf).repartition("GameIndex"), ["GameIndex"])
-    acts, hits = F.col("Category") == "Action", F.col("Category") == "Collision"
-    return events.groupBy("GameIndex").agg(F.max("GameWinner").alias("Winner"), F.max("UpdatedAt").alias("MatchDur"), *games.action_columns(acts, KINDS), *games.collision_columns(hits))
+    return games.game_metrics(B.telemetry(spark, sf), ["GameIndex"], actions=KINDS)
 
 
 @entry(f"with {B.TELEMETRY} {_GAME}")
@@ -287,11 +290,74 @@ def phased_position_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(stats.histogram(spatial.with_phase(B.frames(spark, sf), 3, ["GameIndex"]).withColumnRenamed("phase", "g"), "BotPosY", 30, ["g"]), "start", "stop", "density")
 
 
-@entry()
+_BOTS = f"{B.FRAMES}, bots as (select *, 'BOT_' || ((GameIndex + Actor * 2) % 3) as Bot, case when hi = lo then 0 else least(floor((UpdatedAt - lo) * 3 / (hi - lo)), 2) end::int as phase from (select *, min(UpdatedAt) over (partition by GameIndex) as lo, max(UpdatedAt) over (partition by GameIndex) as hi from frames))"
+
+
+def _bots(spark: SparkSession, sf: str) -> DataFrame:
+    bot = F.concat(F.lit("BOT_"), ((F.col("GameIndex") + F.col("Actor") * 2) % 3).cast("string"))
+    return B.frames(spark, sf).withColumn("Bot", bot)
+
+
+def _grid(by: str) -> str:
+    """Density grids by some columns, of the table bots."""
+    keys = by and f"{by}, "
+    return f"""c as (select {keys}BotPosX - 0.24 as px, BotPosY - 1.97 as py from bots),
+m as (select {keys}count(*) as n, var_samp(px) as sxx, var_samp(py) as syy, covar_samp(px, py) as sxy, count(*)::double ** (-1.0 / 3) as f from c group by {by or '()'}),
+axis as (select i::int as i, -5.73485 + i * (2 * 5.73485 / 99) as v from range(100) r(i)), inv as (select *, (sxx * syy - sxy * sxy) * f * f as det from m where n > 1 and sxx * syy - sxy * sxy > 1e-12)
+select {keys}a.i as ix, b.i as iy, round(a.v, 6) as x, round(b.v, 6) as y, round(sum(exp(-0.5 * (syy * f / det * (a.v - px) ** 2 - 2 * sxy * f / det * (a.v - px) * (b.v - py) + sxx * f / det * (b.v - py) ** 2))) / (any_value(n) * 2 * pi() * sqrt(any_value(det))), 6) as density
+  from c join inv {f'using ({by})' if by else 'on true'}, axis a, axis b group by {keys}a.i, b.i, a.v, b.v"""
+
+
+@entry(f"with {_BOTS}, {_grid('Bot, phase')}")
 def phased_heatmap(spark: SparkSession, sf: str) -> DataFrame:
-    """A density grid for each phase and side; its parts are compared with SQL in kde2d_grid and phase_split."""
-    rows = spatial.centered(spatial.with_phase(B.frames(spark, sf), 3, ["GameIndex"]))
-    return stats.kde2d(rows, "BotPosX", "BotPosY", spatial.RADIUS + 1, by=["Actor", "phase"])
+    return _rounded(arena.frames(_bots(spark, sf), "heatmap", ["GameIndex"])["phased"], "x", "y", "density")
+
+
+@entry(f"with {_BOTS}, {_grid('Bot')}")
+def competitor_heatmap(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(arena.frames(_bots(spark, sf), "heatmap", ["GameIndex"])["heatmap"], "x", "y", "density")
+
+
+@entry(f"with {_BOTS}, {_grid('')}")
+def combined_heatmap(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(arena.frames(_bots(spark, sf), "all", ["GameIndex"])["combined"], "x", "y", "density")
+
+
+def _hist_by(source: str, by: str, bins: int, edges: str) -> str:
+    return f"""b as (select {by}, v, min(v) over (partition by {edges}) as lo, max(v) over (partition by {edges}) as hi, count(*) over (partition by {by}) as n from {source}),
+h as (select {by}, least(floor((v - lo) / ((hi - lo) / {bins})), {bins - 1})::int as bin, lo, hi, n, count(*) as count from b group by all)
+select {by}, bin, round(lo + bin * ((hi - lo) / {bins}), 6) as start, round(lo + (bin + 1) * ((hi - lo) / {bins}), 6) as stop, count, round(count / (n * ((hi - lo) / {bins})), 6) as density from h"""
+
+
+@entry(f"with {_BOTS}, src as (select Bot, 'X' as axis, BotPosX as v from bots union all select Bot, 'Y', BotPosY from bots), {_hist_by('src', 'Bot, axis', 30, 'Bot, axis')}")
+def competitor_positions(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(arena.frames(_bots(spark, sf), "position", ["GameIndex"])["position"], "start", "stop", "density")
+
+
+_BOT_PAIRS = "prs as (select GameIndex, UpdatedAt, l.Bot as a, r.Bot as b, sqrt((l.BotPosX - r.BotPosX) ** 2 + (l.BotPosY - r.BotPosY) ** 2) as Distance from bots l join bots r using (GameIndex, UpdatedAt) where l.Actor = 0 and r.Actor = 1), cd as (select GameIndex, UpdatedAt, a as Bot, b as Opponent, Distance from prs union all select GameIndex, UpdatedAt, b, a, Distance from prs)"
+_BOT_DISTANCES = f"{_BOTS}, {_BOT_PAIRS}, src as (select Bot, 'pair' as kind, Distance as v from cd union all select Bot, 'center', sqrt((BotPosX - 0.24) ** 2 + (BotPosY - 1.97) ** 2) from bots)"
+
+
+@entry(f"with {_BOTS}, {_BOT_PAIRS} select GameIndex, UpdatedAt, Bot, Opponent, round(Distance, 6) as Distance from cd")
+def competitor_distances(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(arena.competitor_distances(_bots(spark, sf), ["GameIndex"]), "Distance")
+
+
+@entry(f"with {_BOT_DISTANCES}, {_hist_by('src', 'Bot, kind', 30, 'Bot, kind')}")
+def competitor_distance_histograms(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(arena.frames(_bots(spark, sf), "distance", ["GameIndex"])["distance"], "start", "stop", "density")
+
+
+@entry(f"with {_BOT_DISTANCES}, {_hist_by('src', 'Bot, kind', 50, 'kind')}")
+def shared_distance_histograms(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(arena.distance_histograms(_bots(spark, sf), ["GameIndex"], 50, shared=True), "start", "stop", "density")
+
+
+@entry(f"""with {_BOTS}, {_BOT_PAIRS}, t as (select *, 60.0::double as Timer from cd) select Bot, Timer, floor(UpdatedAt / (Timer / 50))::int as bin, round(avg(Distance), 6) as mean, round(coalesce(stddev_samp(Distance), 0), 6) as std, count(*) as n,
+  round((floor(UpdatedAt / (Timer / 50))::int + 0.5) * Timer / 50, 6) as mid from t where UpdatedAt < Timer group by Bot, Timer, floor(UpdatedAt / (Timer / 50))::int""")
+def competitor_distance_over_time(spark: SparkSession, sf: str) -> DataFrame:
+    rows = arena.competitor_distances(_bots(spark, sf), ["GameIndex"])
+    return _rounded(spatial.distance_over_time(rows, F.lit(60.0), by=["Bot"]), "mean", "std", "mid")
 
 
 # Reports
@@ -403,6 +469,16 @@ def ols_per_group(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(out, "r", "slope", "intercept")
 
 
+_ONE = f"""{_CORR.replace('Dash_Act / Games as Dash_Act', 'Dash_Act::double as Dash_Act')}, fit as (select x, count(*) as n, {_FIT} from cl where Bot = 'NATION_0' and x in ('Duration', 'Dash_Act', 'Collisions') group by x)"""
+
+
+@entry(f"with {_ONE} select *, round(greatest(0, least(1, intercept)), 6) + 0.0 as y_lo, round(greatest(0, least(1, slope * 100 + intercept)), 6) + 0.0 as y_hi from fit")
+def individual_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    """One competitor's correlations, actions in sum, and the ends of its lines between 0 and 100, cut to [0, 1]."""
+    fit = _rounded(R.correlations(R.individual_rows(B.matchups(spark, sf), "NATION_0"), ["Duration", "Dash_Act", "Collisions"]), "r", "slope", "intercept")
+    return _rounded(R.regression_line(fit, F.lit(0.0), F.lit(100.0), clip=True), "y_lo", "y_hi")
+
+
 @entry()
 def pearson_pvalue(spark: SparkSession, sf: str) -> DataFrame:
     """The p value has no SQL; it is tested against known values."""
