@@ -246,9 +246,9 @@ def _sums(rows: list[tuple[str, str, int]], grams: list[str]) -> tuple[np.ndarra
 
 
 def _fit(x: np.ndarray, y: np.ndarray, n: np.ndarray, rounds: int, sparsity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Softmax regression by accelerated proximal steps; classes weigh the same."""
+    """Softmax regression by accelerated proximal steps; none weighs as much as all other classes, and these the same."""
     want = np.eye(len(CLASSES), dtype=np.float32)[y]
-    share = n / np.maximum(want.T @ n, 1.0)[y]
+    share = n / np.maximum(want.T @ n, 1.0)[y] * np.where(y == 0, len(CLASSES) - 1, 1).astype(np.float32)
     share /= share.sum()
     w, b, step = np.zeros((x.shape[1], len(CLASSES)), np.float32), np.zeros(len(CLASSES), np.float32), np.float32(0.5)
     last_w, last_b = w, b
@@ -309,6 +309,10 @@ def _others(docs: DataFrame, at_most: int) -> list[str]:
     return sorted(r["part"] for r in some.select(F.explode(F.slice(each, 1, 8)).alias("s")).select("s.part").collect())
 
 
+def _words(name: str) -> Column:
+    return F.array_remove(F.split(F.lower(name), NOT_WORD), "")
+
+
 def _bigrams(words: Column) -> Column:
     pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
     return F.array_distinct(F.slice(pairs, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))))
@@ -328,19 +332,19 @@ def scan(docs: DataFrame, model: Classifier, overlap: float = OVERLAP) -> DataFr
     lines = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     lines = lines.select("row", "doc_id", F.posexplode(paragraphs(F.col("text"))).alias("paragraph", "line"))
     telling = sorted({w for g in model.grams for w in g.split() if w not in COMMON})
-    lines = lines.select("*", F.array_remove(F.split(F.lower("line"), NOT_WORD), "").alias("words"))
+    lines = lines.select("*", _words("line").alias("words"))
     lines = lines.where(F.arrays_overlap("words", F.array(*[F.lit(w) for w in telling])))
-    lines = lines.select("row", "doc_id", "paragraph", "line", "words", _bigrams(F.col("words")).alias("pairs"))
-    grams = lines.select("row", "doc_id", "paragraph", "line", "pairs", F.explode(F.array_distinct(F.concat("words", "pairs"))).alias("gram"))
+    grams = lines.select("row", "doc_id", "paragraph", "line", F.explode(F.array_distinct(F.concat("words", _bigrams(F.col("words"))))).alias("gram"))
     rows = [(g, [float(x) for x in w]) for g, w in zip(model.grams, model.weights)]
     weights = F.broadcast(spark.createDataFrame(rows, "gram string, w array<double>"))  # as many rows as the training passages have grams
     sums = [F.sum(F.get("w", k)).alias(f"z{k}") for k in range(len(CLASSES))]
-    scored = grams.join(weights, "gram").groupBy("row", "doc_id", "paragraph", "line", "pairs").agg(*sums)
+    scored = grams.join(weights, "gram").groupBy("row", "doc_id", "paragraph", "line").agg(*sums)
     logits = F.array(*[(F.col(f"z{k}") + F.lit(float(model.bias[k]))) / F.lit(model.temperature) for k in range(len(CLASSES))])
-    scored = scored.select("row", "doc_id", "paragraph", "line", "pairs", logits.alias("z")).select("*", F.array_max("z").alias("top"))
+    scored = scored.select("row", "doc_id", "paragraph", "line", logits.alias("z")).select("*", F.array_max("z").alias("top"))
     total = F.aggregate("z", F.lit(0.0), lambda s, v: s + F.exp(v - F.col("top")))
     best = F.element_at(F.array(*[F.lit(c) for c in CLASSES]), F.array_position("z", F.col("top")).cast("int"))
-    scored = scored.select("row", "doc_id", "paragraph", "line", "pairs", best.alias("said"), F.round(1 / total, 6).alias("probability")).where("said <> 'none'")
+    scored = scored.select("row", "doc_id", "paragraph", "line", best.alias("said"), F.round(1 / total, 6).alias("probability")).where("said <> 'none'")
+    scored = scored.withColumn("pairs", _bigrams(_words("line")))  # once more for the few that are left, rather than shuffled for all
     known = F.broadcast(spark.createDataFrame(list(templates().items()), "said string, known array<array<string>>"))  # a row a family
     shared = lambda n: F.size(F.array_intersect(n, F.col("pairs"))) / F.greatest(F.least(F.size(n), F.size("pairs")), F.lit(1))
     scored = scored.join(known, "said", "left").select("*", F.round(F.coalesce(F.array_max(F.transform("known", shared)), F.lit(0.0)), 6).alias("overlap"))

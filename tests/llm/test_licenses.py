@@ -134,3 +134,12 @@ def test_equals_plain_python(spark, rows, model):
 def test_native_and_empty(spark, docs, nothing, model):
     assert not re.search("Python|Pandas|Arrow", licenses.scan(docs, model)._jdf.queryExecution().executedPlan().toString())
     assert licenses.scan(nothing, model).count() == 0
+
+
+@pytest.mark.skipif("not __import__('os').path.isdir('/root/testdata/sf0.01')")
+def test_no_plain_paragraph_is_reported(spark):
+    """The synthetic texts' licenses are whole lines of this kind, and all else, German with its "mit" too, is none."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = licenses.scan(docs, licenses.train(licenses._others(docs, licenses.MAX_OTHERS))).collect()
+    lines = [(r.doc_id, x) for r in docs.collect() for x in (r.text or "").split("\n") if re.search(r"licen[sc]ed? |license[,.]|rights reserved", x, re.I)]
+    assert sorted(r.doc_id for r in out) == sorted(i for i, _ in lines) and not [r for r in out if r.family == "unknown"]
