@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, linededup, mixing, packing, pii, quality, simhash, suffixdedup, topk, urlfilter
+from . import dualtree, licenses, linededup, mixing, packing, pii, quality, simhash, suffixdedup, topk, urlfilter, yinyang
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.query,
         "op9_suffix_dedup": suffixdedup.query,
         "op10_quality": quality.query,
+        "op12_code_compression": yinyang.query,
+        "op13_dual_tree": dualtree.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": linededup.ORACLE_SQL, "op5_topk": topk.ORACLE_SQL}
+    return {"op4_line_dedup": linededup.ORACLE_SQL, "op5_topk": topk.ORACLE_SQL, "op12_code_compression": yinyang.ORACLE_SQL, "op13_dual_tree": dualtree.ORACLE_SQL}
