@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dualtree, licenses, linededup, mixing, packing, pii, quality, simhash, suffixdedup, topk, urlfilter, yinyang
+from . import dualtree, licenses, linededup, mixing, packing, pii, quality, simhash, suffixdedup, topk, urlfilter, windows, yinyang
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.query,
         "op9_suffix_dedup": suffixdedup.query,
         "op10_quality": quality.query,
+        "op11_mixture_packing": windows.query,
         "op12_code_compression": yinyang.query,
         "op13_dual_tree": dualtree.query,
     }
