@@ -117,6 +117,24 @@ def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))
 
 
+def ten_digits(c: Column) -> Column:
+    """Numbers as text of up to ten significant digits, without zeros at the end: 0.1, 12, 1.5e-07, 1e+10, nan, inf.
+
+    Ties are those of a number's shortest decimal form, and go away from zero.
+    """
+    whole = F.format_string("%.9e", c.cast("double"))  # d.ddddddddde+dd
+    sign = F.when(whole.startswith("-"), "-").otherwise("")
+    digits = F.replace(F.regexp_extract(whole, "^-?([0-9.]+)e", 1), F.lit("."), F.lit(""))
+    power = F.regexp_extract(whole, "e([+-][0-9]+)$", 1).try_cast("int")
+    point = lambda head, tail: F.concat(head, F.when(F.length(F.rtrim(tail, F.lit("0"))) > 0, F.concat(F.lit("."), F.rtrim(tail, F.lit("0")))).otherwise(""))
+    below = point(F.lit("0"), F.concat(F.repeat(F.lit("0"), -power - 1), digits))
+    above = point(F.substr(digits, F.lit(1), power + 1), F.substr(digits, power + 2))
+    far = F.concat(point(F.left(digits, F.lit(1)), F.substr(digits, F.lit(2))), F.lit("e"), F.regexp_extract(whole, "e(.*)$", 1))
+    plain = F.when((power < -4) | (power >= 10), far).when(power < 0, below).otherwise(above)
+    named = F.when(F.isnan(c.cast("double")), "nan").when(c.cast("double") == float("inf"), "inf").when(c.cast("double") == float("-inf"), "-inf")
+    return F.when(c.isNotNull(), F.coalesce(named, F.concat(sign, plain)))
+
+
 def slug(c: Column) -> Column:
     """Lower-cased, with runs of all but letters and digits as one hyphen, and none at the ends."""
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-|-$", "")

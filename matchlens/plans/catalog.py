@@ -5,30 +5,20 @@ Figures are rounded to six places on both sides, since sums may differ in their
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import stats
 from ..operators import games, spatial, summary, timebins
-from ..sources import logs
-from . import arena
+from ..sources import loads, logs
+from ..sources.shared import shared_folder
+from . import arena, nested  # noqa: F401  nested enters queries of its own
 from . import bindings as B
 from . import reports as R
-
-Query = Callable[[SparkSession, str], DataFrame]
-CATALOG: dict[str, tuple[Query, str | None]] = {}
-
-
-def entry(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(query: Query) -> Query:
-        CATALOG[query.__name__] = (query, sql)
-        return query
-
-    return add
+from .registry import CATALOG, Query, entry
+from .registry import rounded as _rounded
+from .registry import rounded_sql as _r
 
 
 def queries() -> dict[str, Query]:
@@ -39,15 +29,6 @@ def oracle_sql() -> dict[str, str]:
     return {k: sql for k, (_, sql) in CATALOG.items() if sql}
 
 
-def _rounded(df: DataFrame, *columns: str) -> DataFrame:
-    """Without -0.0, which rounding may leave."""
-    return df.withColumns({c: F.round(F.col(c).cast("double"), 6) + 0.0 for c in columns})
-
-
-def _r(*columns: str) -> str:
-    return ", ".join(f"round({c}::double, 6) + 0.0 as {c}" for c in columns)
-
-
 # Games, matchups, competitors
 
 
@@ -507,34 +488,28 @@ def config_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @entry("select event_id, try_cast(json_extract_string(props, '$.k') as bigint) as k, try_cast(event_type as bigint) as bad, case when event_type <> 'view' then event_type end as reason from events")
-def json_flatten(spark: SparkSession, sf: str) -> DataFrame:
+def props_coerced(spark: SparkSession, sf: str) -> DataFrame:
     e = B.table(spark, sf, "events").withColumn("p", F.from_json("props", "k string"))
     reason = F.when(F.col("event_type") == "view", "None").otherwise(F.col("event_type"))
     return e.select("event_id", S.safe_long(F.col("p.k")).alias("k"), S.safe_long(F.col("event_type")).alias("bad"), S.safe_text(reason).alias("reason"))
 
 
-@entry("select n_nationkey, n_name, n_regionkey from nation")
+@entry(f"with {B.MATCHUPS} select Bot_L, Bot_R, Timer, ActInterval, Round, SkillLeft, SkillRight, Games, Winner_L, Winner_R, {_r('WinRate_L', 'WinRate_R', 'MatchDur')}, Rank_L, Rank_R from matchups")
 def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Written as a CSV summary to the shared folder, and read again."""
-    nation = B.table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    path = f"{_scratch(spark)}/csv-{uuid.uuid4().hex}"
-    logs.write_summary(nation, path)
-    return logs.read_summary(spark, path, nation.schema)
+    """The matchup summary, written as one CSV file to the shared folder, and read again."""
+    rows = B.matchups(spark, sf).select("Bot_L", "Bot_R", *R.CONFIG, "Games", "Winner_L", "Winner_R", "WinRate_L", "WinRate_R", "MatchDur", "Rank_L", "Rank_R")
+    logs.write_summary(rows, path := shared_folder(spark))
+    return _rounded(logs.read_summary(spark, path, rows.schema), "WinRate_L", "WinRate_R", "MatchDur")
 
 
 @entry("select r_regionkey, r_name from region where r_regionkey >= 2")
-def manifest_resume(spark: SparkSession, sf: str) -> DataFrame:
+def pending_inputs(spark: SparkSession, sf: str) -> DataFrame:
     """What a resumed load still has to do, after an earlier one wrote the first two."""
     region = B.table(spark, sf, "region").select("r_regionkey", "r_name")
-    return logs.pending(region, region.where("r_regionkey < 2"), "r_regionkey").select("r_regionkey", "r_name")
+    return loads.pending(region, region.where("r_regionkey < 2"), "r_regionkey").select("r_regionkey", "r_name")
 
 
 @entry("select n_regionkey as matchup, n_nationkey as config from (select *, row_number() over (partition by n_regionkey order by n_nationkey) as k from nation) where k <= 2")
 def limit_configs(spark: SparkSession, sf: str) -> DataFrame:
     nation = B.table(spark, sf, "nation").select(F.col("n_regionkey").alias("matchup"), F.col("n_nationkey").alias("config"))
     return logs.limit_configs(nation, 2)
-
-
-def _scratch(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is named, as in tests, the warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")

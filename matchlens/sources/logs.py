@@ -1,6 +1,7 @@
 """Reading nested game logs and event tables; writing events and summaries.
 
-The folder layout is <root>/<A>_vs_<B>/<configuration>/game_<n>.json.
+Logs lie in <root>/<A>_vs_<B>/<configuration>/game_<n>.json, or one game a line in files of any name. An event table lies
+in <root>/matchup=<A>_vs_<B>/config=<configuration>/, so that filters on competitors and configurations leave folders out.
 """
 
 from __future__ import annotations
@@ -9,13 +10,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .schema import EVENTS, GAME
+from .schema import EVENTS, GAME, STORED
 
 
-def with_layout(df: DataFrame, path: Column) -> DataFrame:
-    """Adds source_file, matchup, config and the seven dimensions read from the path."""
-    df = df.withColumn("source_file", path)
-    df = df.withColumn("config", F.element_at(F.split("source_file", "/"), -2)).withColumn("matchup", F.element_at(F.split("source_file", "/"), -3))
+def decoded(path: Column) -> Column:
+    """A file's path as text; Spark gives it as an address, with blanks and the like as %20."""
+    return F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def folder_names(path: Column) -> tuple[Column, Column]:
+    """matchup and configuration of a file in the layout of logs or of event tables."""
+    parts = F.split(path, "/")
+    plain = lambda name, at: F.regexp_replace(F.element_at(parts, at), f"^{name}=", "")
+    return plain("matchup", -3), plain("config", -2)
+
+
+def with_dimensions(df: DataFrame) -> DataFrame:
+    """Adds the seven dimensions that the columns matchup and config name."""
     left, right = S.matchup_sides(F.col("matchup"))
     parts = S.config_map(F.col("config"))
     return df.withColumns({
@@ -24,9 +35,18 @@ def with_layout(df: DataFrame, path: Column) -> DataFrame:
     })
 
 
-def read_games(spark: SparkSession, root: str) -> DataFrame:
-    """One row a game document, at any depth below root, in folders named Timer_..."""
-    reader = spark.read.schema(GAME).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "game_*.json")
+def with_layout(df: DataFrame, path: Column) -> DataFrame:
+    """Adds source_file, matchup, config and the seven dimensions read from the path."""
+    matchup, config = folder_names(F.col("source_file"))
+    return with_dimensions(df.withColumn("source_file", decoded(path)).withColumns({"config": config, "matchup": matchup}))
+
+
+def read_games(spark: SparkSession, root: str | list[str], lines: bool = False, pattern: str | None = None) -> DataFrame:
+    """One row a game document, at any depth below root, in folders named Timer_...
+
+    With `lines` files hold a game a line and may have any name; they are split among tasks however large.
+    """
+    reader = spark.read.schema(GAME).option("multiLine", not lines).option("recursiveFileLookup", True).option("pathGlobFilter", pattern or ("*.json" if lines else "game_*.json"))
     games = with_layout(reader.json(root).withColumn("_path", F.col("_metadata.file_path")), F.col("_path")).drop("_path")
     return games.where(F.col("config").startswith("Timer_"))
 
@@ -43,7 +63,12 @@ def flatten_games(games: DataFrame) -> DataFrame:
     """The event table: one row for each player event that isn't a LastPosition; other columns of games stay behind it."""
     rest = [c for c in games.columns if c not in ("Index", "Timestamp", "Winner", "Rounds")]
     rounds = games.select(*rest, F.col("Index").alias("g"), F.col("Timestamp").alias("gt"), F.col("Winner").alias("gw"), F.posexplode("Rounds").alias("round_pos", "r"))
-    events = rounds.select("*", F.posexplode("r.PlayerEvents").alias("event_pos", "e")).where("e.Category is null or e.Category <> 'LastPosition'")
+    return flattened(rounds.select("*", F.posexplode("r.PlayerEvents").alias("event_pos", "e")), rest)
+
+
+def flattened(rows: DataFrame, rest: list[str]) -> DataFrame:
+    """The event table's columns from rows of a game (g, gt, gw), a round (r) and an event (e) with their places; and the rest."""
+    events = rows.where("e.Category is null or e.Category <> 'LastPosition'")
     collided = F.coalesce(F.col("e.Category") == "Collision", F.lit(False))
     flag = lambda c: F.when(collided, S.safe_flag(F.col(c)))
     return events.select(
@@ -57,22 +82,30 @@ def flatten_games(games: DataFrame) -> DataFrame:
     )
 
 
-def read_events(spark: SparkSession, path: str, fmt: str | None = None, lenient: bool = False) -> DataFrame:
-    """Event tables by format: Parquet, or CSV with the fixed schema (lenient: bad cells are null, else an error)."""
-    fmt = fmt or path.rstrip("/").rpartition(".")[2]
+def read_events(spark: SparkSession, path: str | list[str], fmt: str | None = None, lenient: bool = False, layout: str = "table", base: str | None = None) -> DataFrame:
+    """Event tables by format: Parquet, or CSV with the fixed schema (lenient: bad cells are null, else an error).
+
+    Layout "table" is what write_events writes: matchup and config are partition columns, a game's file and its events'
+    places are stored, and filters on the dimensions leave folders out. `base` is the table's root where paths are folders
+    within it. Layout "folders" is a file for each configuration in <root>/<A>_vs_<B>/<configuration>/; there the file is
+    the game's.
+    """
+    fmt = fmt or (path if isinstance(path, str) else path[0]).rstrip("/").rpartition(".")[2]
     if fmt not in ("parquet", "csv"):
         raise ValueError(f"unsupported format {fmt!r}")
-    reader = spark.read.schema(EVENTS).option("recursiveFileLookup", True)
+    if layout not in ("table", "folders"):
+        raise ValueError(f"unknown layout {layout!r}")
+    reader = spark.read.schema(STORED if layout == "table" else EVENTS)
+    if layout == "folders":
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{fmt}")
+    elif base:
+        reader = reader.option("basePath", base)
     if fmt == "csv":
-        reader = reader.option("header", True).option("mode", "PERMISSIVE" if lenient else "FAILFAST")
+        reader = reader.options(**CSV).option("mode", "PERMISSIVE" if lenient else "FAILFAST")
     df = reader.format(fmt).load(path)
-    return with_layout(df.withColumn("_path", F.col("_metadata.file_path")), F.col("_path")).drop("_path")
-
-
-def preferred_files(files: DataFrame) -> DataFrame:
-    """Of (matchup, config, path) the one path of each configuration: Parquet before CSV, then by name."""
-    order = Window.partitionBy("matchup", "config").orderBy(F.when(F.col("path").endswith(".parquet"), 0).otherwise(1), "path")
-    return files.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    if layout == "folders":
+        return with_layout(df.withColumn("_path", F.col("_metadata.file_path")), F.col("_path")).drop("_path")
+    return with_dimensions(df)
 
 
 def limit_configs(df: DataFrame, n: int) -> DataFrame:
@@ -82,15 +115,25 @@ def limit_configs(df: DataFrame, n: int) -> DataFrame:
     return df.join(first, ["matchup", "config"], "left_semi")
 
 
-def pending(inputs: DataFrame, done: DataFrame, key: str = "source_file") -> DataFrame:
-    """Inputs that no earlier run has written: the manifest of a resumable load."""
-    return inputs.join(done.select(key).distinct(), key, "left_anti")
+#: Quotes within quotes are doubled; a text of no characters is not a null.
+CSV = {"header": True, "escape": '"'}
+
 
+def write_events(events: DataFrame, path: str, fmt: str = "parquet", ten_digits: bool = False) -> None:
+    """Adds to the event table at path, partitioned by matchup and configuration; Parquet with zstd, or CSV.
 
-def write_events(events: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Partitioned by matchup and configuration; Parquet with zstd, or CSV."""
-    writer = events.write.partitionBy("matchup", "config").mode("append")
-    writer.option("compression", "zstd").parquet(path) if fmt == "parquet" else writer.option("header", True).csv(path)
+    Rows are dealt by configuration, large ones to several tasks, so that a folder gets few files. Stored are the event
+    columns, the game's file and the places of round and event in it (null where events don't have them); read_events
+    gives the dimensions again. CSV holds numbers in full, or with `ten_digits` as texts of ten significant digits; line
+    breaks within a text aren't read back from CSV.
+    """
+    if fmt not in ("parquet", "csv"):
+        raise ValueError(f"unsupported format {fmt!r}")
+    stored = events.select(*[(F.col(f.name) if f.name in events.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in STORED])
+    if fmt == "csv" and ten_digits:
+        stored = stored.withColumns({f.name: S.ten_digits(F.col(f.name)) for f in STORED if f.dataType.simpleString() == "double"})
+    writer = stored.hint("rebalance", "matchup", "config").write.partitionBy("matchup", "config").mode("append")
+    writer.option("compression", "zstd").parquet(path) if fmt == "parquet" else writer.options(**CSV).csv(path)
 
 
 def write_summary(df: DataFrame, path: str) -> None:
@@ -108,17 +151,38 @@ def positions(events: DataFrame, actor: int | None = None, keep: tuple[str, ...]
     return rows if actor is None else rows.where(F.col("Actor") == actor)
 
 
-def competitor_positions(events: DataFrame, bot: str | None = None, side: str = "both") -> DataFrame:
-    """Positions with Bot, Opponent and Side (L, R) of one competitor or all; names must be equal, not contained."""
+def competitor_positions(events: DataFrame, bot: str | None = None, side: str = "both", max_configs: int | None = None) -> DataFrame:
+    """Positions with Bot, Opponent and Side (L, R) of one competitor or all; names must be equal, not contained.
+
+    One competitor's positions are read from the folders of its matchups only. With max_configs only the first
+    configurations of each matchup count.
+    """
     if side not in ("left", "right", "both"):
         raise ValueError(f"unknown side {side!r}")
-    rows = positions(events, keep=("source_file", "matchup", "config", "Bot_L", "Bot_R", "Timer"))
     left = F.col("Actor") == 0
+    if bot is not None:
+        as_left, as_right = F.col("Bot_L") == bot, F.col("Bot_R") == bot
+        events = events.where(as_left if side == "left" else as_right if side == "right" else as_left | as_right)
+    if max_configs is not None:
+        events = limit_configs(events, max_configs)
+    rows = positions(events, keep=("source_file", "matchup", "config", "Bot_L", "Bot_R", "Timer"))
     rows = rows.withColumns({"Bot": F.when(left, F.col("Bot_L")).otherwise(F.col("Bot_R")), "Opponent": F.when(left, F.col("Bot_R")).otherwise(F.col("Bot_L")), "Side": F.when(left, "L").otherwise("R")})
     rows = rows if side == "both" else rows.where(left if side == "left" else ~left)
     return rows if bot is None else rows.where(F.col("Bot") == bot)
 
 
+def matchup_positions(events: DataFrame, bot1: str | None = None, bot2: str | None = None, max_configs: int | None = None) -> DataFrame:
+    """Positions of both sides, of all matchups or of the one of two competitors, whichever is left."""
+    if (bot1 is None) != (bot2 is None):
+        raise ValueError("name both competitors or none")
+    if bot1 is not None:
+        is_ = lambda a, b: (F.col("Bot_L") == a) & (F.col("Bot_R") == b)
+        events = events.where(is_(bot1, bot2) | is_(bot2, bot1))
+    if max_configs is not None:
+        events = limit_configs(events, max_configs)
+    return positions(events, keep=("source_file", "matchup", "config", "Bot_L", "Bot_R", "Timer"))
+
+
 def competitors(df: DataFrame) -> DataFrame:
     """The different names on either side."""
     return df.select(F.col("Bot_L").alias("Bot")).union(df.select("Bot_R")).where("Bot is not null").distinct()

@@ -31,3 +31,5 @@ EVENTS = T.StructType(
     + [T.StructField(f"{prefix}{k}", v) for prefix in SNAPSHOTS for k, v in _PARTS.items()]
     + [T.StructField(k, v) for k, v in {"ColActor": L, "ColImpact": D, "ColTieBreaker": L, "ColLockDuration": D}.items()]
 )
+#: What the event table keeps: the events, the game's file, the places of round and event in it, and the folders' names.
+STORED = T.StructType(EVENTS.fields + [T.StructField(k, v) for k, v in {"source_file": S, "round_pos": T.IntegerType(), "event_pos": T.IntegerType(), "matchup": S, "config": S}.items()])

@@ -9,7 +9,7 @@ from matchlens.functions import scalars as S
 from matchlens.functions import stats
 from matchlens.operators import games, spatial, summary, timebins
 from matchlens.plans import reports
-from matchlens.sources import logs
+from matchlens.sources import loads, logs
 from matchlens.sources.schema import DIMENSIONS, EVENTS
 from matchlens.streaming.games import ingest_available
 
@@ -115,8 +115,8 @@ def test_stream_takes_each_game_once(spark, root, tmp_path):
 
 def test_files_and_manifest(spark):
     files = spark.createDataFrame([("m", "c", "a.csv"), ("m", "c", "b.parquet"), ("m", "d", "c.csv")], "matchup string, config string, path string")
-    assert sorted(r.path for r in logs.preferred_files(files).collect()) == ["b.parquet", "c.csv"]
-    assert logs.pending(files, files.where("config = 'c'"), "path").count() == 1
+    assert sorted(r.path for r in loads.preferred_files(files).collect()) == ["b.parquet", "c.csv"]
+    assert loads.pending(files, files.where("config = 'c'"), "path").count() == 1
 
 
 def test_distances(spark):
