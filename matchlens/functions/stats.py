@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import quantiles
 
 def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """n, mean, median and population deviation."""
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_pop(value).alias("std"))
+    """n, mean, median and population deviation. The median is exact, by quantiles.exact; a group without values has none."""
+    rows = quantiles.kept(df, value, by)
+    out = rows.groupBy(*by).agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    return _with_groups(out, quantiles.exact(rows, "v", {"median": 0.5}, by), by, "left").select(*by, "n", "mean", "median", "std")
 
 
 def _bounds(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -24,12 +26,15 @@ def _bounds(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     return out.withColumns({"lo": F.col("lo") - wide, "hi": F.col("hi") + wide})
 
 
-def _with_groups(df: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+def _with_groups(df: DataFrame, groups: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
     """df with its groups' row. Without keys that is one row, so its size is bounded."""
     if by:
-        return df.join(groups, list(by))
+        renamed, here = groups.withColumnsRenamed({k: f"_{k}" for k in by}), F.lit(True)
+        for k in by:
+            here = here & F.col(k).eqNullSafe(F.col(f"_{k}"))  # null is a group too
+        return df.join(renamed, here, how).drop(*[f"_{k}" for k in by])
     one = groups.select(F.lit(1).alias("_one"), "*")
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one", how).drop("_one")
 
 
 def histogram(df: DataFrame, value: str, bins: int = 30, by: Sequence[str] = (), shared: bool = False) -> DataFrame:
@@ -62,58 +67,83 @@ def histogram2d(df: DataFrame, x: str, y: str, tile: float, by: Sequence[str] =
     return joined.select(*by, index("x").alias("ix"), index("y").alias("iy")).groupBy(*by, "ix", "iy").agg(F.count("*").alias("count"))
 
 
-def kde1d(df: DataFrame, value: str, points: int = 200, by: Sequence[str] = ()) -> DataFrame:
-    """by, i, x, density: a Gaussian kernel density at equal steps from the least to the greatest value (Scott's width)."""
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
-    groups = rows.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.stddev_samp("v").alias("sd"), F.count("*").alias("n")).where("n > 1 and sd > 0")
-    groups = groups.withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), -0.2))
-    joined = _with_groups(rows, groups.select(*by, "lo", "hi", "h", "n"), by)
-    step = np.arange(points) / max(points - 1, 1)
+#: A kernel counts where it is at least this share of its peak: the density left out at a place is at most this share of one kernel's peak, divided by the kernels' mean width.
+TAIL = 1e-12
+
 
-    def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for key, rows in part.groupby([*by, "lo", "hi", "h", "n"], dropna=False, sort=False):
-                lo, hi, h, n = key[-4:]
-                x = lo + step * (hi - lo)
-                total = sum(np.exp(-0.5 * ((x[:, None] - v) / h) ** 2).sum(axis=1) for v in np.array_split(rows["v"].to_numpy(), len(rows) // 1000 + 1))
-                yield pd.DataFrame({**dict(zip(by, key)), "i": np.arange(points, dtype=np.int32), "x": x, "part": total / (n * h * math.sqrt(2 * math.pi))})
+def _steps(low: Column, high: Column, most: int) -> Column:
+    """One row for each whole number from low to high, within 0 to most; none if there are none."""
+    first, last = F.greatest(F.ceil(low), F.lit(0)).cast("int"), F.least(F.floor(high), F.lit(most)).cast("int")
+    return F.explode(F.when(first <= last, F.sequence(first, last)))
 
-    schema = ", ".join([*[f"`{c}` {t}" for c, t in df.select(*by).dtypes], "i int, x double, part double"])
-    return joined.mapInPandas(partial, schema).groupBy(*by, "i", "x").agg(F.sum("part").alias("density"))
 
+def kde1d(df: DataFrame, value: str, points: int = 200, by: Sequence[str] = (), tail: float = TAIL) -> DataFrame:
+    """by, i, x, density: a Gaussian kernel density at equal steps from the least to the greatest value (Scott's width h).
 
-def kde2d(df: DataFrame, x: str, y: str, half_width: float, cells: int = 100, by: Sequence[str] = ()) -> DataFrame:
+    A value meets only the steps at which its kernel is above `tail` of its peak, within h * sqrt(-2 ln tail), so that a
+    density is low by at most tail / (h sqrt(2 pi)). Sums are made in the tasks that read the values; only sums are
+    shuffled. Nulls don't count; groups of one value, or of equal ones, give no rows.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
+    groups = rows.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.stddev_samp("v").alias("sd"), F.count("*").alias("n")).where("n > 1 and sd > 0")
+    groups = groups.select(*by, "lo", "hi", "n", (F.col("sd") * F.pow(F.col("n").cast("double"), -0.2)).alias("h"))
+    last = max(points - 1, 1)
+    step, reach = (F.col("hi") - F.col("lo")) / last, F.col("h") * math.sqrt(-2 * math.log(tail))
+    at = lambda i: F.col("lo") + i / F.lit(float(last)) * (F.col("hi") - F.col("lo"))
+    place = lambda v: (v - F.col("lo")) / step
+    near = _with_groups(rows, groups, by).select("*", _steps(place(F.col("v") - reach), place(F.col("v") + reach), points - 1).alias("i"))
+    kernel = F.exp(-0.5 * F.pow((at(F.col("i")) - F.col("v")) / F.col("h"), F.lit(2.0)))
+    sums = near.groupBy(*by, "i").agg(F.sum(kernel).alias("part"))
+    grid = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+    out = _joined(grid, sums, [*by, "i"])
+    return out.select(*by, "i", at(F.col("i")).alias("x"), (F.coalesce("part", F.lit(0.0)) / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
+
+
+def kde2d(df: DataFrame, x: str, y: str, half_width: float, cells: int = 100, by: Sequence[str] = (), tail: float = TAIL) -> DataFrame:
     """by, ix, iy, x, y, density on a square grid around the origin: Gaussian kernels, full covariance, Scott's factor.
 
-    Tasks sum their points' kernels over the grid; only sums are shuffled. Groups of one point, or on a line, give none.
+    A point meets only the cells of the ellipse in which its kernel is above `tail` of its peak: first the columns that
+    the ellipse reaches, in each of them the rows between its borders. So a density is low by at most tail / (2 pi
+    sqrt(det)) of the kernels' covariance. The more points, the narrower the kernels and the fewer the cells. Sums are
+    made in the tasks that read the points; only sums are shuffled. Points with a null don't count; groups of one point, or
+    on a line, give no rows.
     """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py"))
     groups = rows.groupBy(*by).agg(F.count("*").alias("n"), F.var_samp("px").alias("sxx"), F.var_samp("py").alias("syy"), F.covar_samp("px", "py").alias("sxy")).where("n > 1 and sxx * syy - sxy * sxy > 1e-12")
-    joined = _with_groups(rows, groups, by)
-    axis = -half_width + np.arange(cells) * (2 * half_width / (cells - 1))
-    gx, gy = (g.ravel() for g in np.meshgrid(axis, axis, indexing="ij"))
-    ix, iy = (g.ravel().astype(np.int32) for g in np.meshgrid(np.arange(cells), np.arange(cells), indexing="ij"))
-
-    def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for key, rows in part.groupby([*by, "n", "sxx", "syy", "sxy"], dropna=False, sort=False):
-                n, sxx, syy, sxy = key[-4:]
-                f = n ** (-1 / 3)  # the factor n^(-1/6), squared
-                det = (sxx * syy - sxy * sxy) * f * f
-                a, b, c = syy * f / det, -sxy * f / det, sxx * f / det
-                total = np.zeros(len(gx))
-                for some in np.array_split(rows[["px", "py"]].to_numpy(), len(rows) // 200 + 1):
-                    dx, dy = gx[:, None] - some[:, 0], gy[:, None] - some[:, 1]
-                    total += np.exp(-0.5 * (a * dx * dx + 2 * b * dx * dy + c * dy * dy)).sum(axis=1)
-                yield pd.DataFrame({**dict(zip(by, key)), "ix": ix, "iy": iy, "x": gx, "y": gy, "part": total / (n * 2 * math.pi * math.sqrt(det))})
-
-    schema = ", ".join([*[f"`{c}` {t}" for c, t in df.select(*by).dtypes], "ix int, iy int, x double, y double, part double"])
-    return joined.mapInPandas(partial, schema).groupBy(*by, "ix", "iy", "x", "y").agg(F.sum("part").alias("density"))
+    groups = groups.withColumn("f", F.pow(F.col("n").cast("double"), -1.0 / 3))  # the factor n^(-1/6), squared
+    groups = groups.withColumn("det", (F.col("sxx") * F.col("syy") - F.col("sxy") * F.col("sxy")) * F.col("f") * F.col("f"))
+    groups = groups.select(*by, "n", "det", *[(F.col(v) * F.col("f")).alias(k) for k, v in (("vx", "sxx"), ("vy", "syy"), ("vxy", "sxy"))])
+    step, square = 2 * half_width / (cells - 1), -2 * math.log(tail)
+    at = lambda i: F.lit(-half_width) + i * F.lit(step)
+    place = lambda v: (v + half_width) / step
+    wide = F.sqrt(F.col("vx") * square)
+    near = _with_groups(rows, groups, by).select("*", _steps(place(F.col("px") - wide), place(F.col("px") + wide), cells - 1).alias("ix"))
+    near = near.withColumn("dx", at(F.col("ix")) - F.col("px"))
+    # In a column the kernel is widest at py + vxy / vx * dx, and reaches as far as is left of the ellipse there.
+    middle = F.col("py") + F.col("vxy") / F.col("vx") * F.col("dx")
+    tall = F.sqrt(F.greatest(F.col("det") / F.col("vx") * (square - F.col("dx") * F.col("dx") / F.col("vx")), F.lit(0.0)))
+    near = near.select("*", _steps(place(middle - tall), place(middle + tall), cells - 1).alias("iy")).withColumn("dy", at(F.col("iy")) - F.col("py"))
+    form = (F.col("vy") * F.col("dx") * F.col("dx") - 2 * F.col("vxy") * F.col("dx") * F.col("dy") + F.col("vx") * F.col("dy") * F.col("dy")) / F.col("det")
+    sums = near.groupBy(*by, "ix", "iy").agg(F.sum(F.exp(-0.5 * form)).alias("part"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
+    grid = groups.select("*", every.alias("ix")).select("*", every.alias("iy"))
+    out = _joined(grid, sums, [*by, "ix", "iy"])
+    density = F.coalesce("part", F.lit(0.0)) / (F.col("n") * 2 * math.pi * F.sqrt("det"))
+    return out.select(*by, "ix", "iy", at(F.col("ix")).alias("x"), at(F.col("iy")).alias("y"), density.alias("density"))
+
+
+def _joined(grid: DataFrame, sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All of grid with the sums that its places have; keys may be null."""
+    renamed = sums.select(*[F.col(k).alias(f"_{k}") for k in keys], "part")
+    here = F.lit(True)
+    for k in keys:
+        here = here & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return grid.join(renamed, here, "left")
 
 
 def masked_density(grid: DataFrame, quantile: float = 0.4, by: Sequence[str] = ()) -> DataFrame:
     """density is null where it lies below the quantile of its grid."""
-    limits = grid.groupBy(*by).agg(F.percentile("density", quantile).alias("_limit"))
+    limits = grid.groupBy(*by).agg(F.percentile("density", quantile).alias("_limit"))  # of a grid's cells, so many at most
     return _with_groups(grid, limits, by).withColumn("density", F.when(F.col("density") >= F.col("_limit"), F.col("density"))).drop("_limit")
 
 

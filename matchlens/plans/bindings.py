@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.games import action_columns, collision_columns
-from ..operators.summary import matchup_summary
+from ..operators.summary import finished, matchup_parts
 from ..sources.schema import ACTIONS
+from ..sources.shared import shared_folder, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,8 +86,9 @@ games as (select o_orderkey as GameIndex, case o_orderstatus when 'F' then 0 whe
   from orders join customer on o_custkey = c_custkey join nation h on h.n_nationkey = c_nationkey join nation a on a.n_nationkey = o_orderkey % 25 left join per on per.GameIndex = o_orderkey)"""
 
 
-def matchups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matchup_summary(games(spark, sf_dir))
+def matchups(spark: SparkSession, sf_dir: str, ranks: bool = True) -> DataFrame:
+    """The matchup summary. Its parts are written first: orders and lineitem are read once, whatever a report does with the summary."""
+    return finished(written(matchup_parts(games(spark, sf_dir)), shared_folder(spark)), ranks)
 
 
 MATCHUPS = f"""{GAMES},

@@ -51,7 +51,7 @@ def matchup_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @entry(f"with {B.MATCHUPS} select Bot, Wins::bigint as Wins, Games::bigint as Games, {_r('WinRate')}, Rank from ranks")
 def competitor_rank_avg_ties(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(summary.competitor_ranks(B.matchups(spark, sf)), "WinRate")
+    return _rounded(summary.competitor_ranks(B.matchups(spark, sf, ranks=False)), "WinRate")
 
 
 _STATS = ", ".join(f"avg({c}) as {c}_mean, stddev_samp({c}) as {c}_std" for c in ("WinRate", "Duration", "Actions", "Collisions"))
@@ -61,7 +61,7 @@ cs as (select Bot, {_STATS} from per group by Bot)""".replace("per as materializ
 
 @entry(f"with {_COMPETITOR} select Bot, {_r(*[f'{c}_{x}' for c in ('WinRate', 'Duration', 'Actions', 'Collisions') for x in ('mean', 'std')])} from cs")
 def competitor_mean_std(spark: SparkSession, sf: str) -> DataFrame:
-    out = summary.competitor_stats(B.matchups(spark, sf)).drop("Rank")
+    out = summary.competitor_stats(B.matchups(spark, sf, ranks=False), ranks=False)
     return _rounded(out, *[c for c in out.columns if c != "Bot"])
 
 
@@ -72,7 +72,7 @@ def _label(column: str, name: str) -> str:
 @entry(f"""with {_COMPETITOR}, ranked as (select *, floor(rank() over (order by WinRate_mean desc) + (count(*) over (partition by WinRate_mean) - 1) / 2)::int as Rank from cs)
   select Rank, Bot, {_label('WinRate', 'Win-rate')}, {_label('Duration', 'Action Duration')}, {_label('Actions', 'Actions')}, {_label('Collisions', 'Collisions')} from ranked""")
 def mean_std_label(spark: SparkSession, sf: str) -> DataFrame:
-    return summary.competitor_summary(B.matchups(spark, sf))
+    return summary.competitor_summary(B.matchups(spark, sf, ranks=False))
 
 
 _GAME = """select GameIndex, max(GameWinner) as Winner, round(max(UpdatedAt), 6) as MatchDur, round(coalesce(sum(dur) filter (where Category = 'Action' and Actor = 0), 0), 6) as Duration_L,
@@ -346,7 +346,7 @@ def competitor_distance_over_time(spark: SparkSession, sf: str) -> DataFrame:
 
 @entry(f"with {B.MATCHUPS} select Enemy, round(avg(r), 6) as WinRate from (select Bot_R as Enemy, avg(WinRate_L) as r from matchups where Bot_L = 'NATION_0' group by 1 union all select Bot_L, avg(WinRate_R) from matchups where Bot_R = 'NATION_0' group by 1) group by 1")
 def head_to_head(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(R.head_to_head(B.matchups(spark, sf), "NATION_0"), "WinRate")
+    return _rounded(R.head_to_head(B.matchups(spark, sf, ranks=False), "NATION_0"), "WinRate")
 
 
 @entry(f"with {B.MATCHUPS} select Bot, Enemy, round(avg(WinRate), 6) as WinRate, min(Rank) as Rank from bothsides group by 1, 2")
@@ -364,33 +364,33 @@ def winrate_matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 @entry(f"with {B.MATCHUPS} select Timer, ActInterval, round(avg(MatchDur), 6) as MatchDur from matchups group by 1, 2")
 def duration_by_config(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(R.duration_by(B.matchups(spark, sf), "Timer", "ActInterval"), "MatchDur")
+    return _rounded(R.duration_by(B.matchups(spark, sf, ranks=False), "Timer", "ActInterval"), "MatchDur")
 
 
 @entry(f"""with {B.MATCHUPS}, s as (unpivot (select Bot_L as Bot, {', '.join(f'sum({a}_Act_L)::bigint as {a}' for a in B.ACTIONS)} from matchups group by 1) on {', '.join(B.ACTIONS)} into name Action value Count)
   select * from (select Bot, Action, Count, row_number() over (partition by Bot order by Count desc, Action)::int as place from s) where place <= 3""")
 def top_actions(spark: SparkSession, sf: str) -> DataFrame:
-    return R.top_actions(B.matchups(spark, sf), 3).withColumn("Count", F.col("Count").cast("long"))
+    return R.top_actions(B.matchups(spark, sf, ranks=False), 3).withColumn("Count", F.col("Count").cast("long"))
 
 
 @entry(f"with {B.MATCHUPS} select Bot, Timer, round(avg(WinRate), 6) as WinRate from bothsides group by 1, 2")
 def winrate_by_config(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(R.winrate_by(B.matchups(spark, sf)), "WinRate")
+    return _rounded(R.winrate_by(B.matchups(spark, sf, ranks=False)), "WinRate")
 
 
 @entry(f"with {B.MATCHUPS} select Bot_L as Bot, Round as Config, round(avg(Duration_L / Games), 6) as mean, round(stddev_samp(Duration_L / Games), 6) as std from matchups group by 1, 2")
 def metric_by_config(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(R.metric_by_config(B.matchups(spark, sf), "Duration_L", "Round"), "mean", "std")
+    return _rounded(R.metric_by_config(B.matchups(spark, sf, ranks=False), "Duration_L", "Round"), "mean", "std")
 
 
 @entry(f"with {B.MATCHUPS} select Bot, Skill as Config, round(avg(WinRate), 6) as mean, round(stddev_samp(WinRate), 6) as std from bothsides group by 1, 2")
 def metric_by_skill(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(R.metric_by_config(B.matchups(spark, sf), "WinRate_L", "Skill"), "mean", "std")
+    return _rounded(R.metric_by_config(B.matchups(spark, sf, ranks=False), "WinRate_L", "Skill"), "mean", "std")
 
 
 @entry(f"with {B.MATCHUPS} select Bot_L as Bot, round(avg(Collisions_L / Games), 6) as mean, round(stddev_samp(Collisions_L / Games), 6) as std from matchups group by 1")
 def metric_overall(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(R.metric_overall(B.matchups(spark, sf)), "mean", "std")
+    return _rounded(R.metric_overall(B.matchups(spark, sf, ranks=False)), "mean", "std")
 
 
 @entry(f"with {B.MATCHUPS} select Bot, ActInterval, round(avg(WinRate), 6) as mean, count(WinRate) as n, round(coalesce(1.96 * stddev_samp(WinRate) / sqrt(count(WinRate)), 0), 6) as error, coalesce(min(Rank), 9999) as Rank from bothsides group by 1, 2")
@@ -405,7 +405,7 @@ _CROSS = " union all ".join(f"select WinRate_L as k, '{c}' as t, {x} as s from m
   p as (select a.x as X, b.x as Y, sum(a.k * a.n * b.n) / sum(a.n * b.n) as v from c a join c b on a.k = b.k and a.t <> b.t group by 1, 2)
   select p.X, p.Y, round((p.v + q.v) / 2, 6) as value from p join p q on p.X = q.Y and p.Y = q.X""")
 def config_cross_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(R.config_cross(B.matchups(spark, sf)), "value")
+    return _rounded(R.config_cross(B.matchups(spark, sf, ranks=False)), "value")
 
 
 _RADAR = {"Accelerate": "avg(Accelerate_Act_L)", "TurnLeft": "avg(TurnLeft_Act_L)", "TurnRight": "avg(TurnRight_Act_L)", "Dash": "avg(Dash_Act_L)", "Skill": "avg(SkillBoost_Act_L) + avg(SkillStone_Act_L)"}
@@ -414,23 +414,23 @@ _RADAR = {"Accelerate": "avg(Accelerate_Act_L)", "TurnLeft": "avg(TurnLeft_Act_L
 @entry(f"""with {B.MATCHUPS}, s as (unpivot (select Bot_L as Bot, {', '.join(f'sqrt({v}) as {k}' for k, v in _RADAR.items())} from matchups group by 1) on {', '.join(_RADAR)} into name Axis value value)
   select Bot, Axis, round(value, 6) as value, round((select quantile_cont(value, 0.95) from s) * 1.15, 6) as "limit" from s""")
 def radar_actions(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(R.action_radar(B.matchups(spark, sf), "sqrt"), "value", "limit")
+    return _rounded(R.action_radar(B.matchups(spark, sf, ranks=False), "sqrt"), "value", "limit")
 
 
 @entry(f"with {B.MATCHUPS} select Bot_L as Bot, round(log10(sum(Collisions_L) + 1), 6) as hit, round(log10(sum(Collisions_Tie) + 1), 6) as tie, round(log10(sum(Collisions_R) + 1), 6) as being_hit from matchups group by 1")
 def radar_collisions(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(R.collision_radar(B.matchups(spark, sf), "log"), "hit", "tie", "being_hit")
+    return _rounded(R.collision_radar(B.matchups(spark, sf, ranks=False), "log"), "hit", "tie", "being_hit")
 
 
 @entry(f"""with {B.MATCHUPS}, s as (select Bot_L as Bot, sum(Accelerate_Act_L) as Accelerate, sum(TurnLeft_Act_L) as TurnLeft, sum(TurnRight_Act_L) as TurnRight, sum(Dash_Act_L) as Dash, sum(SkillBoost_Act_L + SkillStone_Act_L) as Skill from matchups group by 1)
   select Bot, {', '.join(f'round({c} / nullif(Accelerate + TurnLeft + TurnRight + Dash + Skill, 0) * 100, 6) as {c}' for c in _RADAR)} from s""")
 def mix_percent(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(R.action_mix(B.matchups(spark, sf), True), *_RADAR)
+    return _rounded(R.action_mix(B.matchups(spark, sf, ranks=False), True), *_RADAR)
 
 
 @entry(f"with {B.MATCHUPS} select Bot_L as Bot, sum(Collisions_L)::bigint as hit, sum(Collisions_Tie)::bigint as tie, sum(Collisions_R)::bigint as being_hit from matchups group by 1")
 def mix_collisions(spark: SparkSession, sf: str) -> DataFrame:
-    return R.collision_mix(B.matchups(spark, sf))
+    return R.collision_mix(B.matchups(spark, sf, ranks=False))
 
 
 _XS = ["ActInterval", "Timer", "RoundNumeric", "SkillNumeric", "Dash_Act", "Collisions", "EnemyCollisions", "Duration"]
@@ -441,12 +441,12 @@ _FIT = "round(corr(v, WinRate), 6) + 0.0 as r, round(regr_slope(WinRate, v), 6)
 
 @entry(f"with {_CORR} select x, count(*) as n, {_FIT} from cl group by x")
 def pearson_all(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(R.correlations(R.correlation_rows(B.matchups(spark, sf)), _XS), "r", "slope", "intercept")
+    return _rounded(R.correlations(R.correlation_rows(B.matchups(spark, sf, ranks=False)), _XS), "r", "slope", "intercept")
 
 
 @entry(f"with {_CORR} select Bot, x, count(*) as n, {_FIT} from cl where x in ('Duration', 'Dash_Act') group by Bot, x having stddev_pop(v) > 0 and stddev_pop(WinRate) > 0")
 def ols_per_group(spark: SparkSession, sf: str) -> DataFrame:
-    out = R.correlations(R.correlation_rows(B.matchups(spark, sf)), ["Duration", "Dash_Act"], by=["Bot"]).where("r is not null")
+    out = R.correlations(R.correlation_rows(B.matchups(spark, sf, ranks=False)), ["Duration", "Dash_Act"], by=["Bot"]).where("r is not null")
     return _rounded(out, "r", "slope", "intercept")
 
 
@@ -456,14 +456,14 @@ _ONE = f"""{_CORR.replace('Dash_Act / Games as Dash_Act', 'Dash_Act::double as D
 @entry(f"with {_ONE} select *, round(greatest(0, least(1, intercept)), 6) + 0.0 as y_lo, round(greatest(0, least(1, slope * 100 + intercept)), 6) + 0.0 as y_hi from fit")
 def individual_correlation(spark: SparkSession, sf: str) -> DataFrame:
     """One competitor's correlations, actions in sum, and the ends of its lines between 0 and 100, cut to [0, 1]."""
-    fit = _rounded(R.correlations(R.individual_rows(B.matchups(spark, sf), "NATION_0"), ["Duration", "Dash_Act", "Collisions"]), "r", "slope", "intercept")
+    fit = _rounded(R.correlations(R.individual_rows(B.matchups(spark, sf, ranks=False), "NATION_0"), ["Duration", "Dash_Act", "Collisions"]), "r", "slope", "intercept")
     return _rounded(R.regression_line(fit, F.lit(0.0), F.lit(100.0), clip=True), "y_lo", "y_hi")
 
 
 @entry()
 def pearson_pvalue(spark: SparkSession, sf: str) -> DataFrame:
     """The p value has no SQL; it is tested against known values."""
-    return R.correlations(R.correlation_rows(B.matchups(spark, sf)), _XS, p_values=True)
+    return R.correlations(R.correlation_rows(B.matchups(spark, sf, ranks=False)), _XS, p_values=True)
 
 
 @entry(f"with {B.MATCHUPS} select Bot_L as Bot, coalesce(min(Rank_L), 9999) as Rank, case when coalesce(min(Rank_L), 9999) <= 5 then 'strong' else 'weak' end as tier, Bot_L || ' (#' || min(Rank_L) || ')' as label from matchups group by Bot_L")
@@ -472,6 +472,23 @@ def ranked_domain(spark: SparkSession, sf: str) -> DataFrame:
     return R.ranked_domain(B.matchups(spark, sf)).select("Bot", "Rank", S.rank_tier(rank).alias("tier"), S.ranked_label(F.col("Bot"), rank).alias("label"))
 
 
+@entry(f"with {B.MATCHUPS} select Bot, Rank, row_number() over (order by Rank, Bot) as place from (select Bot_L as Bot, coalesce(min(Rank_L), 9999) as Rank from matchups group by Bot_L)")
+def ordered_domain(spark: SparkSession, sf: str) -> DataFrame:
+    return R.ordered_domain(B.matchups(spark, sf))
+
+
+@entry("select o_orderkey, floor(rank() over (order by o_totalprice desc) + (count(*) over (partition by o_totalprice) - 1) / 2)::int as Rank from orders where o_totalprice is not null")
+def global_rank(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranks of all orders by price, ties at their mean rank."""
+    return summary.average_rank(B.table(spark, sf, "orders"), "o_totalprice").where("o_totalprice is not null").select("o_orderkey", "Rank")
+
+
+@entry("select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, floor(rank() over (order by l_quantity desc) + (count(*) over (partition by l_quantity) - 1) / 2)::int as Rank from lineitem")
+def global_rank_ties(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranks of all lines by quantity, of which there are fifty: nearly all are ties."""
+    return summary.average_rank(B.table(spark, sf, "lineitem"), "l_quantity").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "Rank")
+
+
 # Names, JSON, files
 
 

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions import stats
+from ..functions import quantiles, stats
+from ..operators.ranks import places
 from ..operators.summary import sides
 from ..sources.schema import ACTIONS
+from ..sources.shared import shared_folder, written
 
 CONFIG = ["Timer", "ActInterval", "Round", "SkillLeft", "SkillRight"]
 PER_GAME = ("Collisions", "ActionCounts", "Duration")
@@ -30,6 +32,12 @@ def domain(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct().orderBy(column)
 
 
+def ordered_domain(df: DataFrame, bot: str = "Bot_L", rank: str = "Rank_L") -> DataFrame:
+    """ranked_domain with each competitor's place in that order, from 1: the order as a column, for tables that keep none."""
+    rows = df.groupBy(F.col(bot).alias("Bot")).agg(F.coalesce(F.min(rank), F.lit(9999)).alias("Rank"))
+    return places(rows, F.struct("Rank", "Bot"), "place")
+
+
 def ranked_domain(df: DataFrame, bot: str = "Bot_L", rank: str = "Rank_L") -> DataFrame:
     """Competitors by rank; those without one last, as 9999."""
     return df.groupBy(F.col(bot).alias("Bot")).agg(F.coalesce(F.min(rank), F.lit(9999)).alias("Rank")).orderBy("Rank", "Bot")
@@ -111,8 +119,10 @@ def config_cross(df: DataFrame, bot: str | None = None, key: str = "WinRate_L",
     pairs = side("X").join(side("Y"), "k").where("Type_X <> Type_Y")
     weight = F.col("n_X") * F.col("n_Y")
     grouped = pairs.groupBy("X", "Y").agg((F.sum(F.col("k") * weight) / F.sum(weight)).alias("v"))
-    labels = lambda s: F.dense_rank().over(Window.orderBy(s)) <= max_labels
-    grouped = grouped.withColumns({"_x": labels("X"), "_y": labels("Y")}).where("_x and _y")
+    grouped = written(grouped, shared_folder(df.sparkSession))  # a row for each pair of settings
+    for s in ("X", "Y"):  # the first labels by name: a top k, of which each task sends its own
+        first = grouped.select(F.col(s).alias("_first")).distinct().orderBy("_first").limit(max_labels)
+        grouped = grouped.join(F.broadcast(first), F.col(s) == F.col("_first"), "left_semi")
     turned = grouped.select(F.col("X").alias("Y"), F.col("Y").alias("X"), F.col("v").alias("w"))
     return grouped.join(turned, ["X", "Y"]).select("X", "Y", ((F.col("v") + F.col("w")) / 2).alias("value"))
 
@@ -148,10 +158,12 @@ def grouped_error(df: DataFrame, key: str = "WinRate", by: str = "ActInterval",
 
 
 def action_radar(df: DataFrame, scale: str | None = None) -> DataFrame:
-    """Bot, Axis, value, limit: mean actions as left, both skills as one; limit is 1.15 times the 95th percentile of all values."""
+    """Bot, Axis, value, limit: mean actions as left, both skills as one; limit is 1.15 times the (exact) 95th percentile of all values."""
     columns = [sum((F.avg(f"{a}_Act_L") for a in parts[1:]), F.avg(f"{parts[0]}_Act_L")).alias(k) for k, parts in MIX.items()]
     long = df.groupBy(F.col("Bot_L").alias("Bot")).agg(*columns).unpivot("Bot", list(MIX), "Axis", "value").withColumn("value", S.scaled(F.col("value"), scale))
-    return long.withColumn("limit", F.percentile("value", 0.95).over(Window.partitionBy()) * 1.15)
+    long = written(long, shared_folder(df.sparkSession))
+    limit = quantiles.exact(long, "value", {"limit": 0.95})  # one row
+    return long.join(F.broadcast(limit), how="left").withColumn("limit", F.col("limit") * 1.15)
 
 
 def collision_radar(df: DataFrame, scale: str | None = None) -> DataFrame:
