@@ -1,4 +1,4 @@
-"""Metrics of each game, from its events, in one exchange."""
+"""Metrics of each game, from its events."""
 
 from __future__ import annotations
 
@@ -8,17 +8,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.schema import ACTIONS
+from .spans import MOST, same, sliced
 
 #: What identifies a game. GameIndex alone is only unique within a file.
 KEYS = ("source_file", "GameIndex")
 
 
-def with_actual_duration(events: DataFrame, keys: Sequence[str] = KEYS, tiebreak: Sequence[str] = ("round_pos", "event_pos")) -> DataFrame:
-    """Adds ActualDuration: for an end (state 2) the time since the start of the event before it, of the same actor and name; else 0."""
-    order = Window.partitionBy(*keys, "Category", "Actor", "Name").orderBy("UpdatedAt", *[c for c in tiebreak if c in events.columns])
-    before = F.lag("StartedAt").over(order)
-    ended = (F.col("State").try_cast("int") == 2) & before.isNotNull()
-    return events.withColumn("ActualDuration", F.when(ended, F.col("UpdatedAt") - before).otherwise(0.0))
+def with_actual_duration(events: DataFrame, keys: Sequence[str] = KEYS, tiebreak: Sequence[str] = ("round_pos", "event_pos"), most: int | None = MOST) -> DataFrame:
+    """Adds ActualDuration: for an end (state 2) the time since the start of the event before it, of the same actor and name; else 0.
+
+    A game of over `most` events is dealt to ranges of its time; the last event of each range is carried over to the next
+    range that has one of its kind. Without `most` each game is in one task, and nothing is read twice.
+    """
+    kind = [*keys, "Category", "Actor", "Name"]
+    order = ["UpdatedAt", *[c for c in tiebreak if c in events.columns]]
+    if most is None:
+        before = F.lag("StartedAt").over(Window.partitionBy(*kind).orderBy(*order))
+        return _durations(events.repartition(*keys), before)
+    rows = sliced(events, keys, most=most).repartition(*keys, "_slice")
+    of = [f"_c{i}" for i in range(len(kind) + 1)]
+    last = events.select(*kind, "StartedAt", *order)  # of large games only: what each range hands on
+    last = sliced(last, keys, most=most).where("_slice is not null").groupBy(*[F.col(c).alias(o) for c, o in zip([*kind, "_slice"], of)])
+    last = last.agg(F.max_by("StartedAt", F.struct(*order)).alias("_last"))
+    last = last.withColumn("_carried", F.lag("_last").over(Window.partitionBy(*of[:-1]).orderBy(of[-1]))).drop("_last")
+    rows = rows.join(last, same([*kind, "_slice"], of), "left").drop(*of)
+    inside = Window.partitionBy(*kind, "_slice").orderBy(*order)
+    before = F.when(F.row_number().over(inside) == 1, F.col("_carried")).otherwise(F.lag("StartedAt").over(inside))
+    return _durations(rows, before).drop("_carried", "_slice")
+
+
+def _durations(rows: DataFrame, before: Column) -> DataFrame:
+    ended = (F.col("State").try_cast("int") == 2) & F.col("_before").isNotNull()
+    return rows.withColumn("_before", before).withColumn("ActualDuration", F.when(ended, F.col("UpdatedAt") - F.col("_before")).otherwise(0.0)).drop("_before")
 
 
 def _side(side: str) -> Column:
@@ -53,10 +74,14 @@ def collision_columns(hits: Column) -> list[Column]:
     ]
 
 
-def game_metrics(events: DataFrame, keys: Sequence[str] = KEYS, dimensions: Sequence[str] = (), actions: Sequence[str] = tuple(ACTIONS)) -> DataFrame:
-    """One row a game: winner, duration, durations and counts of actions, collisions; dimensions are constant in a game."""
+def game_metrics(events: DataFrame, keys: Sequence[str] = KEYS, dimensions: Sequence[str] = (), actions: Sequence[str] = tuple(ACTIONS), most: int | None = MOST) -> DataFrame:
+    """One row a game: winner, duration, durations and counts of actions, collisions; dimensions are constant in a game.
+
+    Events are dealt by game, those of games of over `most` events by ranges of time too; tasks then send one row for each
+    game that they have a part of. Without `most`, events are dealt by game once, for all.
+    """
     keys = [k for k in keys if k in events.columns]
-    rows = with_actual_duration(events.repartition(*keys), keys)
+    rows = with_actual_duration(events, keys, most=most)
     acts, hits = F.coalesce(F.col("Category") == "Action", F.lit(False)), F.coalesce(F.col("Category") == "Collision", F.lit(False))
     return rows.groupBy(*keys).agg(
         F.max("GameWinner").alias("Winner"), F.max("UpdatedAt").alias("MatchDur"), *action_columns(acts, actions), *collision_columns(hits),

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .spans import with_group
 
 # The arena's centre and radius, a tile's side, the windows of time in seconds.
 CENTER_X, CENTER_Y, RADIUS, TILE = 0.24, 1.97, 4.73485, 0.7
@@ -17,16 +18,14 @@ GAME = ("source_file", "GameIndex")
 
 def skip_initial(df: DataFrame, seconds: float, keys: Sequence[str] = GAME, t: str = "UpdatedAt") -> DataFrame:
     """Without what lies less than so many seconds after a game's first row."""
-    first = F.min(t).over(Window.partitionBy(*keys))
-    return df.withColumn("_first", first).where(F.col(t) >= F.col("_first") + seconds).drop("_first")
+    return with_group(df, keys, F.min(t).alias("_first")).where(F.col(t) >= F.col("_first") + seconds).drop("_first")
 
 
 def with_phase(df: DataFrame, n: int = 3, keys: Sequence[str] = GAME, t: str = "UpdatedAt") -> DataFrame:
     """Adds phase, 0 to n - 1: equal parts of a game's time, closed on the left, the last on both sides."""
-    game = Window.partitionBy(*keys)
-    low, high = F.min(t).over(game), F.max(t).over(game)
-    share = F.try_divide((F.col(t) - low) * n, high - low)
-    return df.withColumn("phase", F.when(share.isNull(), 0).otherwise(F.least(F.floor(share), F.lit(n - 1))).cast("int"))
+    rows = with_group(df, keys, F.min(t).alias("_low"), F.max(t).alias("_high"))
+    share = F.try_divide((F.col(t) - F.col("_low")) * n, F.col("_high") - F.col("_low"))
+    return rows.withColumn("phase", F.when(share.isNull(), 0).otherwise(F.least(F.floor(share), F.lit(n - 1))).cast("int")).drop("_low", "_high")
 
 
 def with_time_window(df: DataFrame, skip: float = 0.0, t: str = "UpdatedAt", windows: Sequence[tuple[int, int]] = WINDOWS) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.games import action_columns, collision_columns
+from ..operators.spans import with_group
 from ..operators.summary import finished, matchup_parts
 from ..sources.schema import ACTIONS
 from ..sources.shared import shared_folder, written
@@ -18,8 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events: a user is a game, time counts in half days since its first event."""
     e = table(spark, sf_dir, "events")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    t = (us - F.min(us).over(Window.partitionBy("user_id"))).cast("double") / 43_200_000_000.0
+    e = e.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    e = with_group(e, ["user_id"], F.min("us").alias("first"))
+    t = (F.col("us") - F.col("first")).cast("double") / 43_200_000_000.0
     part = lambda n: F.call_function("div", F.col("event_id"), F.lit(n))
     return e.select(
         F.col("user_id").alias("GameIndex"), (F.col("user_id") % 3).alias("GameWinner"), t.alias("UpdatedAt"), F.greatest(t - (F.col("event_id") % 4) / 100.0, F.lit(0.0)).alias("StartedAt"),

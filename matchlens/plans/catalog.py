@@ -113,6 +113,22 @@ def collision_counts(spark: SparkSession, sf: str) -> DataFrame:
     return B.games(spark, sf).select("GameIndex", "Collisions_L", "Collisions_R", "Collisions_Tie")
 
 
+_ONE_GAME = f"""{B.TELEMETRY.replace('tele as', 'tele0 as')}, tele as (select * replace (case when GameIndex % 10 > 0 then 0 else GameIndex end as GameIndex) from tele0)"""
+
+
+def _one_game(spark: SparkSession, sf: str) -> DataFrame:
+    """Telemetry in which one game has nine tenths of all events."""
+    return B.telemetry(spark, sf).withColumn("GameIndex", F.when(F.col("GameIndex") % 10 > 0, 0).otherwise(F.col("GameIndex")))
+
+
+@entry(f"with {_ONE_GAME} {_GAME}")
+def one_large_game(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics where a game is dealt to ranges of time."""
+    out = games.game_metrics(_one_game(spark, sf), ["GameIndex"], actions=KINDS, most=500)
+    out = out.select("GameIndex", "Winner", "MatchDur", "Duration_L", "Duration_R", "ActionCounts_L", "ActionCounts_R", "TotalActions", "click_Dur_L", "view_Act_R", "Collisions_L", "Collisions_R", "Collisions_Tie")
+    return _rounded(out, "MatchDur", "Duration_L", "Duration_R", "click_Dur_L")
+
+
 # Time bins
 
 _BIN = "case when UpdatedAt = 0 then 0.0::double else (ceil(UpdatedAt / 5.0) - 1) * 5.0::double end"

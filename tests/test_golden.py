@@ -67,7 +67,7 @@ def test_game_metrics(events):
 
 
 def test_one_exchange(events):
-    plan = metrics(events)._jdf.queryExecution().executedPlan().toString()
+    plan = games.game_metrics(events, dimensions=DIMENSIONS, most=None)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
 
 

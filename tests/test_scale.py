@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchlens.functions import quantiles, stats
-from matchlens.operators import ranks, summary
+from matchlens.operators import games, ranks, spans, summary, timebins
 from matchlens.plans import bindings, reports
 
 
@@ -117,3 +117,29 @@ def test_reports_read_their_tables_once(spark):
     for out in (summary.competitor_stats(rows, ranks=False), reports.correlations(reports.correlation_rows(rows), ["Timer", "Duration"]), reports.winrate_by(rows), reports.grouped_error(rows.withColumns({"Rank_L": F.lit(1), "Rank_R": F.lit(1)}))):
         text = out._jdf.queryExecution().optimizedPlan().toString()
         assert text.count("Relation [") == 1, text
+
+
+def test_one_game_with_most_events(spark):
+    """A game with nine tenths of all events, at clustered times with ties: equal metrics, and no task with more than its share."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(6000):
+        t = rng.choice([rng.random() * 60, float(rng.randrange(60)), 30 + rng.random() / 100])
+        rows.append(("f" if i % 10 else None, 1 if i % 10 else i % 70, i % 3, t - rng.random() if i % 7 else None, t if i % 97 else None, rng.randrange(2), "Action" if i % 4 else "Collision", rng.choice("012"), rng.choice(["Dash", "TurnLeft", None]), i % 2, i % 3 % 2, 0, i))
+    names = "source_file string, GameIndex long, GameWinner long, StartedAt double, UpdatedAt double, Actor long, Category string, State string, Name string, ColActor long, ColTieBreaker long, round_pos int, event_pos int"
+    events = spark.createDataFrame(rows, names).repartition(4).cache()
+    exact = lambda df: sorted(tuple(round(x, 7) if isinstance(x, float) else x for x in r) for r in df.withColumn("source_file", F.coalesce("source_file", F.lit(""))).collect())
+    whole = exact(games.game_metrics(events, most=None).fillna(-1))
+    for most in (50, 1000, 10_000):
+        assert exact(games.game_metrics(events, most=most).fillna(-1)) == whole
+    ranges = spans.sliced(events, ["source_file", "GameIndex"], most=500).where("source_file = 'f'").groupBy("_slice").agg(F.count("*").alias("n"), F.min("UpdatedAt").alias("a"), F.max("UpdatedAt").alias("b")).orderBy("_slice").collect()
+    assert len(ranges) >= 5 and sum(r.n for r in ranges) == 5400
+    assert all(x.b < y.a for x, y in zip(ranges, ranges[1:]))
+    small = spans.sliced(events, ["source_file", "GameIndex"], most=500).where("source_file is null")
+    assert small.where("_slice is not null").count() == 0
+
+
+def test_bins_shuffle_counts_only(spark):
+    events = bindings.telemetry(spark, "/root/testdata/sf0.001")
+    text = plan(timebins.action_fragments(events, 5.0, ["GameIndex"]))
+    assert "Window" not in text
