@@ -93,10 +93,10 @@ def kde1d(df: DataFrame, value: str, points: int = 200, by: Sequence[str] = (),
     place = lambda v: (v - F.col("lo")) / step
     near = _with_groups(rows, groups, by).select("*", _steps(place(F.col("v") - reach), place(F.col("v") + reach), points - 1).alias("i"))
     kernel = F.exp(-0.5 * F.pow((at(F.col("i")) - F.col("v")) / F.col("h"), F.lit(2.0)))
-    sums = near.groupBy(*by, "i").agg(F.sum(kernel).alias("part"))
+    sums = near.groupBy(*by, "i").agg(F.sum(kernel).alias("_sum"))
     grid = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
     out = _joined(grid, sums, [*by, "i"])
-    return out.select(*by, "i", at(F.col("i")).alias("x"), (F.coalesce("part", F.lit(0.0)) / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
+    return out.select(*by, "i", at(F.col("i")).alias("x"), (F.coalesce("_sum", F.lit(0.0)) / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
 
 
 def kde2d(df: DataFrame, x: str, y: str, half_width: float, cells: int = 100, by: Sequence[str] = (), tail: float = TAIL) -> DataFrame:
@@ -124,17 +124,17 @@ def kde2d(df: DataFrame, x: str, y: str, half_width: float, cells: int = 100, by
     tall = F.sqrt(F.greatest(F.col("det") / F.col("vx") * (square - F.col("dx") * F.col("dx") / F.col("vx")), F.lit(0.0)))
     near = near.select("*", _steps(place(middle - tall), place(middle + tall), cells - 1).alias("iy")).withColumn("dy", at(F.col("iy")) - F.col("py"))
     form = (F.col("vy") * F.col("dx") * F.col("dx") - 2 * F.col("vxy") * F.col("dx") * F.col("dy") + F.col("vx") * F.col("dy") * F.col("dy")) / F.col("det")
-    sums = near.groupBy(*by, "ix", "iy").agg(F.sum(F.exp(-0.5 * form)).alias("part"))
+    sums = near.groupBy(*by, "ix", "iy").agg(F.sum(F.exp(-0.5 * form)).alias("_sum"))
     every = F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
     grid = groups.select("*", every.alias("ix")).select("*", every.alias("iy"))
     out = _joined(grid, sums, [*by, "ix", "iy"])
-    density = F.coalesce("part", F.lit(0.0)) / (F.col("n") * 2 * math.pi * F.sqrt("det"))
+    density = F.coalesce("_sum", F.lit(0.0)) / (F.col("n") * 2 * math.pi * F.sqrt("det"))
     return out.select(*by, "ix", "iy", at(F.col("ix")).alias("x"), at(F.col("iy")).alias("y"), density.alias("density"))
 
 
 def _joined(grid: DataFrame, sums: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All of grid with the sums that its places have; keys may be null."""
-    renamed = sums.select(*[F.col(k).alias(f"_{k}") for k in keys], "part")
+    renamed = sums.select(*[F.col(k).alias(f"_{k}") for k in keys], "_sum")
     here = F.lit(True)
     for k in keys:
         here = here & F.col(k).eqNullSafe(F.col(f"_{k}"))

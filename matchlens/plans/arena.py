@@ -10,8 +10,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..functions import stats
 from ..operators import spatial
+from ..sources.logs import limit_configs
+from ..sources.shared import shared_folder, written
 
 MODES = ("heatmap", "position", "distance", "all")
 
@@ -65,3 +68,66 @@ def frames(rows: DataFrame, mode: str = "all", keys: Sequence[str] = spatial.GAM
     if mode in ("distance", "all"):
         out["distance"] = distance_histograms(rows, keys)
     return out
+
+
+#: The levels that maps are made for, and what tells a level's parts apart.
+LEVELS = ("all", "timer", "phase", "window")
+
+
+def leveled(rows: DataFrame, levels: Sequence[str] = LEVELS, keys: Sequence[str] = spatial.GAME, phases: int = 3, skip: float = 0.0) -> DataFrame:
+    """Each row once for every level that it counts for, with level and part: one pass for all levels.
+
+    Parts are "" of all, the timer's number, the phase from 0, or a time window like "15-30s"; the first window starts
+    after what is skipped and is named so. Rows outside all windows, or without a timer, don't count there.
+    """
+    if unknown := set(levels) - set(LEVELS):
+        raise ValueError(f"unknown levels {sorted(unknown)}")
+    if "phase" in levels:
+        rows = spatial.with_phase(rows, phases, keys)
+    windows = F.lit(None).cast("string")
+    for a, b in reversed(spatial.WINDOWS):
+        start = skip if a == 0 and skip else a
+        windows = F.when((F.col("UpdatedAt") >= start) & (F.col("UpdatedAt") < b), f"{start}-{b}s").otherwise(windows)
+    part = {"all": F.lit(""), "timer": S.ten_digits(F.col("Timer")) if "timer" in levels else None, "phase": F.col("phase").cast("string") if "phase" in levels else None, "window": windows}
+    tags = F.array(*[F.struct(F.lit(x).alias("level"), part[x].alias("part")) for x in levels])
+    out = rows.select("*", F.inline(F.filter(tags, lambda t: t["part"].isNotNull())))
+    return out.drop("phase")
+
+
+def all_modes(
+    rows: DataFrame, mode: str = "all", levels: Sequence[str] = LEVELS, keys: Sequence[str] = spatial.GAME, phases: int = 3, skip: float = 0.0, max_configs: int | None = None,
+    side: str = "both", over_time: bool = True, cells: int = 100, points: int = 200, quantile: float | None = None,
+) -> dict[str, DataFrame]:
+    """All frames of all competitors, by name, for one of MODES. Rows have Timer, Actor and, if a side is asked for, Side; matchup and config if max_configs is.
+
+    heatmap (Bot, level, part, ix, iy, x, y, density) and marginal (Bot, level, part, axis, i, x, density) for all levels
+    in one density sum each; position and distance histograms; over_time (Bot, Timer, bin, mid, mean, std, n) if the level
+    timer is asked for. What lies less than `skip` after a game's first row counts for none but over_time. Rows are read
+    once, and written to the shared folder for all frames.
+    """
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}")
+    if side not in ("left", "right", "both"):
+        raise ValueError(f"unknown side {side!r}")
+    rows = rows if max_configs is None else limit_configs(rows, max_configs)
+    needed = list(dict.fromkeys(["Bot", *keys, "UpdatedAt", "Actor", "BotPosX", "BotPosY", "Timer", *(["Side"] if side != "both" else [])]))
+    rows = written(rows.select(*needed), shared_folder(rows.sparkSession))
+    late = spatial.skip_initial(rows, skip, keys) if skip > 0 else rows
+    mine = late if side == "both" else late.where(F.col("Side") == side[0].upper())
+    out, by = {}, ["Bot", "level", "part"]
+    if mode in ("heatmap", "all"):
+        tagged = written(spatial.centered(leveled(mine, levels, keys, phases, skip)).select(*by, "BotPosX", "BotPosY"), shared_folder(rows.sparkSession))
+        grid = stats.kde2d(tagged, "BotPosX", "BotPosY", spatial.RADIUS + 1, cells, by)
+        out["heatmap"] = grid if quantile is None else stats.masked_density(grid, quantile, by)
+        axes = tagged.unpivot(by, ["BotPosX", "BotPosY"], "axis", "value").withColumn("axis", F.substring("axis", 7, 1))
+        out["marginal"] = stats.kde1d(axes, "value", points, [*by, "axis"])
+        if over_time and "timer" in levels:
+            pairs = spatial.pair_distance(rows, [*keys], keep=["Timer", "Bot"])
+            other = rows.where("Actor = 1").select(*keys, "UpdatedAt", F.col("Bot").alias("Other"))
+            both = pairs.join(other, [*keys, "UpdatedAt"]).withColumn("Bot", F.explode(F.array("Bot", "Other")))
+            out["over_time"] = spatial.distance_over_time(both, F.col("Timer"), by=["Bot"])
+    if mode in ("position", "all"):
+        out["position"] = position_histograms(mine)
+    if mode in ("distance", "all"):
+        out["distance"] = distance_histograms(late, keys)
+    return out

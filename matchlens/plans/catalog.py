@@ -357,6 +357,54 @@ def competitor_distance_over_time(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(spatial.distance_over_time(rows, F.lit(60.0), by=["Bot"]), "mean", "std", "mid")
 
 
+# All competitors, levels and modes at once; the first half second of each game is skipped
+
+_CELLS, _SKIP = 40, 0.5
+_LATE = f"""{B.FRAMES}, late as (select *, 'BOT_' || ((GameIndex + Actor * 2) % 3) as Bot from (select *, min(UpdatedAt) over (partition by GameIndex) as first from frames) where UpdatedAt >= first + {_SKIP}),
+bots as (select *, case when hi = lo then 0 else least(floor((UpdatedAt - lo) * 3 / (hi - lo)), 2) end::int as phase from (select *, min(UpdatedAt) over (partition by GameIndex) as lo, max(UpdatedAt) over (partition by GameIndex) as hi from late)),
+lv as (select Bot, 'all' as level, '' as part, BotPosX - 0.24 as px, BotPosY - 1.97 as py from bots union all select Bot, 'timer', Timer::int::varchar, BotPosX - 0.24, BotPosY - 1.97 from bots
+  union all select Bot, 'phase', phase::varchar, BotPosX - 0.24, BotPosY - 1.97 from bots union all select Bot, 'window', case when UpdatedAt < 15 then '{_SKIP}-15s' when UpdatedAt < 30 then '15-30s' when UpdatedAt < 45 then '30-45s' else '45-60s' end, BotPosX - 0.24, BotPosY - 1.97
+  from bots where UpdatedAt >= {_SKIP} and UpdatedAt < 60)"""
+
+
+def _all_modes(spark: SparkSession, sf: str, mode: str) -> dict[str, DataFrame]:
+    return arena.all_modes(_bots(spark, sf), mode, keys=["GameIndex"], skip=_SKIP, cells=_CELLS)
+
+
+@entry(f"""with {_LATE}, m as (select Bot, level, part, count(*) as n, var_samp(px) as sxx, var_samp(py) as syy, covar_samp(px, py) as sxy, count(*)::double ** (-1.0 / 3) as f from lv group by 1, 2, 3),
+axis as (select i::int as i, -5.73485 + i * (2 * 5.73485 / {_CELLS - 1}) as v from range({_CELLS}) r(i)), inv as (select *, (sxx * syy - sxy * sxy) * f * f as det from m where n > 1 and sxx * syy - sxy * sxy > 1e-12)
+select Bot, level, part, a.i as ix, b.i as iy, round(a.v, 6) as x, round(b.v, 6) as y, round(sum(exp(-0.5 * (syy * f / det * (a.v - px) ** 2 - 2 * sxy * f / det * (a.v - px) * (b.v - py) + sxx * f / det * (b.v - py) ** 2))) / (any_value(n) * 2 * pi() * sqrt(any_value(det))), 6) as density
+  from lv join inv using (Bot, level, part), axis a, axis b group by Bot, level, part, a.i, b.i, a.v, b.v""")
+def all_modes_heatmap(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(_all_modes(spark, sf, "heatmap")["heatmap"], "x", "y", "density")
+
+
+@entry(f"""with {_LATE}, ax as (select Bot, level, part, 'X' as axis, px as v from lv union all select Bot, level, part, 'Y', py from lv),
+  p as (select Bot, level, part, axis, min(v) as lo, max(v) as hi, stddev_samp(v) * count(*)::double ** -0.2 as h, count(*) as n from ax group by 1, 2, 3, 4 having count(*) > 1 and stddev_samp(v) > 0),
+  g as (select Bot, level, part, axis, i::int as i, lo + i / 199.0::double * (hi - lo) as x, h, n from p, range(200) r(i))
+  select Bot, level, part, axis, i, round(x, 6) as x, round(sum(exp(-0.5 * ((x - v) / h) ** 2)) / (n * h * sqrt(2 * pi())), 6) as density from g join ax using (Bot, level, part, axis) group by Bot, level, part, axis, i, x, n, h""")
+def all_modes_marginal(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(_all_modes(spark, sf, "heatmap")["marginal"], "x", "density")
+
+
+@entry(f"""with {_BOTS}, {_BOT_PAIRS.replace('select GameIndex, UpdatedAt, l.Bot as a', 'select GameIndex, UpdatedAt, l.Timer as Timer, l.Bot as a').replace('select GameIndex, UpdatedAt, a as Bot', 'select Timer, UpdatedAt, a as Bot').replace('select GameIndex, UpdatedAt, b, a', 'select Timer, UpdatedAt, b, a')}
+  select Bot, Timer, floor(UpdatedAt / (Timer / 50))::int as bin, round(avg(Distance), 6) as mean, round(coalesce(stddev_samp(Distance), 0), 6) as std, count(*) as n,
+  round((floor(UpdatedAt / (Timer / 50))::int + 0.5) * Timer / 50, 6) as mid from cd where UpdatedAt < Timer group by Bot, Timer, floor(UpdatedAt / (Timer / 50))::int""")
+def all_modes_over_time(spark: SparkSession, sf: str) -> DataFrame:
+    """Of all of each game: distances over time don't skip its start."""
+    return _rounded(_all_modes(spark, sf, "heatmap")["over_time"], "mean", "std", "mid")
+
+
+@entry(f"with {_LATE}, src as (select Bot, 'X' as axis, BotPosX as v from bots union all select Bot, 'Y', BotPosY from bots), {_hist_by('src', 'Bot, axis', 30, 'Bot, axis')}")
+def all_modes_position(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(_all_modes(spark, sf, "position")["position"], "start", "stop", "density")
+
+
+@entry(f"with {_LATE}, {_BOT_PAIRS}, src as (select Bot, 'pair' as kind, Distance as v from cd union all select Bot, 'center', sqrt((BotPosX - 0.24) ** 2 + (BotPosY - 1.97) ** 2) from bots), {_hist_by('src', 'Bot, kind', 30, 'Bot, kind')}")
+def all_modes_distance(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(_all_modes(spark, sf, "distance")["distance"], "start", "stop", "density")
+
+
 # Reports
 
 

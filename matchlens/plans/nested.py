@@ -14,6 +14,7 @@ from ..operators import games
 from ..sources import freeform, loads, logs
 from ..sources.schema import ACTIONS, DIMENSIONS, EVENT, EVENTS, SNAPSHOTS
 from ..sources.shared import shared_folder
+from ..streaming import summaries
 from .bindings import table
 from .registry import entry, rounded, rounded_sql
 
@@ -109,11 +110,12 @@ def json_flatten(spark: SparkSession, sf: str) -> DataFrame:
     return _doubles(_read(spark, sf).select(*_COLUMNS), sorted(_SPARSE))
 
 
-_METRICS = f"""m as (select GameIndex, max(GameWinner) as Winner, max(UpdatedAt) as MatchDur, count(*) filter (where Category = 'Action') as acts, count(*) filter (where Category = 'Action' and State <> '2' and Actor = 0) as l,
+_M = f"""m as (select GameIndex, max(GameWinner) as Winner, max(UpdatedAt) as MatchDur, count(*) filter (where Category = 'Action') as acts, count(*) filter (where Category = 'Action' and State <> '2' and Actor = 0) as l,
   count(*) filter (where Category = 'Action' and State <> '2' and Actor = 1) as r, count(*) filter (where Category = 'Action' and State <> '2') as t,
   count(*) filter (where Category = 'Collision' and State = '0' and ColTieBreaker = 0 and ColActor = 1 and Actor = 0) as Collisions_L, count(*) filter (where Category = 'Collision' and State = '0' and ColTieBreaker = 0 and ColActor = 1 and Actor = 1) as Collisions_R,
   coalesce(sum(ColTieBreaker) filter (where Category = 'Collision' and State = '0'), 0)::bigint as Collisions_Tie, coalesce(sum(dur) filter (where Category = 'Action' and Actor = 0), 0) as dl, {', '.join(f'max({d}) as {d}' for d in DIMENSIONS)}
-  from (select *, case when State = '2' and lag(StartedAt) over w is not null then UpdatedAt - lag(StartedAt) over w else 0 end as dur from flat window w as (partition by GameIndex, Category, Actor, Name order by UpdatedAt, round_pos, event_pos)) group by GameIndex)
+  from (select *, case when State = '2' and lag(StartedAt) over w is not null then UpdatedAt - lag(StartedAt) over w else 0 end as dur from flat window w as (partition by GameIndex, Category, Actor, Name order by UpdatedAt, round_pos, event_pos)) group by GameIndex)"""
+_METRICS = f"""{_M}
 select GameIndex, Winner, {rounded_sql('MatchDur')}, case when acts > 0 then round(dl, 6) end as Duration_L, case when acts > 0 then l end::double as ActionCounts_L, case when acts > 0 then r end::double as ActionCounts_R, case when acts > 0 then t end::double as TotalActions,
   Collisions_L, Collisions_R, Collisions_Tie, {', '.join(DIMENSIONS)} from m"""
 
@@ -162,6 +164,19 @@ def json_unseen_keys(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("GameIndex", "round_pos", "event_pos", "Category", "UpdatedAt", "Part", "Zone")
 
 
+@entry(f"""with {_NESTED}, {_M}, s as (select {', '.join(DIMENSIONS)}, count(*) as Games, count(*) filter (where Winner = 0) as Winner_L, count(*) filter (where Winner = 1) as Winner_R, round(avg(MatchDur), 6) as MatchDur,
+  round(sum(case when acts > 0 then dl end), 6) as Duration_L, coalesce(sum(case when acts > 0 then t end), 0)::bigint as TotalActions, sum(Collisions_L)::bigint as Collisions_L, sum(Collisions_Tie)::bigint as Collisions_Tie from m group by all)
+  select * replace (coalesce(Duration_L, 0) as Duration_L), round(Winner_L / Games, 6) as WinRate_L from s""")
+def stream_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The matchup summary, kept up to date from a stream of log files in some batches, the last of which is merged twice."""
+    root, into = _written(spark, sf), shared_folder(spark)
+    summaries.summarise_available(spark, root, f"{into}/table", f"{into}/checkpoint", max_files=50, lines=True).awaitTermination()
+    again = logs.flatten_games(logs.read_games(spark, root, lines=True)).limit(1000)
+    summaries.merge(again, summaries.versions(spark, f"{into}/table")[-1], f"{into}/table")
+    out = summaries.current(spark, f"{into}/table", ranks=False)
+    return rounded(out.select(*DIMENSIONS, "Games", "Winner_L", "Winner_R", "MatchDur", "Duration_L", "TotalActions", "Collisions_L", "Collisions_Tie", "WinRate_L"), "MatchDur", "Duration_L", "WinRate_L")
+
+
 @entry("""with g as (select o_orderkey as GameIndex, count(*) as events, sum(l_quantity) as quantity from orders join lineitem on o_orderkey = l_orderkey where l_partkey % 11 > 0 group by 1)
 select GameIndex, events, round(quantity, 6) as UpdatedSum from (select GameIndex, events, (select sum(l_linenumber) from lineitem where l_orderkey = GameIndex and l_partkey % 11 > 0) + quantity as quantity from g)""")
 def manifest_resume(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,9 +10,9 @@ from ..sources.logs import flatten_games, with_layout
 from ..sources.schema import GAME
 
 
-def stream_events(spark: SparkSession, root: str, max_files: int = 1000) -> DataFrame:
-    """Events of game_<n>.json in <root>/<matchup>/<config>, file by file as they appear."""
-    reader = spark.readStream.schema(GAME).option("multiLine", True).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", "game_*.json")
+def stream_events(spark: SparkSession, root: str, max_files: int = 1000, lines: bool = False, pattern: str | None = None) -> DataFrame:
+    """Events of the logs in <root>/<matchup>/<config>, file by file as they appear; with `lines` files hold a game a line."""
+    reader = spark.readStream.schema(GAME).option("multiLine", not lines).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", pattern or ("*.json" if lines else "game_*.json"))
     games = reader.json(f"{root}/*/*").withColumn("_path", F.col("_metadata.file_path"))
     return flatten_games(with_layout(games, F.col("_path")).drop("_path"))
 
