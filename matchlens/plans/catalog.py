@@ -553,9 +553,73 @@ def global_rank_ties(spark: SparkSession, sf: str) -> DataFrame:
     return summary.average_rank(B.table(spark, sf, "lineitem"), "l_quantity").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "Rank")
 
 
+@entry(f"with {B.MATCHUPS}, g as (select Bot_L as Bot, concat_ws('-', Round, Timer::int) as Config, avg(WinRate_L) as m, stddev_samp(WinRate_L) as s from matchups where (length(Bot_L) + Timer::int // 15) % 3 > 0 group by 1, 2) select b.Bot, c.Config, round(coalesce(m, 0), 6) as mean, round(s, 6) as std from (select distinct Bot from g) b, (select distinct Config from g) c left join g on g.Bot = b.Bot and g.Config = c.Config")
+def metric_by_config_filled(spark: SparkSession, sf: str) -> DataFrame:
+    """A row for every competitor and setting, 0 where there was no matchup."""
+    rows = B.matchups(spark, sf, ranks=False).where((F.length("Bot_L") + F.call_function("div", F.col("Timer").cast("int"), F.lit(15))) % 3 > 0)
+    rows = rows.withColumn("Setting", F.concat_ws("-", "Round", F.col("Timer").cast("int").cast("string")))
+    return _rounded(R.metric_by_config(rows, "WinRate_L", "Setting", fill=True), "mean", "std")
+
+
+@entry(f"with {B.MATCHUPS} select Bot, ActInterval, round(avg(WinRate), 6) as mean, count(WinRate) as n, round(coalesce(stddev_samp(WinRate) / sqrt(count(WinRate)), 0), 6) as error, coalesce(min(Rank), 9999) as Rank from bothsides group by 1, 2")
+def grouped_error_se(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(R.grouped_error(B.matchups(spark, sf), error="se"), "mean", "error")
+
+
+@entry(f"with {B.MATCHUPS} select Bot, Timer, round(avg(WinRate), 6) as mean, count(WinRate) as n, round(coalesce(stddev_samp(WinRate), 0), 6) as error, coalesce(min(Rank), 9999) as Rank from bothsides group by 1, 2")
+def grouped_error_std(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(R.grouped_error(B.matchups(spark, sf), by="Timer", error="std"), "mean", "error")
+
+
+@entry(f"with {B.MATCHUPS} select distinct Bot_L as Bot from matchups union select distinct Bot_R from matchups")
+def unique_competitors(spark: SparkSession, sf: str) -> DataFrame:
+    return logs.competitors(B.matchups(spark, sf, ranks=False))
+
+
+@entry(f"with {B.MATCHUPS} select distinct Timer from matchups")
+def distinct_timers(spark: SparkSession, sf: str) -> DataFrame:
+    return R.domain(B.matchups(spark, sf, ranks=False), "Timer")
+
+
+@entry(f"with {_COLLISION_BINS} select GameIndex, TimeBin, 'Tie' as Type, round(avg(Tie), 6) as MeanCount from cfrag group by all")
+def collision_intensity_select(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(R.collision_intensity(collision_timebins(spark, sf), "select", "Tie", by="GameIndex"), "MeanCount")
+
+
+@entry("""select 'orders' as source, o_orderkey::double as id, o_totalprice as amount, o_orderpriority as note from orders union all select 'lines', l_orderkey::double, l_quantity, l_linenumber::varchar from lineitem
+  union all select 'parts', p_retailprice, p_size::double, null from part""")
+def union_widened(spark: SparkSession, sf: str) -> DataFrame:
+    """Three tables whose columns have different types, in the widest of them."""
+    a = B.table(spark, sf, "orders").select(F.lit("orders").alias("source"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount"), F.col("o_orderpriority").alias("note"))
+    b = B.table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("note"), F.lit("lines").alias("source"), F.col("l_orderkey").cast("int").alias("id"), F.col("l_quantity").alias("amount"))
+    c = B.table(spark, sf, "part").select(F.lit("parts").alias("source"), F.col("p_retailprice").alias("id"), F.col("p_size").alias("amount"), F.lit(None).alias("note"))
+    return logs.union_widened([a, b, c])
+
+
 # Names, JSON, files
 
 
+@entry("""select o_orderkey, case when o_orderkey % 10 > 0 then 'A' || (o_custkey % 7) || case when o_orderkey % 3 = 0 then '_vs_X' else '' end end as bot_l, case when o_orderkey % 10 > 0 then 'B' || (o_orderkey % 5) end as bot_r,
+  case when o_orderkey % 4 > 0 then o_orderkey % 100 else -1 end as file from orders""")
+def matchup_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Both names of a folder, split at the last _vs_, or none; and the number of a file's name."""
+    key = F.col("o_orderkey")
+    left = F.concat(F.lit("A"), (F.col("o_custkey") % 7).cast("string"), F.when(key % 3 == 0, "_vs_X").otherwise(""))
+    folder = F.concat(left, F.when(key % 10 > 0, "_vs_").otherwise(" against "), F.lit("B"), (key % 5).cast("string"))
+    folder = F.when(key % 10 > 0, folder).otherwise(F.replace(folder, F.lit("_vs_X"), F.lit("")))
+    name = F.concat(F.when(key % 4 > 0, "game_").otherwise("log_"), (key % 100).cast("string"), F.lit(".json"))
+    a, b = S.matchup_sides(folder)
+    return B.table(spark, sf, "orders").select("o_orderkey", a.alias("bot_l"), b.alias("bot_r"), S.file_index(name).cast("long").alias("file"))
+
+
+@entry("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, case l_linenumber % 4 when 0 then l_tax when 1 then null when 2 then l_partkey::double end as number, case when l_suppkey % 2 = 0 then 'Match Duration' else 'Other' || (l_suppkey % 3) end as name from lineitem""")
+def safe_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts as numbers where they are some, and display names of metrics where there are some."""
+    text = F.expr("case l_linenumber % 4 when 0 then cast(l_tax as string) when 1 then '' when 2 then cast(l_partkey as string) else 'n/a' end")
+    metric = F.when(F.col("l_suppkey") % 2 == 0, "MatchDur").otherwise(F.concat(F.lit("Other"), (F.col("l_suppkey") % 3).cast("string")))
+    return B.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", S.safe_double(text).alias("number"), S.metric_name(metric).alias("name"))
+
+
 @entry("""select p_partkey, regexp_extract(p_brand, '([0-9]+)$', 1)::int as trailing, p_size::double as timer, 'BestOf' || p_size as round, p_brand || ' (#' || p_size || ')' as label, p_brand as name, p_size as rank,
   'Stone' as skill, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') as slug from part""")
 def config_parse(spark: SparkSession, sf: str) -> DataFrame:

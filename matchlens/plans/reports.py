@@ -131,15 +131,24 @@ def _metric(metric: str) -> Column:
     return F.try_divide(F.col(metric).cast("double"), F.col("Games").cast("double")) if any(x in metric for x in PER_GAME) else F.col(metric).cast("double")
 
 
-def metric_by_config(df: DataFrame, metric: str = "WinRate_L", config: str = "Timer", bot: str = "Bot_L") -> DataFrame:
-    """bot, config, mean, std. Collisions, actions and durations count by game; config Skill takes both sides."""
+def metric_by_config(df: DataFrame, metric: str = "WinRate_L", config: str = "Timer", bot: str = "Bot_L", fill: bool = False) -> DataFrame:
+    """bot, config, mean, std. Collisions, actions and durations count by game; config Skill takes both sides.
+
+    With `fill` every competitor has a row for every value of the setting, with mean 0 where it has no matchup.
+    """
     if config == "Skill":
         other = lambda c: c.replace("_L", "_R")
         rows = df.select(F.col(bot).alias("Bot"), F.col("SkillLeft").alias("Config"), _metric(metric).alias("v"))
         rows = rows.union(df.select(F.col(other(bot)), F.col("SkillRight"), _metric(other(metric))))
     else:
         rows = df.select(F.col(bot).alias("Bot"), F.col(config).alias("Config"), _metric(metric).alias("v"))
-    return rows.groupBy("Bot", "Config").agg(F.coalesce(F.avg("v"), F.lit(0.0)).alias("mean"), F.stddev_samp("v").alias("std"))
+    out = rows.groupBy("Bot", "Config").agg(F.coalesce(F.avg("v"), F.lit(0.0)).alias("mean"), F.stddev_samp("v").alias("std"))
+    if not fill:
+        return out
+    out = written(out, shared_folder(df.sparkSession))
+    values = out.agg(F.collect_set("Config").alias("values"))  # one row: a setting has few values
+    every = out.select("Bot").distinct().join(F.broadcast(values)).select("Bot", F.explode("values").alias("Config"))
+    return every.join(out, ["Bot", "Config"], "left").fillna(0.0, ["mean"])
 
 
 def metric_overall(df: DataFrame, metric: str = "Collisions_L", bot: str = "Bot_L") -> DataFrame:

@@ -6,8 +6,12 @@ in <root>/matchup=<A>_vs_<B>/config=<configuration>/, so that filters on competi
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from .schema import EVENTS, GAME, STORED
@@ -183,6 +187,31 @@ def matchup_positions(events: DataFrame, bot1: str | None = None, bot2: str | No
     return positions(events, keep=("source_file", "matchup", "config", "Bot_L", "Bot_R", "Timer"))
 
 
+def union_widened(frames: Sequence[DataFrame]) -> DataFrame:
+    """All rows of frames with the same columns in any order, each column in the widest of its types; a column that is text in one is text.
+
+    Frames that lack a column are an error, as are types with no common one.
+    """
+    frames = list(frames)
+    names = frames[0].columns
+    if any(sorted(f.columns) != sorted(names) for f in frames):
+        raise ValueError("frames have different columns")
+
+    def widest(name: str) -> T.DataType:
+        kinds = [f.schema[name].dataType for f in frames if not isinstance(f.schema[name].dataType, T.NullType)] or [T.NullType()]
+        order = [T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.StringType]
+        if all(k == kinds[0] for k in kinds):
+            return kinds[0]
+        if any(type(k) not in order for k in kinds) or any(isinstance(k, T.BooleanType) for k in kinds) and not any(isinstance(k, T.StringType) for k in kinds):
+            raise ValueError(f"no common type for column {name!r}")
+        top = max(kinds, key=lambda k: order.index(type(k)))
+        # A float doesn't hold all whole numbers.
+        return T.DoubleType() if isinstance(top, T.FloatType) and any(isinstance(k, T.IntegerType | T.LongType) for k in kinds) else top
+
+    types = {n: widest(n) for n in names}
+    return reduce(DataFrame.unionByName, [f.select(*[F.col(f"`{n}`").cast(types[n]).alias(n) for n in names]) for f in frames])
+
+
 def competitors(df: DataFrame) -> DataFrame:
     """The different names on either side."""
     return df.select(F.col("Bot_L").alias("Bot")).union(df.select("Bot_R")).where("Bot is not null").distinct()

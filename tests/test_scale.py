@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from matchlens.functions import quantiles, stats
 from matchlens.operators import games, ranks, spans, summary, timebins
-from matchlens.plans import bindings, reports
+from matchlens.plans import arena, bindings, reports
+from matchlens.sources import logs
 
 
 def plan(df):
@@ -143,3 +144,31 @@ def test_bins_shuffle_counts_only(spark):
     events = bindings.telemetry(spark, "/root/testdata/sf0.001")
     text = plan(timebins.action_fragments(events, 5.0, ["GameIndex"]))
     assert "Window" not in text
+
+
+def test_all_levels_in_one_pass(spark):
+    """Levels, time windows named by what is skipped, a side, some configurations only."""
+    rng = random.Random(6)
+    rows = [("f", i % 4, i * 0.1, a, rng.gauss(0, 1), rng.gauss(0, 1), 15.0 if i % 4 < 2 else None, "LR"[a], "XY"[a], "X_vs_Y", f"Timer_{i % 3}") for i in range(800) for a in (0, 1)]
+    df = spark.createDataFrame(rows, "source_file string, GameIndex long, UpdatedAt double, Actor long, BotPosX double, BotPosY double, Timer double, Side string, Bot string, matchup string, config string")
+    out = arena.all_modes(df, skip=2.0, side="left", max_configs=2, cells=10, points=20)
+    assert set(out) == {"heatmap", "marginal", "over_time", "position", "distance"}
+    levels = {(r.Bot, r.level, r.part) for r in out["heatmap"].select("Bot", "level", "part").distinct().collect()}
+    assert levels == {("X", "all", ""), ("X", "timer", "15"), ("X", "phase", "0"), ("X", "phase", "1"), ("X", "phase", "2"), ("X", "window", "2.0-15s"), ("X", "window", "15-30s"), ("X", "window", "30-45s"), ("X", "window", "45-60s")}
+    assert {r.Bot for r in out["over_time"].select("Bot").distinct().collect()} == {"X", "Y"} == {r.Bot for r in out["distance"].select("Bot").distinct().collect()}
+    kept = df.where("config <> 'Timer_2'")
+    first = {r.GameIndex: r.m for r in kept.groupBy("GameIndex").agg(F.min("UpdatedAt").alias("m")).collect()}
+    assert out["position"].where("axis = 'X'").agg(F.sum("count")).first()[0] == sum(r.Side == "L" and r.UpdatedAt >= first[r.GameIndex] + 2 for r in kept.collect())
+    assert set(arena.all_modes(df, "position")) == {"position"} and "over_time" not in arena.all_modes(df, "heatmap", levels=["phase"])
+    for bad in ({"mode": "x"}, {"side": "up"}, {"levels": ["x"]}):
+        with pytest.raises(ValueError):
+            arena.all_modes(df, **bad)
+
+
+def test_union_in_the_widest_types(spark):
+    a, b = spark.sql("select 1 as x, 'a' as y"), spark.sql("select 5 as y, 2.5d as x")
+    out = logs.union_widened([a, b, spark.sql("select null as y, cast(7 as bigint) as x")])
+    assert dict(out.dtypes) == {"x": "double", "y": "string"} and sorted(map(repr, out.collect())) == sorted(["Row(x=1.0, y='a')", "Row(x=2.5, y='5')", "Row(x=7.0, y=None)"])
+    for other in ("select 1 as x", "select true as x, 'a' as y", "select array(1) as x, 'a' as y"):
+        with pytest.raises(ValueError):
+            logs.union_widened([a, spark.sql(other)])
