@@ -81,6 +81,21 @@ def permuted_digits(digits: Column, key: Column, kind: str) -> Column:
     return F.lpad(permuted(digits.cast("long"), _power(half), _power(n - half), of, kind).cast("string"), n, "0")
 
 
+def _american(digits: Column, key: Column) -> Column:
+    """Ten digits of an American number permuted within its plan: area and exchange from 200 on stay from 200 on, others below."""
+    part = lambda at, n: F.substring(digits, at, n).cast("long")
+    long = lambda n: F.lit(n).cast("long")
+    areas, exchanges = (F.when(part(at, 3) >= 200, long(800)).otherwise(long(200)) for at in (1, 4))
+    least = lambda n: F.when(n == 800, long(200)).otherwise(long(0))
+    number = ((part(1, 3) - least(areas)) * exchanges + part(4, 3) - least(exchanges)) * 10_000 + part(7, 4)
+    of = F.concat(key, F.lit("/us/"), areas.cast("string"), F.lit("/"), exchanges.cast("string"))
+    new = permuted(number, areas * 100, exchanges * 100, of, "phone")
+    over = lambda v, n: F.call_function("div", v, n)
+    text = lambda v, n: F.lpad(v.cast("string"), n, "0")
+    made = F.transform(F.array(new), lambda v: F.concat(text(over(over(v, long(10_000)), exchanges) + least(areas), 3), text(F.pmod(over(v, long(10_000)), exchanges) + least(exchanges), 3), text(F.pmod(v, long(10_000)), 4)))
+    return F.get(made, 0)
+
+
 def refilled(m: Column, digits: Column) -> Column:
     """m with its digits replaced by others, in order."""
     pieces = F.split(m, "[0-9]", -1)
@@ -198,7 +213,8 @@ def pseudonym(m: Column, key: Column) -> Column:
     """The pseudonym of a found value; the value itself if it isn't valid. A phone number keeps its country code."""
     country = F.regexp_extract(m, KEPT, 0)
     rest = F.substr(m, F.length(country) + 1)
-    phone = F.concat(country, refilled(rest, permuted_digits(_digits(rest), key, "phone")))
+    american = country.isin("", "+1", "1 ", "1-") & (F.length(_digits(rest)) == 10)
+    phone = F.concat(country, refilled(rest, F.when(american, _american(_digits(rest), key)).otherwise(permuted_digits(_digits(rest), key, "phone"))))
     is_ = lambda p: m.rlike(f"^(?:{p})$")
     return (
         F.when(m.contains("@"), _email(m, key))
@@ -222,8 +238,9 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     Null texts stay null, empty ones empty, with 0 values. Values that fail validation stay as they are. Addresses of
     the mail kind become addresses of one made-up domain; 32 to 64 hex digits become as many others. n_private gets
     underscores if docs has such a column. Left as they are: phone numbers without a + unless American with a bracketed
-    or dashed area code, those with two separators between groups, extensions, and IBANs in lower case or grouped
-    otherwise than by four.
+    or dashed area code, those with two separators between groups, extensions, IBANs in lower case or grouped
+    otherwise than by four, cards grouped otherwise than by four, dates in other forms, addresses of IPv6, and secrets in
+    capitals. A date has different pseudonyms in different forms.
     """
     count, found, new = fresh(docs, "n_private", "found_values", "new_values")
     text = F.col(text_col)
