@@ -282,15 +282,36 @@ def train(others: list[str], seed: int = 3, rounds: int = 400, sparsity: float =
         w, b = _fit(x[fold != k], y[fold != k], n[fold != k], rounds, sparsity)
         z[fold == k] = x[fold == k] @ w + b
     share = n / np.maximum(np.bincount(y, n, len(CLASSES)), 1.0)[y]
-    loss = lambda t: -(np.log(np.maximum(_soft(z / t)[np.arange(len(y)), y], 1e-12)) * share).sum()
-    temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=loss)
+
+    def chosen(of: np.ndarray) -> tuple[float, float]:
+        """The temperature that fits the rows weighed best, and the least threshold from which on precision among them is enough."""
+        loss = lambda t: -(np.log(np.maximum(_soft(z / t)[np.arange(len(y)), y], 1e-12)) * of).sum()
+        temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=loss)
+        p = _soft(z / temperature)
+        best, sure = p.argmax(axis=1), p.max(axis=1)
+        right = lambda t: (of * (best == y))[(best > 1) & (sure >= t)].sum() / max(of[(best > 1) & (sure >= t)].sum(), 1e-9)
+        steps = np.arange(0.5, 0.95, 0.025)
+        short = [t for t in steps if right(t) < PRECISION]
+        return temperature, next((t for t in steps if not short or t > max(short)), 0.95)
+
+    def judged(best: np.ndarray, sure: np.ndarray, above: np.ndarray) -> dict[str, float]:
+        bins = np.minimum((sure * 10).astype(int), 9)
+        off = sum(abs((share * ((best == y) - sure))[bins == k].sum()) for k in range(10)) / share.sum()
+        return {"accuracy": (share * (best == y)).sum() / share.sum(), "precision": (share * (best == y))[above].sum() / max(share[above].sum(), 1e-9), "calibration_error": off}
+
+    temperature, threshold = chosen(share)
     p = _soft(z / temperature)
     best, sure = p.argmax(axis=1), p.max(axis=1)
-    right = lambda t: (share * (best == y))[(best > 1) & (sure >= t)].sum() / max(share[(best > 1) & (sure >= t)].sum(), 1e-9)
-    threshold = next((t for t in np.arange(0.5, 0.95, 0.025) if right(t) >= PRECISION), 0.95)
-    bins = np.minimum((sure * 10).astype(int), 9)
-    off = sum(abs((share * ((best == y) - sure))[bins == k].sum()) for k in range(10)) / share.sum()
-    unseen = {"accuracy": (share * (best == y)).sum() / share.sum(), "precision": right(threshold), "calibration_error": off}
+    unseen = judged(best, sure, (best > 1) & (sure >= threshold))  # by the weights only
+    # Each fold once more by a temperature and a threshold that haven't seen it either.
+    above = np.zeros(len(y), dtype=bool)
+    for k in range(FOLDS):
+        mine = fold == k
+        t, limit = chosen(np.where(mine, 0.0, share))
+        p = _soft(z[mine] / t)
+        best[mine], sure[mine] = p.argmax(axis=1), p.max(axis=1)
+        above[mine] = (best[mine] > 1) & (sure[mine] >= limit)
+    unseen |= {f"{name}_by_all": value for name, value in judged(best, sure, above).items()}
     w, b = _fit(x, y, n, rounds, sparsity)
     w, b = np.round(w.astype(float) * 2**16) / 2**16, np.round(b.astype(float) * 2**16) / 2**16  # sums are then exact in any order
     keep = np.flatnonzero(np.abs(w).max(axis=1) > 0)
@@ -323,7 +344,7 @@ def scan(docs: DataFrame, model: Classifier, overlap: float = OVERLAP) -> DataFr
 
     A notice is a run of paragraphs of one document with the same family; paragraph is the first one's number, from 0, in
     its document; probability and overlap are the run's greatest. family is unknown for what isn't surely one family (nor
-    a long verbatim passage of the one that is likeliest), or doesn't share at least `overlap` of its bigrams with a template of it (of the shorter of the two). Paragraphs without
+    itself a long passage of the text of the likeliest), or doesn't share at least `overlap` of its bigrams with a template of it (of the shorter of the two). Paragraphs without
     a gram of the model score as none and give no row; so do null and empty texts and empty tables. Of classes that tie
     the first of CLASSES is said. Texts are read whole, however long. Repeated rows give their rows each, a null doc_id
     too; columns beside doc_id and text don't matter, whatever their names.
@@ -348,7 +369,9 @@ def scan(docs: DataFrame, model: Classifier, overlap: float = OVERLAP) -> DataFr
     known = F.broadcast(spark.createDataFrame(list(templates().items()), "said string, known array<array<string>>"))  # a row a family
     shared = lambda n: F.size(F.array_intersect(n, F.col("pairs"))) / F.greatest(F.least(F.size(n), F.size("pairs")), F.lit(1))
     scored = scored.join(known, "said", "left").select("*", F.round(F.coalesce(F.array_max(F.transform("known", shared)), F.lit(0.0)), 6).alias("overlap"))
-    verbatim = (F.col("overlap") >= VERBATIM) & (F.size("pairs") >= LONG)
+    # Verbatim is a paragraph that is itself, nearly all of it, a passage of the family's text: not one that only names it.
+    own = lambda n: F.when(F.size(n) >= LONG, F.size(F.array_intersect(n, F.col("pairs"))) / F.greatest(F.size("pairs"), F.lit(1))).otherwise(0.0)
+    verbatim = (F.coalesce(F.array_max(F.transform("known", own)), F.lit(0.0)) >= VERBATIM) & (F.size("pairs") >= LONG)
     sure = ((F.col("probability") >= model.threshold) | verbatim) & (F.col("overlap") >= overlap)
     scored = scored.select("row", "doc_id", "paragraph", F.when(sure, F.col("said")).otherwise("unknown").alias("family"), "probability", "overlap", "line")
     # Runs: paragraph number less place among the paragraphs of the family is the same within a run.
