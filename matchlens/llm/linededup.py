@@ -3,8 +3,8 @@
 `LineIndex` holds three tables. `refs` has a row for each document and key, so that a deletion can be undone to the
 last reference; `counts` has the documents and the largest doc_id of each key; `filters` has a cuckoo filter for each
 shard of the keys in min_docs documents or more. The filters only say which references can't be of a repeated line;
-what passes is joined with the exact counts. Insertions and deletions change the rows of the keys that they touch, and
-the filters of the shards whose repeated keys they change.
+what passes is joined with the exact counts. Insertions and deletions count anew only the keys that they touch, and
+change only the filters of shards whose repeated keys they change; the tables are written anew as a whole.
 
 References meet the filter of their shard in tasks that read both in order of shard, one filter at a time, however many
 there are; a shard is dealt to several tasks, so that a frequent line isn't all in one.
@@ -199,7 +199,9 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, **options) -> D
     """docs (all its columns) with the kept text in place of the text, and n_lines, n_dropped at the end.
 
     A null or empty text is one empty line, and is kept as it is in the text column. Names of the added columns get
-    underscores if docs has them already. Without an index, docs themselves are indexed.
+    underscores if docs has them already. Without an index, docs themselves are indexed. Very long texts and lines are read
+    whole. Of documents that hold a line the largest doc_id keeps it; rows with one doc_id, repeated ones too, are one
+    document, as are those without one, and all of them keep it. An empty table gives no rows.
     """
     index = index or LineIndex.build(docs, **options)
     drops = index.dropped(index.refs).groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("keys"))

@@ -34,7 +34,9 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, the five base statistics (longs) and the named ones of FEATURES for each row of docs.
 
     Null and empty texts have no words: counts are 0 and ratios 0. Repeated rows give a row each.
-    n_repeat_words counts the positions of words that lie in a window of three found twice or more in the text.
+    n_repeat_words counts the positions of words that lie in a window of three found twice or more in the text. Very long
+    texts are read whole; a null id is one like others; columns other than id and text, whatever their names, play no part;
+    an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.select(F.col(id_col).alias("doc_id"), text.alias("t")).select("doc_id", "t", words(F.col("t")).alias("w"))
@@ -217,13 +219,20 @@ def learned(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED
 
 
 def judged(docs: DataFrame, rules: DecisionList, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the base statistics, base_failed and kept of every row of docs."""
+    """doc_id, the base statistics, base_failed and kept of every row of docs.
+
+    The first rule that fits decides; a value equal to a rule's threshold lies below it. Null and empty texts fail the base
+    rules. For long texts, repeated rows, other columns and empty tables see statistics.
+    """
     stats = statistics(docs, id_col, text_col, rules.features()).select("*", base_failed().alias("base_failed"))
     return stats.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & rules.column()).alias("kept"))
 
 
 def keep_good(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
-    """docs without the rows that the base rules or the list reject; columns as before."""
+    """docs without the rows that the base rules or the list reject; columns as before, whatever their names.
+
+    Null and empty texts go; very long ones are read whole; of repeated rows all stay or go; an empty table stays empty.
+    """
     (whole,) = fresh(docs, "whole_row")
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias(whole))
     stats = statistics(packed.select(F.col(whole), F.col(whole)[text_col].alias("judged_text")), whole, "judged_text", rules.features())

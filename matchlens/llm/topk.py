@@ -132,7 +132,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, n_pivots: int = 48, s
     vector scores 0 everywhere. Rows are told apart by themselves, not by id: of rows with the same id each is a
     candidate (also for the other rows of that id) and, if the id is divisible, each is a query with results of its
     own. Equal scores go to the smaller id. Scores are exact however large the components; one beyond a long is given
-    as the nearest long, and ranked by its logarithm among such. An empty table, or a single row, gives no rows.
+    as the nearest long, and ranked by its logarithm among such. Columns other than id and vector, whatever their names, play
+    no part. An empty table, or a single row, gives no rows.
     """
     found, _ = searched(vectors, k, every, n_pivots, scale, block, query_block, id_col, vector_col)
     return found

@@ -68,3 +68,5 @@ def test_held_out_accuracy(spark):
     rules = quality.learned(docs, labels.where("doc_id % 2 = 0"))
     out = quality.judged(docs, rules).join(labels.where("doc_id % 2 = 1 and quality = 1"), "doc_id").where("not base_failed")
     assert out.where("kept").count() / out.count() > 0.97
+    low = quality.judged(docs, rules).join(labels.where("doc_id % 2 = 1 and quality = 0"), "doc_id").where("not base_failed")
+    assert low.count() > 100 and low.where("not kept").count() / low.count() > 0.95 and len(rules.rules) > 0
