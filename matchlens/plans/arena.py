@@ -30,6 +30,11 @@ def heatmaps(rows: DataFrame, by: Sequence[str] = ("Bot",), phases: int | None =
     return grid if quantile is None else stats.masked_density(grid, quantile, list(by))
 
 
+def combined_heatmap(rows: DataFrame, actor: int | None = 0, phases: int | None = None, keys: Sequence[str] = spatial.GAME) -> DataFrame:
+    """One map of all files together, of one actor (0, the left one) or of both (None)."""
+    return heatmaps(rows if actor is None else rows.where(F.col("Actor") == actor), (), phases, keys)
+
+
 def position_histograms(rows: DataFrame, bins: int = 30, by: Sequence[str] = ("Bot",)) -> DataFrame:
     """by, axis (X or Y), bin, start, stop, count, density of the positions along both axes."""
     long = rows.select(*by, "BotPosX", "BotPosY").unpivot(list(by), ["BotPosX", "BotPosY"], "axis", "value").withColumn("axis", F.substring("axis", 7, 1))

@@ -320,6 +320,12 @@ def combined_heatmap(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(arena.frames(_bots(spark, sf), "all", ["GameIndex"])["combined"], "x", "y", "density")
 
 
+@entry(f"with {_BOTS.replace('bots as', 'all_bots as')}, bots as (select * from all_bots where Actor = 0), {_grid('')}")
+def combined_heatmap_left(spark: SparkSession, sf: str) -> DataFrame:
+    """One map of the left competitors of all files."""
+    return _rounded(arena.combined_heatmap(_bots(spark, sf)), "x", "y", "density")
+
+
 def _hist_by(source: str, by: str, bins: int, edges: str) -> str:
     return f"""b as (select {by}, v, min(v) over (partition by {edges}) as lo, max(v) over (partition by {edges}) as hi, count(*) over (partition by {by}) as n from {source}),
 h as (select {by}, least(floor((v - lo) / ((hi - lo) / {bins})), {bins - 1})::int as bin, lo, hi, n, count(*) as count from b group by all)
