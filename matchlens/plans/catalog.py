@@ -429,7 +429,7 @@ _ENEMIES = [f"NATION_{i}" for i in range(25)]
 
 @entry(f"with {B.MATCHUPS} select Bot, " + ", ".join(f"round(avg(WinRate) filter (where Enemy = '{e}'), 6) as \"{e}\"" for e in _ENEMIES) + " from bothsides group by 1")
 def winrate_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(R.winrate_matrix(B.matchups(spark, sf), _ENEMIES), *_ENEMIES)
+    return _rounded(R.winrate_matrix(B.matchups(spark, sf, ranks=False), _ENEMIES), *_ENEMIES)
 
 
 @entry(f"with {B.MATCHUPS} select Timer, ActInterval, round(avg(MatchDur), 6) as MatchDur from matchups group by 1, 2")

@@ -57,8 +57,9 @@ def winrate_pairs(df: DataFrame) -> DataFrame:
 
 
 def winrate_matrix(df: DataFrame, enemies: Sequence[str]) -> DataFrame:
-    """A row a competitor, a column for each of the enemies."""
-    return winrate_pairs(df).groupBy("Bot").pivot("Enemy", list(enemies)).agg(F.avg("WinRate"))
+    """A row a competitor, a column for each of the enemies: the mean over both directions. Ranks aren't looked at."""
+    both = sides(df, {"Bot": ("Bot_L", "Bot_R"), "Enemy": ("Bot_R", "Bot_L"), "WinRate": ("WinRate_L", "WinRate_R")}, (), None)
+    return both.groupBy("Bot").pivot("Enemy", list(enemies)).agg(F.avg("WinRate"))
 
 
 def duration_by(df: DataFrame, *columns: str) -> DataFrame:
