@@ -65,7 +65,12 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _searched(texts: DataFrame, window: int) -> DataFrame:
-    """(id, th, start, stop) of the bytes in repeats, of the runs that occur once. Rows come sorted by key."""
+    """(id, th, start, stop) of the bytes in repeats, of the runs that occur once.
+
+    Rows are dealt by an expression that no join has dealt by: else Spark leaves the exchange out, and if it then makes
+    that join a broadcast one, a key's rows are in several tasks, each of which misses repeats.
+    """
+    texts = texts.repartition(F.bitwise_not(F.bitwise_not(F.col("key")))).sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -111,7 +116,7 @@ def _cut_again(texts: DataFrame, window: int, level: int) -> DataFrame:
 def _repeats_of(texts: DataFrame, crowded: DataFrame, window: int, most: int, level: int = 1) -> list[DataFrame]:
     """(id, th, start, stop) of the repeats in different run texts of a key. crowded: keys (k) with more than `most`."""
     if crowded.isEmpty():
-        return [_searched(texts.repartition("key").sortWithinPartitions("key"), window)]
+        return [_searched(texts, window)]
     few = texts.join(crowded, F.col("key") == F.col("k"), "left_anti")
     again = checkpointed(_cut_again(texts.join(crowded, F.col("key") == F.col("k"), "left_semi"), window, level))
     firsts = [F.sum("copies").alias("copies"), F.max("own").alias("own"), F.min(F.struct("id", "th", "at", "n")).alias("first"), F.min_by("body", F.struct("id", "th", "at")).alias("body")]
@@ -122,7 +127,7 @@ def _repeats_of(texts: DataFrame, crowded: DataFrame, window: int, most: int, le
     keys = checkpointed(groups.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("c"), F.max("own").alias("own")).where("c > 1 or own"))
     left = groups.drop("own").join(keys.select(unpartitioned("k")), F.col("key") == F.col("k"), "left_semi")
     rest = _repeats_of(left, keys.where(F.col("c") > most).select(unpartitioned("k")), window, most, level + 1)
-    return [_searched(few.repartition("key").sortWithinPartitions("key"), window), equal, *rest]
+    return [_searched(few, window), equal, *rest]
 
 
 def remove_repeats(docs: DataFrame, window: int = 200, most: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -65,6 +65,26 @@ def test_frequent_passage_in_many_contexts(spark, monkeypatch, levels):
     assert sorted(got, key=repr) == slow(rows, 200)
 
 
+def test_runs_of_a_key_meet_whatever_the_join(spark):
+    """Some keys are crowded, some not; what joins them apart is made a broadcast join while the query runs."""
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passages = [noise(420) for _ in range(12)]
+    cut = lambda p: p[(a := rng.randrange(150)) : a + rng.randrange(205, 270)]
+    rows = [(i, noise(30) + cut(passages[i % 12 if i < 60 else 0]) + noise(30) + cut(passages[(i // 12) % 12]), "s") for i in range(150)]
+    names = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        out = suffixdedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8), 200, 8).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = [(r.doc_id, r.n_bytes, sum(s.stop - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in out]
+    assert sorted(got, key=repr) == slow(rows, 200)
+
+
 def test_common_prefixes():
     rng = random.Random(5)
     data = bytes(rng.choice(b"ab\0") for _ in range(400))
