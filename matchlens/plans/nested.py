@@ -6,6 +6,8 @@ without data, data without snapshots, snapshots without flags.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,17 +36,18 @@ _EVENT = f"""named_struct('StartedAt', l_linenumber * 1.0d, 'UpdatedAt', l_linen
 
 def game_logs(spark: SparkSession, sf: str, more: str = "") -> DataFrame:
     """matchup, config, Index, Timestamp, Winner, Rounds: a document an order that has lines; more: further fields of events."""
-    event = _EVENT if not more else f"{_EVENT[:-1]}, {more})"
-    lines = table(spark, sf, "lineitem").select("l_orderkey", F.expr("l_linenumber % 2").alias("parity"), F.struct(*_ORDER).alias("place"), F.expr(event).alias("e"))
-    rounds = lines.groupBy("l_orderkey", "parity").agg(F.sort_array(F.collect_list(F.struct("place", "e"))).alias("es"))
-    rounds = rounds.select("l_orderkey", F.struct(F.col("parity").cast("long").alias("Index"), F.lit("r").alias("Timestamp"), F.expr("case when parity = 0 then 'Draw' when l_orderkey % 3 = 0 then 'Left' else 'Right' end").alias("Winner"), F.col("es.e").alias("PlayerEvents")).alias("r"))
-    nested = rounds.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("r.Index").alias("i"), "r"))).alias("rs"))
+    event = re.sub(r"\bl_", "p.l_", _EVENT if not more else f"{_EVENT[:-1]}, {more})")
+    nested = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*_ORDER))).alias("lines"))
     orders = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.expr("concat('TEAM_', o_custkey % 5, '_vs_TEAM_', o_orderkey % 5)").alias("matchup"),
         F.expr("concat('Timer_', cast(substr(o_orderpriority, 1, 1) as int) * 15, '__ActInterval_0.1__Round_BestOf', cast(substr(o_orderpriority, 1, 1) as int) % 3 * 2 + 1, '__SkillLeft_Boost__SkillRight_Stone')").alias("config"),
         F.expr("o_orderkey - 1").alias("Index"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("Timestamp"), F.expr("case o_orderstatus when 'F' then 'Left' when 'P' then 'Draw' else 'Right' end").alias("Winner"),
     )
-    return orders.join(nested, "l_orderkey").select("matchup", "config", "Index", "Timestamp", "Winner", F.col("rs.r").alias("Rounds"))
+    # Events, of which each has many times a line's bytes, are made of the lines after the last exchange.
+    dealt = orders.join(nested, "l_orderkey").hint("rebalance", "matchup", "config")
+    rounds = f"""transform(array_sort(array_distinct(transform(lines, p -> p.l_linenumber % 2))), i -> named_struct('Index', cast(i as bigint), 'Timestamp', 'r', 'Winner', case when i = 0 then 'Draw' when l_orderkey % 3 = 0 then 'Left' else 'Right' end,
+      'PlayerEvents', transform(filter(lines, p -> p.l_linenumber % 2 <=> i), p -> {event})))"""
+    return dealt.select("matchup", "config", "Index", "Timestamp", "Winner", F.expr(rounds).alias("Rounds"))
 
 
 def _flag(value: str) -> str:
@@ -83,10 +86,14 @@ flat as (select GameIndex, GameWinner::bigint as GameWinner, GameTimestamp, r.In
   {', '.join(DIMENSIONS)}, round_pos::int as round_pos, event_pos::int as event_pos, e.Part as Part, e.Zone as Zone from e1 where e.Category is null or e.Category <> 'LastPosition')"""
 
 
+#: Compressed files can't be split among tasks, so none is large.
+_FILES = {"compression": "gzip", "maxRecordsPerFile": 100_000}
+
+
 def _written(spark: SparkSession, sf: str, more: str = "") -> str:
-    """The folder of the whole tables' logs, a game a line."""
+    """The folder of the whole tables' logs, a game a line, compressed."""
     root = shared_folder(spark)
-    game_logs(spark, sf, more).hint("rebalance", "matchup", "config").write.partitionBy("matchup", "config").json(root)
+    game_logs(spark, sf, more).write.partitionBy("matchup", "config").options(**_FILES).json(root)
     return root
 
 
@@ -123,7 +130,7 @@ select GameIndex, Winner, {rounded_sql('MatchDur')}, case when acts > 0 then rou
 def _reread(spark: SparkSession, sf: str, fmt: str) -> DataFrame:
     """Metrics of each game, with dimensions, from an event table that was written and read back."""
     path = shared_folder(spark)
-    logs.write_events(_read(spark, sf), path, fmt)
+    logs.write_events(_read(spark, sf), path, fmt, arranged=True)
     metrics = games.game_metrics(logs.read_events(spark, path, fmt), dimensions=DIMENSIONS)
     return rounded(_doubles(metrics, _COUNTS).select("GameIndex", "Winner", "MatchDur", "Duration_L", *_COUNTS, "Collisions_L", "Collisions_R", "Collisions_Tie", *DIMENSIONS), "MatchDur", "Duration_L")
 
@@ -143,7 +150,7 @@ def event_table_csv(spark: SparkSession, sf: str) -> DataFrame:
 def competitor_events(spark: SparkSession, sf: str) -> DataFrame:
     """One competitor's positions on either side, from the folders of its own matchups."""
     path = shared_folder(spark)
-    logs.write_events(_read(spark, sf), path)
+    logs.write_events(_read(spark, sf), path, arranged=True)
     rows = logs.competitor_positions(logs.read_events(spark, path, "parquet"), "TEAM_2")
     return rows.select("GameIndex", "Bot", "Opponent", "Side", "Timer", "UpdatedAt", "BotPosX", "BotPosY", "BotRot")
 
@@ -159,8 +166,8 @@ def json_unseen_keys(spark: SparkSession, sf: str) -> DataFrame:
     text = F.to_json(F.struct("Index", "Timestamp", "Winner", "Rounds"))
     text = F.regexp_replace(F.regexp_replace(text, r'"ZoneList":(\d+)', r'"Zone":["z",$1]'), r'"ZoneNumber":(\d+)', r'"Zone":$1')
     root = shared_folder(spark)
-    games_.select("matchup", "config", text.alias("value")).hint("rebalance", "matchup", "config").write.partitionBy("matchup", "config").text(root)
-    out = freeform.flatten_all(freeform.read_texts(spark, root, lines=True, pattern="*.txt"))
+    games_.select("matchup", "config", text.alias("value")).write.partitionBy("matchup", "config").options(**_FILES).text(root)
+    out = freeform.flatten_all(freeform.read_texts(spark, root, lines=True, pattern="*.txt.gz"))
     return out.select("GameIndex", "round_pos", "event_pos", "Category", "UpdatedAt", "Part", "Zone")
 
 
@@ -182,10 +189,10 @@ select GameIndex, events, round(quantity, 6) as UpdatedSum from (select GameInde
 def manifest_resume(spark: SparkSession, sf: str) -> DataFrame:
     """Games of many files, loaded in runs of which one ended between writing and commit: each event is there once."""
     root, into = _written(spark, sf), shared_folder(spark)
-    first = loads.staged(spark, root, into, max_files=40, lines=True)
+    first = loads.staged(spark, root, into, max_files=40, lines=True, arranged=True)
     loads.commit(into, first[1])
-    loads.staged(spark, root, into, max_files=40, lines=True)  # broken off before its commit
-    loads.load(spark, root, into, lines=True)
+    loads.staged(spark, root, into, max_files=40, lines=True, arranged=True)  # broken off before its commit
+    loads.load(spark, root, into, lines=True, arranged=True)
     loads.cleaned(spark, into)
     events = loads.loaded_events(spark, into)
     return rounded(events.groupBy("GameIndex").agg(F.count("*").alias("events"), F.sum("UpdatedAt").alias("UpdatedSum")), "UpdatedSum")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .logs import flattened, with_layout
+from .logs import LINES, flattened, with_layout
 from .schema import DATA, EVENT, GAME
 
 #: More different keys than that are taken for values used as keys.
@@ -16,7 +16,7 @@ MAX_KEYS = 1000
 
 def read_texts(spark: SparkSession, root: str | list[str], lines: bool = False, pattern: str | None = None) -> DataFrame:
     """json, source_file, matchup, config and dimensions of each game document, as logs.read_games finds them."""
-    texts = spark.read.text(root, wholetext=not lines, recursiveFileLookup=True, pathGlobFilter=pattern or ("*.json" if lines else "game_*.json"))
+    texts = spark.read.text(root, wholetext=not lines, recursiveFileLookup=True, pathGlobFilter=pattern or (LINES if lines else "game_*.json"))
     games = with_layout(texts.select(F.col("value").alias("json"), F.col("_metadata.file_path").alias("_path")), F.col("_path")).drop("_path")
     return games.where(F.col("config").startswith("Timer_"))
 

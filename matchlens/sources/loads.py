@@ -77,12 +77,12 @@ def manifest(spark: SparkSession, table: str) -> DataFrame:
     return reader.parquet(f"{table}/_manifest") if exists(spark, f"{table}/_manifest") else spark.createDataFrame([], MANIFEST)
 
 
-def staged(spark: SparkSession, root: str, table: str, max_files: int = 100_000, lines: bool = False, pattern: str | None = None) -> tuple[str, DataFrame] | None:
+def staged(spark: SparkSession, root: str, table: str, max_files: int = 100_000, lines: bool = False, pattern: str | None = None, arranged: bool = False) -> tuple[str, DataFrame] | None:
     """Writes the events of the next files not yet loaded, in natural order; gives the load's name and its files, or None if none are left.
 
-    Nothing counts before commit().
+    Nothing counts before commit(). `arranged` is that of write_events.
     """
-    files = pending(listed(spark, root, pattern or ("*.json" if lines else "game_*.json")), manifest(spark, table))
+    files = pending(listed(spark, root, pattern or (logs.LINES if lines else "game_*.json")), manifest(spark, table))
     taken = files.orderBy("matchup", "config", "file_index", "source_file").limit(max_files).cache()
     try:
         addresses = [r.address for r in taken.select("address").collect()]  # at most max_files
@@ -93,7 +93,7 @@ def staged(spark: SparkSession, root: str, table: str, max_files: int = 100_000,
     finally:
         taken.unpersist()
     events = logs.flatten_games(logs.read_games(spark, addresses, lines, pattern))
-    logs.write_events(events, f"{table}/events/load={load}")
+    logs.write_events(events, f"{table}/events/load={load}", arranged=arranged)
     return load, spark.createDataFrame(rows, MANIFEST)
 
 
@@ -102,10 +102,10 @@ def commit(table: str, files: DataFrame) -> None:
     files.coalesce(1).write.mode("append").parquet(f"{table}/_manifest")
 
 
-def load(spark: SparkSession, root: str, table: str, max_files: int = 100_000, lines: bool = False, pattern: str | None = None) -> int:
+def load(spark: SparkSession, root: str, table: str, max_files: int = 100_000, lines: bool = False, pattern: str | None = None, arranged: bool = False) -> int:
     """Loads all files not yet loaded, max_files at a time; how many loads that took."""
     n = 0
-    while (one := staged(spark, root, table, max_files, lines, pattern)) is not None:
+    while (one := staged(spark, root, table, max_files, lines, pattern, arranged)) is not None:
         commit(table, one[1])
         n += 1
     return n

@@ -45,12 +45,16 @@ def with_layout(df: DataFrame, path: Column) -> DataFrame:
     return with_dimensions(df.withColumn("source_file", decoded(path)).withColumns({"config": config, "matchup": matchup}))
 
 
+#: Files that hold a game a line.
+LINES = "*.{json,json.gz}"
+
+
 def read_games(spark: SparkSession, root: str | list[str], lines: bool = False, pattern: str | None = None) -> DataFrame:
     """One row a game document, at any depth below root, in folders named Timer_...
 
-    With `lines` files hold a game a line and may have any name; they are split among tasks however large.
+    With `lines` files hold a game a line and may have any name; they are split among tasks however large, unless compressed.
     """
-    reader = spark.read.schema(GAME).option("multiLine", not lines).option("recursiveFileLookup", True).option("pathGlobFilter", pattern or ("*.json" if lines else "game_*.json"))
+    reader = spark.read.schema(GAME).option("multiLine", not lines).option("recursiveFileLookup", True).option("pathGlobFilter", pattern or (LINES if lines else "game_*.json"))
     games = with_layout(reader.json(root).withColumn("_path", F.col("_metadata.file_path")), F.col("_path")).drop("_path")
     return games.where(F.col("config").startswith("Timer_"))
 
@@ -123,10 +127,11 @@ def limit_configs(df: DataFrame, n: int) -> DataFrame:
 CSV = {"header": True, "escape": '"'}
 
 
-def write_events(events: DataFrame, path: str, fmt: str = "parquet", ten_digits: bool = False) -> None:
-    """Adds to the event table at path, partitioned by matchup and configuration; Parquet with zstd, or CSV.
+def write_events(events: DataFrame, path: str, fmt: str = "parquet", ten_digits: bool = False, arranged: bool = False) -> None:
+    """Adds to the event table at path, partitioned by matchup and configuration; Parquet with zstd, or CSV with gzip.
 
-    Rows are dealt by configuration, large ones to several tasks, so that a folder gets few files. Stored are the event
+    Rows are dealt by configuration, large ones to several tasks, so that a folder gets few files. With `arranged` they are
+    written by the tasks that read them: so where they come from few, large files of one configuration each. Stored are the event
     columns, the game's file and the places of round and event in it (null where events don't have them); read_events
     gives the dimensions again. CSV holds numbers in full, or with `ten_digits` as texts of ten significant digits; line
     breaks within a text aren't read back from CSV.
@@ -136,8 +141,8 @@ def write_events(events: DataFrame, path: str, fmt: str = "parquet", ten_digits:
     stored = events.select(*[(F.col(f.name) if f.name in events.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in STORED])
     if fmt == "csv" and ten_digits:
         stored = stored.withColumns({f.name: S.ten_digits(F.col(f.name)) for f in STORED if f.dataType.simpleString() == "double"})
-    writer = stored.hint("rebalance", "matchup", "config").write.partitionBy("matchup", "config").mode("append")
-    writer.option("compression", "zstd").parquet(path) if fmt == "parquet" else writer.options(**CSV).csv(path)
+    writer = (stored if arranged else stored.hint("rebalance", "matchup", "config")).write.partitionBy("matchup", "config").mode("append")
+    writer.option("compression", "zstd").parquet(path) if fmt == "parquet" else writer.options(**CSV, compression="gzip", maxRecordsPerFile=1_000_000).csv(path)
 
 
 def write_summary(df: DataFrame, path: str) -> None:

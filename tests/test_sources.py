@@ -1,12 +1,14 @@
 """Event tables read back, files of both formats, keys that no schema knows, loads that are broken off."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from matchlens.functions import scalars as S
-from matchlens.operators import games
+from matchlens.operators import games, spans
+from matchlens.plans import nested
 from matchlens.sources import freeform, loads, logs
 from matchlens.sources.schema import DIMENSIONS, EVENTS
 
@@ -134,3 +136,37 @@ def test_a_load_broken_off_counts_once(spark, root, tmp_path):
     events, want = loads.loaded_events(spark, into), logs.flatten_games(logs.read_games(spark, root))
     assert events.exceptAll(want.select(*events.columns)).count() == 0 and events.count() == want.count()
     assert loads.manifest(spark, into).count() == 12 and metrics(events) == metrics(want)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_logs_of_whole_tables_take_little_disk(spark):
+    """Files are compressed, and what is exchanged before are lines, not the events made of them."""
+    root = nested._written(spark, "/root/testdata/sf0.01")
+    size = sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(root) for f in names if not f.startswith("."))
+    assert size < 100 * spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").count()
+    plan = nested.game_logs(spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
+    assert "PlayerEvents" in plan.split("RebalancePartitions")[0] and "PlayerEvents" not in plan.split("RebalancePartitions")[1]
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_arranged_events_are_written_as_they_lie(spark, root, tmp_path, fmt):
+    events = logs.flatten_games(logs.read_games(spark, root))
+    logs.write_events(events, str(tmp_path / "out"), fmt, arranged=True)
+    back = logs.read_events(spark, str(tmp_path / "out"), fmt)
+    assert back.exceptAll(events.select(*back.columns)).count() == 0 and back.count() == events.count()
+
+
+def test_compressed_lines_are_read(spark, tmp_path):
+    folder = tmp_path / "A_vs_B" / CONFIGS[0]
+    spark.createDataFrame([(json.dumps(game(i)),) for i in range(5)], "value string").write.text(str(folder))
+    plain = logs.read_games(spark, str(tmp_path), lines=True, pattern="*.txt").count()
+    spark.createDataFrame([(json.dumps(game(i)),) for i in range(5)], "value string").coalesce(1).write.option("compression", "gzip").text(str(tmp_path / "x"))
+    (folder / "games.json.gz").write_bytes(next((tmp_path / "x").glob("*.gz")).read_bytes())
+    assert plain == 5 and logs.read_games(spark, str(tmp_path), lines=True).count() == 5 and loads.listed(spark, str(tmp_path), logs.LINES).count() == 1
+
+
+def test_large_games_are_sent_to_events_not_the_other_way(spark, tmp_path):
+    """A table that is small as stored isn't sent to every task."""
+    spark.range(5000).selectExpr("id % 3 as GameIndex", "cast(id as double) as UpdatedAt").write.parquet(str(tmp_path / "e"))
+    plan = spans.sliced(spark.read.parquet(str(tmp_path / "e")), ["GameIndex"], most=500)._jdf.queryExecution().sparkPlan().toString()
+    assert "Inner, BuildRight" in plan
