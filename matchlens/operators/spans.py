@@ -41,7 +41,8 @@ def sliced(df: DataFrame, keys: Sequence[str], t: str = "UpdatedAt", most: int =
     large = grouped.agg(F.count("*").alias("_n"), F.min(t).alias("_lo"), F.max(t).alias("_hi")).where(F.col("_n") > most).withColumn("_parts", parts)
     share = F.try_divide(F.col(t) / 2 - F.col("_lo") / 2, F.col("_hi") / 2 - F.col("_lo") / 2)
     part = F.when(share.isNull(), 0).otherwise(F.least(F.floor(share * F.col("_parts")), F.col("_parts") - 1)).cast("int")
-    counts = df.select(*keys, t).join(large, same(keys, own)).groupBy(*own, part.alias("_part")).agg(F.count("*").alias("_in"))
+    # The hints: where a table is small as stored, estimates take all rows for less than the few large games.
+    counts = df.select(*keys, t).join(F.broadcast(large), same(keys, own)).groupBy(*own, part.alias("_part")).agg(F.count("*").alias("_in"))
     before = Window.partitionBy(*own).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # of parts
     counts = counts.select(*own, "_part", F.floor(F.coalesce(F.sum("_in").over(before), F.lit(0)) / most).cast("int").alias("_range"))
     of = [f"_o{i}" for i in range(len(keys))]
