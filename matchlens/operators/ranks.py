@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 1024
+RANGES, BLOCK = 1024, 32
 
 
 def tied(df: DataFrame, value: Column, descending: bool = False, ranges: int = RANGES) -> DataFrame:
@@ -23,14 +23,21 @@ def tied(df: DataFrame, value: Column, descending: bool = False, ranges: int = R
 
 
 def _counted(counts: DataFrame, key: Column, borders: DataFrame, descending: bool) -> DataFrame:
-    dealt = counts.join(F.broadcast(borders)).withColumn("_range", F.coalesce(F.size(F.filter("_borders", lambda b: b <= key)), F.lit(0))).drop("_borders")
-    sums = dealt.groupBy("_range").agg(F.sum("_ties").alias("n"))  # at most RANGES rows
-    every = sums.agg(F.collect_list(F.struct("_range", "n")).alias("_sums"))
-    ahead = lambda r: r["_range"] > F.col("_range") if descending else r["_range"] < F.col("_range")
-    earlier = F.aggregate(F.filter("_sums", ahead), F.lit(0).cast("long"), lambda total, r: total + r["n"])
+    # A value is compared with every BLOCK-th border, then with those of one block.
+    heads = F.filter("_borders", lambda b, i: i % BLOCK == 0).alias("_heads")
+    borders = borders.select(F.coalesce("_borders", F.array().cast("array<double>")).alias("_borders")).select("_borders", heads)
+    below = lambda array: F.size(F.filter(array, lambda b: b <= key))
+    dealt = counts.join(F.broadcast(borders)).withColumn("_block", F.greatest(below(F.col("_heads")) - 1, F.lit(0)))
+    dealt = dealt.withColumn("_range", F.col("_block") * BLOCK + below(F.slice("_borders", F.col("_block") * BLOCK + 1, BLOCK))).drop("_borders", "_heads", "_block")
+    sums = dealt.groupBy(F.col("_range").alias("r")).agg(F.sum("_ties").alias("n"))  # at most RANGES rows
+    # What comes before each range is summed once, not for each row.
+    ahead = lambda r: lambda x: x["r"] > r["r"] if descending else x["r"] < r["r"]
+    earlier = lambda r: F.aggregate(F.filter("_sums", ahead(r)), F.lit(0).cast("long"), lambda total, x: total + x["n"])
+    every = sums.agg(F.collect_list(F.struct("r", "n")).alias("_sums"))
+    sums = every.select(F.inline(F.transform("_sums", lambda r: F.struct(r["r"].alias("_r"), earlier(r).alias("_earlier")))))
     order = Window.partitionBy("_range").orderBy(F.desc("_value") if descending else F.asc("_value")).rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.sum("_ties").over(order), F.lit(0))
-    return dealt.select("_range", "_value", inside.alias("_inside"), "_ties").join(F.broadcast(every)).select("_value", (earlier + F.col("_inside")).alias("_before"), "_ties")
+    return dealt.select("_range", "_value", inside.alias("_inside"), "_ties").join(F.broadcast(sums), F.col("_range") == F.col("_r")).select("_value", (F.col("_earlier") + F.col("_inside")).alias("_before"), "_ties")
 
 
 def places(df: DataFrame, order: Column, name: str, ranges: int = RANGES) -> DataFrame:

@@ -172,3 +172,9 @@ def test_union_in_the_widest_types(spark):
     for other in ("select 1 as x", "select true as x, 'a' as y", "select array(1) as x, 'a' as y"):
         with pytest.raises(ValueError):
             logs.union_widened([a, spark.sql(other)])
+
+
+def test_a_value_is_compared_with_few_borders(spark):
+    """With the borders of one block, not all of them; nor are the ranges before a row's summed for each row."""
+    plan = ranks.tied(spark.range(10), F.col("id"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(_borders" in plan and re.search(r"Join Inner, \(_range#\d+ = _r#\d+\)", plan)
