@@ -113,12 +113,32 @@ def _cut_again(texts: DataFrame, window: int, level: int) -> DataFrame:
     return texts.select("key", "copies", "id", "th", "at", "body").mapInArrow(run, "key long, whole long, copies long, id long, th long, at int, n int, own boolean, body binary")
 
 
-def _repeats_of(texts: DataFrame, crowded: DataFrame, window: int, most: int, level: int = 1) -> list[DataFrame]:
-    """(id, th, start, stop) of the repeats in different run texts of a key. crowded: keys (k) with more than `most`."""
-    if crowded.isEmpty():
-        return [_searched(texts, window)]
-    few = texts.join(crowded, F.col("key") == F.col("k"), "left_anti")
-    again = checkpointed(_cut_again(texts.join(crowded, F.col("key") == F.col("k"), "left_semi"), window, level))
+def _texts_of(base: DataFrame, window: int, keys: list[int]) -> DataFrame:
+    """The run texts of some keys, a row each: key, whole, copies, id, th, at, n of the first and its text.
+
+    Texts are cut where they are read, so that only the runs wanted are exchanged, not all texts once more.
+    """
+    wanted = np.array(sorted(keys), dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, th, bodies = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            for number, at, n, key, whole, _ in repeats.runs(bodies, window):
+                ours = np.isin(key.view(np.int64), wanted)
+                number, at, n, key, whole = (x[ours] for x in (number, at, n, key, whole))
+                parts = [bodies[i][a : a + c + window - 1] for i, a, c in zip(number.tolist(), at.tolist(), n.tolist())]
+                arrays = [key.view(np.int64), whole.view(np.int64), ids[number], th[number], at.astype(np.int32), n.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in arrays], pa.array(parts, pa.binary())], ["key", "whole", "id", "th", "at", "n", "body"])
+
+    rows = base.mapInArrow(run, "key long, whole long, id long, th long, at int, n int, body binary")
+    first = F.min(F.struct("id", "th", "at", "n")).alias("first")
+    groups = rows.groupBy("key", "whole").agg(F.count("*").alias("copies"), first, F.min_by("body", F.struct("id", "th", "at")).alias("body"))
+    return groups.select("key", "whole", "copies", "first.*", "body")
+
+
+def _repeats_of(texts: DataFrame, window: int, most: int, level: int = 1) -> list[DataFrame]:
+    """(id, th, start, stop) of the repeats in different run texts of a key, of keys with more than `most`."""
+    again = checkpointed(_cut_again(texts, window, level))
     firsts = [F.sum("copies").alias("copies"), F.max("own").alias("own"), F.min(F.struct("id", "th", "at", "n")).alias("first"), F.min_by("body", F.struct("id", "th", "at")).alias("body")]
     groups = checkpointed(again.groupBy("key", "whole").agg(*firsts).select("key", "whole", "copies", "own", "first.*", "body"))
     many = groups.where("copies > 1").select(unpartitioned("key"), F.col("whole").alias("w")).withColumnRenamed("key", "k")
@@ -126,8 +146,12 @@ def _repeats_of(texts: DataFrame, crowded: DataFrame, window: int, most: int, le
     equal = equal.select("id", "th", F.col("at").alias("start"), (F.col("at") + F.col("n") - 1 + window).alias("stop"))
     keys = checkpointed(groups.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("c"), F.max("own").alias("own")).where("c > 1 or own"))
     left = groups.drop("own").join(keys.select(unpartitioned("k")), F.col("key") == F.col("k"), "left_semi")
-    rest = _repeats_of(left, keys.where(F.col("c") > most).select(unpartitioned("k")), window, most, level + 1)
-    return [_searched(few, window), equal, *rest]
+    # Keys have over `most` rows each, so that at most a `most`-th as many are sent to all tasks.
+    crowded = keys.where(F.col("c") > most).select("k")
+    if crowded.isEmpty():
+        return [_searched(left, window), equal]
+    few, rest = (left.join(F.broadcast(crowded), F.col("key") == F.col("k"), how) for how in ("left_anti", "left_semi"))
+    return [_searched(few, window), equal, *_repeats_of(rest, window, most, level + 1)]
 
 
 def remove_repeats(docs: DataFrame, window: int = 200, most: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,13 +176,16 @@ def remove_repeats(docs: DataFrame, window: int = 200, most: int = 1024, id_col:
     first = F.min(F.struct("id", "th", "at", "n")).alias("first")
     groups = found.where("several").groupBy("key", "whole").agg(F.count("*").alias("copies"), first)
     groups = checkpointed(groups.select("key", "whole", "copies", "first.*"))
-    crowded = groups.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("c")).where(F.col("c") > most).select(unpartitioned("k"))
-    wanted = groups.groupBy("id", "th").agg(F.collect_list(F.struct("key", "whole", "copies", "at", "n")).alias("runs"))
+    # Keys have over `most` rows each, so that at most a `most`-th as many are sent to the driver and to all tasks.
+    crowded = checkpointed(groups.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("c")).where(F.col("c") > most).select("k"))
+    few = groups.join(F.broadcast(crowded), F.col("key") == F.col("k"), "left_anti")
+    wanted = few.groupBy("id", "th").agg(F.collect_list(F.struct("key", "whole", "copies", "at", "n")).alias("runs"))
     wanted = wanted.withColumnsRenamed({"id": "i", "th": "t"})
 
     bodies = base.repartition("id", "th")
     texts = _cut(bodies.join(wanted.hint("shuffle_hash"), (F.col("id") == F.col("i")) & (F.col("th") == F.col("t"))), window)
-    partial = reduce(DataFrame.union, _repeats_of(texts, crowded, window, most))
+    crowded = [r["k"] for r in crowded.collect()]
+    partial = reduce(DataFrame.union, [_searched(texts, window), *(_repeats_of(_texts_of(base, window, crowded), window, most) if crowded else [])])
 
     many = groups.where("copies > 1").select(unpartitioned("key"), F.col("whole").alias("w")).withColumnRenamed("key", "k")
     whole = found.where("several").select("id", "th", "at", "n", unpartitioned("key"), "whole").join(many, (F.col("key") == F.col("k")) & (F.col("whole") == F.col("w")))
