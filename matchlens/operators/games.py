@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.schema import ACTIONS
-from .spans import MOST, same, sliced
+from .spans import MOST, sliced
 
 #: What identifies a game. GameIndex alone is only unique within a file.
 KEYS = ("source_file", "GameIndex")
@@ -25,16 +25,14 @@ def with_actual_duration(events: DataFrame, keys: Sequence[str] = KEYS, tiebreak
     if most is None:
         before = F.lag("StartedAt").over(Window.partitionBy(*kind).orderBy(*order))
         return _durations(events.repartition(*keys), before)
-    rows = sliced(events, keys, most=most).repartition(*keys, "_slice")
-    of = [f"_c{i}" for i in range(len(kind) + 1)]
-    last = events.select(*kind, "StartedAt", *order)  # of large games only: what each range hands on
-    last = sliced(last, keys, most=most).where("_slice is not null").groupBy(*[F.col(c).alias(o) for c, o in zip([*kind, "_slice"], of)])
-    last = last.agg(F.max_by("StartedAt", F.struct(*order)).alias("_last"))
-    last = last.withColumn("_carried", F.lag("_last").over(Window.partitionBy(*of[:-1]).orderBy(of[-1]))).drop("_last")
-    rows = rows.join(last, same([*kind, "_slice"], of), "left").drop(*of)
-    inside = Window.partitionBy(*kind, "_slice").orderBy(*order)
-    before = F.when(F.row_number().over(inside) == 1, F.col("_carried")).otherwise(F.lag("StartedAt").over(inside))
-    return _durations(rows, before).drop("_carried", "_slice")
+    rows, place = sliced(events, keys, most=most), [*keys, "_slice"]
+    ends = sliced(events.select(*kind, "StartedAt", *order), keys, most=most).where("_slice is not null")  # large games only
+    ends = ends.repartition(*place).groupBy(*kind, "_slice").agg(F.max_by("StartedAt", F.struct(*order)).alias("_end"))
+    # What a range hands on is a row before the first of its kind in the next range: no range, nor a game, is joined.
+    handed = ends.withColumn("StartedAt", F.lag("_end").over(Window.partitionBy(*kind).orderBy("_slice"))).drop("_end").withColumn("_handed", F.lit(1))
+    rows = rows.withColumn("_handed", F.lit(0)).unionByName(handed, allowMissingColumns=True).repartition(*place)
+    before = F.lag("StartedAt").over(Window.partitionBy(*kind, "_slice").orderBy(F.desc("_handed"), *order))
+    return _durations(rows, before).where("_handed = 0").drop("_handed", "_slice")
 
 
 def _durations(rows: DataFrame, before: Column) -> DataFrame:

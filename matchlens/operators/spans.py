@@ -32,8 +32,8 @@ def sliced(df: DataFrame, keys: Sequence[str], t: str = "UpdatedAt", most: int =
     """Adds the range of time that a row of a large game is in, from 0 and growing with time; null in all other games.
 
     A game's time is cut into equal parts, eight for each range that it needs, up to PARTS; ranges are runs of parts with
-    about `most` rows. Rows of one instant are in one range. Rows without a time are in the first. What is joined has a row
-    for each large game, so at most a `most`-th of all rows.
+    about `most` rows. Rows of one instant are in one range. Rows without a time are in the first. What is sent to the rows
+    has a row for each large game and for each of its parts that has rows: up to 17 for each `most` of all rows.
     """
     own = [f"_k{i}" for i in range(len(keys))]
     grouped = df.groupBy(*[F.col(k).alias(o) for k, o in zip(keys, own)])
@@ -41,11 +41,11 @@ def sliced(df: DataFrame, keys: Sequence[str], t: str = "UpdatedAt", most: int =
     large = grouped.agg(F.count("*").alias("_n"), F.min(t).alias("_lo"), F.max(t).alias("_hi")).where(F.col("_n") > most).withColumn("_parts", parts)
     share = F.try_divide(F.col(t) / 2 - F.col("_lo") / 2, F.col("_hi") / 2 - F.col("_lo") / 2)
     part = F.when(share.isNull(), 0).otherwise(F.least(F.floor(share * F.col("_parts")), F.col("_parts") - 1)).cast("int")
-    # The hints: where a table is small as stored, estimates take all rows for less than the few large games.
+    # The hints: where a table is small as stored, estimates take all rows for less than the few large games; and what is
+    # joined by game otherwise sorts a large game in one task.
     counts = df.select(*keys, t).join(F.broadcast(large), same(keys, own)).groupBy(*own, part.alias("_part")).agg(F.count("*").alias("_in"))
     before = Window.partitionBy(*own).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # of parts
-    counts = counts.select(*own, "_part", F.floor(F.coalesce(F.sum("_in").over(before), F.lit(0)) / most).cast("int").alias("_range"))
     of = [f"_o{i}" for i in range(len(keys))]
-    ranges = counts.groupBy(*[F.col(o).alias(x) for o, x in zip(own, of)]).agg(F.map_from_entries(F.collect_list(F.struct("_part", "_range"))).alias("_ranges"))
-    large = large.join(ranges, same(own, of)).drop("_n", *of)
-    return df.join(large, same(keys, own), "left").withColumn(name, F.col("_ranges")[part]).drop(*own, "_lo", "_hi", "_parts", "_ranges")
+    ranges = counts.select(*[F.col(o).alias(x) for o, x in zip(own, of)], F.col("_part").alias("_of"), F.floor(F.coalesce(F.sum("_in").over(before), F.lit(0)) / most).cast("int").alias(name))
+    rows = df.join(F.broadcast(large.drop("_n")), same(keys, own), "left").withColumn("_part", F.when(F.col("_parts").isNotNull(), part))
+    return rows.join(F.broadcast(ranges), same([*own, "_part"], [*of, "_of"]), "left").drop(*own, *of, "_of", "_part", "_lo", "_hi", "_parts")

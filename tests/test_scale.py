@@ -140,6 +140,20 @@ def test_one_game_with_most_events(spark):
     assert small.where("_slice is not null").count() == 0
 
 
+def test_large_games_are_not_joined_in_one_task(spark):
+    """Where tables are too large to be sent by their size, ranges are still found and handed on without a join that meets a game's events in one task."""
+    events = spark.range(3000).selectExpr("if(id % 10 > 0, 0, id) as GameIndex", "0L as GameWinner", "id / 7 as UpdatedAt", "id / 9 as StartedAt", "id % 2 as Actor", "if(id % 5 = 0, 'Collision', 'Action') as Category", "string(id % 3) as State", "string(id % 4) as Name", "0L as ColActor", "0L as ColTieBreaker", "int(id) as event_pos")
+    whole = sorted(games.with_actual_duration(events, ["GameIndex"], most=None).collect())
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = games.with_actual_duration(events, ["GameIndex"], most=100)
+        assert "SortMergeJoin" not in plan(out) and out.columns == [*events.columns, "ActualDuration"]
+        assert sorted(out.collect()) == whole
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_bins_shuffle_counts_only(spark):
     events = bindings.telemetry(spark, "/root/testdata/sf0.001")
     text = plan(timebins.action_fragments(events, 5.0, ["GameIndex"]))
