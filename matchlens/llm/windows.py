@@ -13,6 +13,7 @@ sequences whose lengths are powers of two.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_right
@@ -27,8 +28,6 @@ from .common import Rounds, running_sums, table
 from .mixing import MAX_BROADCAST_SOURCES
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, window long"
-#: Words whose ids a worker keeps, and how long they may be.
-KNOWN_WORDS, LONGEST_WORD = 400_000, 48
 
 # The vocabulary's pattern of words, spelt out for lower-cased text of a few Latin blocks.
 _L, _N = "a-zªµºß-öø-ʯ", "0-9²³¹¼½¾"
@@ -37,19 +36,13 @@ _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-įı-ȷ‐-‧‰-⁞₠-₿]*")
 
 
-class _Words(dict):
-    """Ids of words as bytes; unknown words go to the tokenizer."""
-
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u2").tobytes()
-        if len(word) <= LONGEST_WORD:
-            if len(self) >= KNOWN_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+def merge_ranks(path: str) -> dict[bytes, int]:
+    """The vocabulary's byte strings with their ids, which rise with the order of merges; a space stands for the end of a word."""
+    with open(path, encoding="utf-8") as file:
+        vocabulary = json.load(file)["model"]["vocab"]
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves there
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*shown}))}
+    return {bytes(byte[c] for c in token.removesuffix("</w>")) + b" " * token.endswith("</w>"): i for token, i in vocabulary.items()}
 
 
 _READY: dict[str, Callable[[str], bytes]] = {}
@@ -58,20 +51,22 @@ _READY: dict[str, Callable[[str], bytes]] = {}
 def word_bpe(folder: str | None = None) -> Callable[[str], bytes]:
     """The ids of word_bpe_49k as 16-bit integers.
 
-    Words of plain texts are encoded one by one and kept, since a word's ids don't depend on what is beside it; other
+    Words of plain texts go to a quicker encoder of the same vocabulary, which joins any two parts that are a token
+    together, the lowest id first; it gives the tokenizer's ids since each token is what its own bytes are merged to. Other
     texts, and those that may hold a special token, go to the tokenizer whole.
     """
     import public_tokenizers
+    import tiktoken
     from tokenizers import Tokenizer
 
     path = f"{folder}/word_bpe_49k.json" if folder else public_tokenizers.path("word_bpe_49k.json")
     if path not in _READY:
         tokenizer = Tokenizer.from_file(path)
-        known = _Words(tokenizer)
+        quick = tiktoken.Encoding("word_bpe_49k", pat_str="[^ ]+ ", mergeable_ranks=merge_ranks(path), special_tokens={})
 
         def encode(text: str) -> bytes:
             if "<|" not in text and _PLAIN.fullmatch(text):
-                return b"".join(map(known.__getitem__, _WORDS.findall(text.lower())))
+                return np.array(quick.encode_ordinary(" ".join([*_WORDS.findall(text.lower()), ""])), dtype="<u2").tobytes()
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
         _READY[path] = encode

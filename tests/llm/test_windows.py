@@ -1,5 +1,6 @@
 """Mixture-controlled packing: ids, gapless sequences, shares of windows, deficit round-robin in plain Python."""
 
+import json
 import zlib
 from collections import Counter, defaultdict
 
@@ -33,6 +34,39 @@ def test_every_plain_character():
             assert np.frombuffer(ENCODE(text), "<u2").tolist() == ids_of(text), hex(a)
 
 
+def test_each_token_is_what_its_bytes_are_merged_to():
+    """So joining any two parts that are a token gives the same ids as joining by the list of merges."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    order, vocabulary = {m: i for i, m in enumerate(merges)}, model["vocab"]
+    made = {a + b for a, b in merges}
+    assert [vocabulary[a + b] for a, b in merges] == [*range(512, 512 + len(merges))] and len(made) == len(merges)
+    assert sorted(i for t, i in vocabulary.items() if t not in made) == [*range(512)]
+    assert sorted(windows.merge_ranks(public_tokenizers.path("word_bpe_49k.json")).values()) == sorted(vocabulary.values())
+    for token in vocabulary:
+        end = token.endswith("</w>")
+        parts = [*token.removesuffix("</w>")]
+        if end:
+            parts[-1] += "</w>"
+        while len(parts) > 1:
+            _, i = min((order.get(pair, len(order)), i) for i, pair in enumerate(zip(parts, parts[1:])))
+            assert (parts[i], parts[i + 1]) in order, token
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert parts == [token]
+
+
+def test_words_beyond_what_a_worker_could_keep(monkeypatch):
+    """Plain texts never go to the tokenizer, however many words are new; long words too."""
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice([*"etaoinshréñß"], n)) for n in rng.integers(1, 24, 20_000)] + ["ab" * 3000, "e" * 5000, "x1y2" * 700]
+    text = " ".join(words) + "\n'S 12,5 ''re !!?! " * 3
+    want = ids_of(text)
+    monkeypatch.setattr(windows, "_READY", {})
+    monkeypatch.setattr(Tokenizer, "from_file", lambda path: None)
+    assert np.frombuffer(windows.word_bpe()(text), "<u2").tolist() == want
+
+
 def checked(out, rows, capacity):
     """Pieces cover each row's ids once, sequences are gapless, full or of a power of two."""
     want = Counter((i, tuple([*ids_of(t), 1])) for i, t, _ in rows)
