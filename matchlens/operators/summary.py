@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..sources.schema import DIMENSIONS, TOTALS
+from ..sources.shared import shared_folder, written
 from .ranks import tied
 
 
 def average_rank(df: DataFrame, by: str, name: str = "Rank") -> DataFrame:
-    """Descending ranks; ties share their mean rank, cut to a whole number. Nulls have none; NaN is the greatest. See ranks.tied."""
+    """Descending ranks; ties share their mean rank, cut to a whole number. Nulls have none; NaN is the greatest. See ranks.tied.
+
+    df is computed twice and must give the same values each time: sums of doubles don't, unless they are written first.
+    """
     known = tied(df, F.col(by), descending=True)
     joined = df.join(known, F.col(by) == F.col("_value"), "left")
     return joined.withColumn(name, (F.col("_before") + 1 + F.floor((F.col("_ties") - 1) / 2)).cast("int")).drop("_value", "_before", "_ties")
@@ -76,7 +80,8 @@ def competitor_stats(matchups: DataFrame, ranks: bool = True) -> DataFrame:
     both = both.withColumns({c: per_game(c) for c in ("Duration", "Actions", "Collisions")})
     metrics = ("WinRate", "Duration", "Actions", "Collisions")
     out = both.groupBy("Bot").agg(*[x for c in metrics for x in (F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"))])
-    return average_rank(out, "WinRate_mean") if ranks else out
+    # A row a competitor, written: a mean added up again in another order has other last digits, and would find no rank.
+    return average_rank(written(out, shared_folder(matchups.sparkSession)), "WinRate_mean") if ranks else out
 
 
 def competitor_summary(matchups: DataFrame) -> DataFrame:

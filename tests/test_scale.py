@@ -188,6 +188,16 @@ def test_union_in_the_widest_types(spark):
             logs.union_widened([a, spark.sql(other)])
 
 
+def test_competitors_are_ranked_by_the_means_they_show(spark):
+    """Also where adding up again gives other last digits, as it does when executors' parts come in another order."""
+    noise = F.udf(lambda x: x + random.random() * 1e-9, "double").asNondeterministic()
+    rows = [(f"B{i % 9}", f"B{(i + 1) % 9}", 10, i % 9 / 10, i % 7 / 10, 1.0, 1.0, 1, 1, 1, 1, 1) for i in range(63)]
+    names = "Bot_L string, Bot_R string, Games long, WinRate_L double, WinRate_R double, Duration_L double, Duration_R double, ActionCounts_L long, ActionCounts_R long, Collisions_L long, Collisions_R long, Collisions_Tie long"
+    matchups = spark.createDataFrame(rows, names).withColumn("WinRate_L", noise("WinRate_L"))
+    got = summary.competitor_stats(matchups).orderBy(F.desc("WinRate_mean")).collect()
+    assert [r.Rank for r in got] == list(range(1, 10))
+
+
 def test_a_value_is_compared_with_few_borders(spark):
     """With the borders of one block, not all of them; nor are the ranges before a row's summed for each row."""
     plan = ranks.tied(spark.range(10), F.col("id"))._jdf.queryExecution().optimizedPlan().toString()
