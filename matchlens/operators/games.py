@@ -72,6 +72,15 @@ def collision_columns(hits: Column) -> list[Column]:
     ]
 
 
+#: The event columns that metrics are made of.
+MEASURED = ("GameIndex", "GameWinner", "StartedAt", "UpdatedAt", "Actor", "Category", "State", "Name", "ColActor", "ColTieBreaker")
+
+
+def measured(events: DataFrame, dimensions: Sequence[str] = ()) -> DataFrame:
+    """The columns of events that game_metrics reads, which it does in some passes: to be written once where reading them is dear."""
+    return events.select(*[c for c in dict.fromkeys(["source_file", *MEASURED, "round_pos", "event_pos", *dimensions]) if c in events.columns])
+
+
 def game_metrics(events: DataFrame, keys: Sequence[str] = KEYS, dimensions: Sequence[str] = (), actions: Sequence[str] = tuple(ACTIONS), most: int | None = MOST) -> DataFrame:
     """One row a game: winner, duration, durations and counts of actions, collisions; dimensions are constant in a game.
 

@@ -131,7 +131,10 @@ def _reread(spark: SparkSession, sf: str, fmt: str) -> DataFrame:
     """Metrics of each game, with dimensions, from an event table that was written and read back."""
     path = shared_folder(spark)
     logs.write_events(_read(spark, sf), path, fmt, arranged=True)
-    metrics = games.game_metrics(logs.read_events(spark, path, fmt), dimensions=DIMENSIONS)
+    folders = ["matchup", "config"]
+    events = games.measured(logs.read_events(spark, path, fmt), folders)
+    # The names of folders are taken apart once a game, not for each event.
+    metrics = logs.with_dimensions(games.game_metrics(events, dimensions=folders))
     return rounded(_doubles(metrics, _COUNTS).select("GameIndex", "Winner", "MatchDur", "Duration_L", *_COUNTS, "Collisions_L", "Collisions_R", "Collisions_Tie", *DIMENSIONS), "MatchDur", "Duration_L")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
-from .schema import EVENTS, GAME, STORED
+from .schema import DIMENSIONS, EVENTS, GAME, PATHS, STORED, narrowed
 
 
 def decoded(path: Column) -> Column:
@@ -32,11 +32,11 @@ def folder_names(path: Column) -> tuple[Column, Column]:
 def with_dimensions(df: DataFrame) -> DataFrame:
     """Adds the seven dimensions that the columns matchup and config name."""
     left, right = S.matchup_sides(F.col("matchup"))
-    parts = S.config_map(F.col("config"))
-    return df.withColumns({
-        "Bot_L": left, "Bot_R": right, "Timer": parts["Timer"].try_cast("double"), "ActInterval": parts["ActInterval"].try_cast("double"),
-        "Round": parts["Round"], "SkillLeft": parts["SkillLeft"], "SkillRight": parts["SkillRight"],
-    })
+    number, text = (lambda m, k: m[k].try_cast("double").alias(k)), (lambda m, k: m[k].alias(k))
+    # The name is taken apart once a row, not for each dimension.
+    parts = S.once(S.config_map(F.col("config")), lambda m: F.struct(number(m, "Timer"), number(m, "ActInterval"), text(m, "Round"), text(m, "SkillLeft"), text(m, "SkillRight")))
+    out = df.withColumn("_parts", parts).withColumns({"Bot_L": left, "Bot_R": right, **{k: F.col("_parts")[k] for k in DIMENSIONS[2:]}})
+    return out.drop("_parts")
 
 
 def with_layout(df: DataFrame, path: Column) -> DataFrame:
@@ -49,6 +49,11 @@ def with_layout(df: DataFrame, path: Column) -> DataFrame:
 LINES = "*.{json,json.gz}"
 
 
+def game_type(columns: Sequence[str] | None = None) -> T.StructType:
+    """The type of a game document; of the parts that the named event columns are made of, if any are named."""
+    return GAME if columns is None else narrowed(GAME, {p for c in ("Category", *columns) for p in PATHS.get(c, ())})
+
+
 def read_games(spark: SparkSession, root: str | list[str], lines: bool = False, pattern: str | None = None) -> DataFrame:
     """One row a game document, at any depth below root, in folders named Timer_...
 
@@ -67,27 +72,32 @@ def _snapshot(prefix: str, robot: str, only: Column | None = None) -> list[Colum
     return [field(v).alias(prefix + k) for k, v in plain] + [flag(x).alias(prefix + x) for x in ("IsDashActive", "IsSkillActive", "IsOutFromArena")]
 
 
-def flatten_games(games: DataFrame) -> DataFrame:
-    """The event table: one row for each player event that isn't a LastPosition; other columns of games stay behind it."""
+def flatten_games(games: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """The event table: one row for each player event that isn't a LastPosition; other columns of games stay behind it.
+
+    With `columns` it has those of the event columns only; games may be of game_type(columns) then.
+    """
     rest = [c for c in games.columns if c not in ("Index", "Timestamp", "Winner", "Rounds")]
-    rounds = games.select(*rest, F.col("Index").alias("g"), F.col("Timestamp").alias("gt"), F.col("Winner").alias("gw"), F.posexplode("Rounds").alias("round_pos", "r"))
-    return flattened(rounds.select("*", F.posexplode("r.PlayerEvents").alias("event_pos", "e")), rest)
+    own = [F.col(k).alias(v) for k, v in {"Index": "g", "Timestamp": "gt", "Winner": "gw"}.items() if k in games.columns]
+    rounds = games.select(*rest, *own, F.posexplode("Rounds").alias("round_pos", "r"))
+    return flattened(rounds.select("*", F.posexplode("r.PlayerEvents").alias("event_pos", "e")), rest, columns)
 
 
-def flattened(rows: DataFrame, rest: list[str]) -> DataFrame:
-    """The event table's columns from rows of a game (g, gt, gw), a round (r) and an event (e) with their places; and the rest."""
+def flattened(rows: DataFrame, rest: list[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """The event table's columns (or those named) from rows of a game (g, gt, gw), a round (r) and an event (e) with their places; and the rest."""
     events = rows.where("e.Category is null or e.Category <> 'LastPosition'")
     collided = F.coalesce(F.col("e.Category") == "Collision", F.lit(False))
     flag = lambda c: F.when(collided, S.safe_flag(F.col(c)))
-    return events.select(
+    made = [
         (F.coalesce("g", F.lit(-1)) + 1).alias("GameIndex"), S.winner_code(F.col("gw")).alias("GameWinner"), F.col("gt").alias("GameTimestamp"),
         F.col("r.Index").alias("RoundIndex"), S.winner_code(F.col("r.Winner")).alias("RoundWinner"), F.col("r.Timestamp").alias("RoundTimestamp"),
         F.col("e.StartedAt").alias("StartedAt"), F.col("e.UpdatedAt").alias("UpdatedAt"), S.actor_code(F.col("e.Actor")).alias("Actor"), S.target_code(F.col("e.Target")).alias("Target"),
         F.col("e.Category").alias("Category"), F.col("e.State").alias("State"), F.col("e.Data.Name").alias("Name"), F.col("e.Data.Duration").alias("Duration"), S.safe_text(F.col("e.Data.Reason")).alias("Reason"),
         *_snapshot("Bot", "e.Data.Robot"), *_snapshot("EnemyBot", "e.Data.EnemyRobot"), *_snapshot("ColBot", "e.Data.Robot", collided), *_snapshot("ColEnemyBot", "e.Data.EnemyRobot", collided),
         flag("e.Data.IsActor").alias("ColActor"), F.when(collided, F.col("e.Data.Impact")).alias("ColImpact"), flag("e.Data.IsTieBreaker").alias("ColTieBreaker"), F.when(collided, F.col("e.Data.LockDuration")).alias("ColLockDuration"),
-        *rest, "round_pos", "event_pos",
-    )
+    ]
+    named = [c for name, c in zip(EVENTS.names, made, strict=True) if columns is None or name in columns]
+    return events.select(*named, *rest, "round_pos", "event_pos")
 
 
 def read_events(spark: SparkSession, path: str | list[str], fmt: str | None = None, lenient: bool = False, layout: str = "table", base: str | None = None) -> DataFrame:

@@ -33,3 +33,23 @@ EVENTS = T.StructType(
 )
 #: What the event table keeps: the events, the game's file, the places of round and event in it, and the folders' names.
 STORED = T.StructType(EVENTS.fields + [T.StructField(k, v) for k, v in {"source_file": S, "round_pos": T.IntegerType(), "event_pos": T.IntegerType(), "matchup": S, "config": S}.items()])
+
+_ROBOT_PARTS = {"PosX": "Position.X", "PosY": "Position.Y", "Linv": "LinearVelocity", "Angv": "AngularVelocity", "Rot": "Rotation"}
+#: The parts of a game document that each event column is made of.
+PATHS = (
+    {"GameIndex": ["Index"], "GameWinner": ["Winner"], "GameTimestamp": ["Timestamp"], "RoundIndex": ["Rounds.Index"], "RoundWinner": ["Rounds.Winner"], "RoundTimestamp": ["Rounds.Timestamp"]}
+    | {k: [f"Rounds.PlayerEvents.{k}"] for k in ("StartedAt", "UpdatedAt", "Actor", "Target", "Category", "State")}
+    | {k: [f"Rounds.PlayerEvents.Data.{k}"] for k in ("Name", "Duration", "Reason")}
+    | {f"{prefix}{k}": [f"Rounds.PlayerEvents.Data.{prefix.removeprefix('Col').removesuffix('Bot')}Robot.{_ROBOT_PARTS.get(k, k)}"] for prefix in SNAPSHOTS for k in _PARTS}
+    | {f"Col{k}": [f"Rounds.PlayerEvents.Data.{v}"] for k, v in {"Actor": "IsActor", "Impact": "Impact", "TieBreaker": "IsTieBreaker", "LockDuration": "LockDuration"}.items()}
+)
+
+
+def narrowed(kind: T.DataType, paths: set[str]) -> T.DataType:
+    """A type with the parts at the given paths only; a part that a path ends at is whole."""
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(narrowed(kind.elementType, paths))
+    if not isinstance(kind, T.StructType) or "" in paths:
+        return kind
+    below = {f.name: {p.partition(".")[2] for p in paths if p.partition(".")[0] == f.name} for f in kind.fields}
+    return T.StructType([T.StructField(f.name, narrowed(f.dataType, below[f.name])) for f in kind.fields if below[f.name]])

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -178,3 +179,25 @@ def test_rounding_of_exact_values(spark):
     got = spark.createDataFrame([(x,) for x in numbers], "x double").select(S.ten_digits(F.col("x"))).collect()
     assert [r[0] for r in got] == [f"{x:.10g}" for x in numbers]
     assert spark.range(1).select(S.mean_std_label(F.lit(1.005), F.lit(0.125))).first()[0] == "1.0 (0.13)"
+
+
+def test_names_of_configurations(spark):
+    """Any name gives what taking it apart in plain Python does, once a row."""
+    rng = random.Random(8)
+    names = ["", "_", "__", "___", "Timer", "Timer_", "a__Timer_5__Timer_15"] + ["".join(rng.choice(["Timer", "Round", "_", "__", "1.5", "x"]) for _ in range(rng.randrange(9))) for _ in range(200)]
+
+    def plain(name):
+        return {p.partition("_")[0]: p.partition("_")[2] if "_" in p else "True" for p in name.split("__") if p}
+
+    df = spark.createDataFrame([("A_vs_B", n) for n in [*names, None]], "matchup string, config string")
+    got = df.select("config", S.config_map(F.col("config")).alias("m")).collect()
+    assert all(r.m == (None if r.config is None else plain(r.config)) for r in got)
+    out = logs.with_dimensions(df)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("map_from_arrays") == 1
+    assert {r.config: r.Round for r in out.collect()} == {n: None if n is None else plain(n).get("Round") for n in [*names, None]}
+
+
+def test_folder_names_are_taken_apart_once_a_game(spark):
+    """By the metrics of an event table; not for each event, nor for each dimension."""
+    text = nested.event_table_parquet(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("map_from_arrays") == 1 and text.index("map_from_arrays") < text.index("Aggregate")
