@@ -15,7 +15,7 @@ from ..functions import scalars as S
 from ..operators import games
 from ..sources import freeform, loads, logs
 from ..sources.schema import ACTIONS, DIMENSIONS, EVENT, EVENTS, SNAPSHOTS
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, written
 from ..streaming import summaries
 from .bindings import table
 from .registry import entry, rounded, rounded_sql
@@ -133,6 +133,8 @@ def _reread(spark: SparkSession, sf: str, fmt: str) -> DataFrame:
     logs.write_events(_read(spark, sf), path, fmt, arranged=True)
     folders = ["matchup", "config"]
     events = games.measured(logs.read_events(spark, path, fmt), folders)
+    if fmt == "csv":  # parsed once, not for each pass of the metrics
+        events = written(events, shared_folder(spark))
     # The names of folders are taken apart once a game, not for each event.
     metrics = logs.with_dimensions(games.game_metrics(events, dimensions=folders))
     return rounded(_doubles(metrics, _COUNTS).select("GameIndex", "Winner", "MatchDur", "Duration_L", *_COUNTS, "Collisions_L", "Collisions_R", "Collisions_Tie", *DIMENSIONS), "MatchDur", "Duration_L")

@@ -201,3 +201,9 @@ def test_folder_names_are_taken_apart_once_a_game(spark):
     """By the metrics of an event table; not for each event, nor for each dimension."""
     text = nested.event_table_parquet(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("map_from_arrays") == 1 and text.index("map_from_arrays") < text.index("Aggregate")
+
+
+def test_csv_is_parsed_once(spark):
+    """An event table of CSV files is read by one pass, which writes what the metrics read in several."""
+    files = nested.event_table_csv(spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not [f for f in files if ".csv" in f]
