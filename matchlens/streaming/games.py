@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.logs import LINES, flatten_games, with_layout
-from ..sources.schema import GAME
+from ..sources.logs import LINES, flatten_games, game_type, with_layout
+
 
+def stream_events(spark: SparkSession, root: str, max_files: int = 1000, lines: bool = False, pattern: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """Events of the logs in <root>/<matchup>/<config>, file by file as they appear; with `lines` files hold a game a line.
 
-def stream_events(spark: SparkSession, root: str, max_files: int = 1000, lines: bool = False, pattern: str | None = None) -> DataFrame:
-    """Events of the logs in <root>/<matchup>/<config>, file by file as they appear; with `lines` files hold a game a line."""
-    reader = spark.readStream.schema(GAME).option("multiLine", not lines).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", pattern or (LINES if lines else "game_*.json"))
+    With `columns` only those event columns are there, and only what they are made of is taken from the documents.
+    """
+    reader = spark.readStream.schema(game_type(columns)).option("multiLine", not lines).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", pattern or (LINES if lines else "game_*.json"))
     games = reader.json(f"{root}/*/*").withColumn("_path", F.col("_metadata.file_path"))
-    return flatten_games(with_layout(games, F.col("_path")).drop("_path"))
+    return flatten_games(with_layout(games, F.col("_path")).drop("_path"), columns)
 
 
 def ingest_available(spark: SparkSession, root: str, out: str, checkpoint: str) -> StreamingQuery:

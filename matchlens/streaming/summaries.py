@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.games import game_metrics
+from ..operators.games import MEASURED, game_metrics, measured
 from ..operators.summary import added, finished, matchup_parts
+from ..sources.logs import with_dimensions
 from ..sources.schema import DIMENSIONS
 from ..sources.shared import children, deleted, exists
 from .games import stream_events
@@ -29,15 +30,25 @@ def _parts(spark: SparkSession, table: str, version: int) -> DataFrame:
 
 
 def merge(events: DataFrame, batch: int, table: str) -> bool:
-    """Adds the games of a batch of events to the table, unless that has been done; whether it was done now. Batches come in order."""
+    """Adds the games of a batch of events to the table, unless that has been done; whether it was done now. Batches come in order.
+
+    Events are read once: what metrics need of them is written beside the table until the batch is merged. Events without
+    dimensions have those that their columns matchup and config name.
+    """
     spark = events.sparkSession
     known = versions(spark, table)
     if known and known[-1] >= batch:
         return False
-    parts = matchup_parts(game_metrics(events, dimensions=DIMENSIONS))
+    named = [c for c in DIMENSIONS if c in events.columns] or ["matchup", "config"]
+    rows = measured(events, named)
+    rows.write.mode("overwrite").parquet(f"{table}/_events={batch}")
+    parts = matchup_parts(game_metrics(spark.read.schema(rows.schema).parquet(f"{table}/_events={batch}"), dimensions=named), named)
+    if named != DIMENSIONS:  # folders of different names may have the same dimensions
+        parts = added(with_dimensions(parts).drop(*named))
     if known:
         parts = added(_parts(spark, table, known[-1]).unionByName(parts))
     parts.write.mode("overwrite").parquet(f"{table}/batch={batch}")
+    deleted(spark, f"{table}/_events={batch}")
     for old in known[:-1]:  # the last one stays, as what a reader may still have open
         deleted(spark, f"{table}/batch={old}")
     return True
@@ -53,6 +64,6 @@ def current(spark: SparkSession, table: str, ranks: bool = True) -> DataFrame:
 
 def summarise_available(spark: SparkSession, root: str, table: str, checkpoint: str, max_files: int = 1000, lines: bool = False, pattern: str | None = None) -> StreamingQuery:
     """Merges all games not yet merged, max_files files a batch, then ends. Table and checkpoint belong together."""
-    events = stream_events(spark, root, max_files, lines, pattern)
+    events = stream_events(spark, root, max_files, lines, pattern, MEASURED).drop(*DIMENSIONS)
     writer = events.writeStream.foreachBatch(lambda batch, n: merge(batch, n, table) and None).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from matchlens.operators import games, summary
 from matchlens.sources import logs
@@ -72,3 +73,26 @@ def test_a_version_broken_off_is_merged_again(spark, root, tmp_path):
     assert summaries.merge(later, 1, table) and rows(summaries.current(spark, table)) == whole(spark, root)
     with pytest.raises(FileNotFoundError):
         summaries.current(spark, str(tmp_path / "none"))
+
+
+def test_a_batch_is_read_once(spark, root, tmp_path):
+    """However many passes the metrics take; and what was written for them is gone."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        read.add(1)
+        return x
+
+    events = logs.flatten_games(logs.read_games(spark, str(root)))
+    once = events.withColumn("StartedAt", F.udf(counted, "double")("StartedAt"))
+    assert summaries.merge(once, 0, str(tmp_path / "t")) and read.value == events.count()
+    assert rows(summaries.current(spark, str(tmp_path / "t"))) == whole(spark, root) and os.listdir(tmp_path / "t") == ["batch=0"]
+
+
+def test_parts_of_documents(spark, root):
+    """Each event column is the same where only what it is made of is taken from the documents."""
+    events = logs.flatten_games(logs.read_games(spark, str(root)))
+    for columns in (["ColBotPosX", "EnemyBotIsDashActive", "Reason"], ["GameTimestamp", "RoundWinner"], list(games.MEASURED), []):
+        documents = spark.read.schema(logs.game_type(columns)).option("multiLine", True).option("recursiveFileLookup", True).json(str(root))
+        some = logs.flatten_games(documents, columns)
+        assert set(some.columns) == {*columns, "round_pos", "event_pos"} and rows(some) == rows(events.select(some.columns))
