@@ -207,3 +207,25 @@ def test_csv_is_parsed_once(spark):
     """An event table of CSV files is read by one pass, which writes what the metrics read in several."""
     files = nested.event_table_csv(spark, "/root/testdata/sf0.001").inputFiles()
     assert files and not [f for f in files if ".csv" in f]
+
+
+def test_documents_are_parsed_once(spark, tmp_path):
+    """Where unseen keys are not given, too; and only for the event columns that are asked for."""
+    folder = tmp_path / "A_vs_B" / CONFIGS[0]
+    folder.mkdir(parents=True)
+    (folder / "games.json").write_text("\n".join(json.dumps(game(k, 3, Heat=None if k % 2 else {"z": k}, **{"it's": k})) for k in range(6)))
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        read.add(1)
+        return text
+
+    texts = freeform.read_texts(spark, str(tmp_path), lines=True)
+    out = freeform.flatten_all(texts.withColumn("json", F.udf(counted, "string")("json")))
+    got = out.collect()
+    assert read.value == 6 and len(got) == 18 and {r.Heat for r in got} == {None, '{"z":0}', '{"z":2}', '{"z":4}'} and {r["it's"] for r in got} == set("012345")
+    want = freeform.flatten_all(texts, [("$.Data", "Heat"), ("$.Data", "it's")])
+    assert want.columns == out.columns and sorted(map(repr, want.collect())) == sorted(map(repr, got))
+    few = freeform.flatten_all(texts.select("json"), columns=["Category", "BotPosX"])
+    assert few.columns == ["Category", "BotPosX", "round_pos", "event_pos", "Heat", "it's"]
+    assert sorted(map(repr, few.collect())) == sorted(map(repr, out.select(few.columns).collect()))
